@@ -9,21 +9,17 @@ from feedloom import constants as K
 from feedloom.functions.text import non_empty
 
 
-def parse_endpoint(line: Column) -> Column:
-    """``host[:port][#tag]`` as a struct; null when the line holds no endpoint.
+def endpoint_part(line: Column, group: int) -> Column:
+    """Host, port or tag (1 to 3) of ``host[:port][#tag]``; null when it is missing.
 
     The pattern is anchored at the start only, so trailing text is ignored.
     """
-    part = lambda i: non_empty(F.regexp_extract(line, K.ENDPOINT, i))
-    host = part(1)
-    return F.when(
-        line.rlike(K.ENDPOINT),
-        F.struct(
-            host.alias("host"),
-            F.coalesce(part(2), F.lit(K.TLS_PORT)).alias("port"),
-            F.coalesce(part(3), host).alias("tag"),
-        ),
-    )
+    return non_empty(F.regexp_extract(line, K.ENDPOINT, group))
+
+
+def link_part(link: Column, group: int) -> Column:
+    """Scheme, authority or escaped tag (1 to 3) of a link; null when it is missing."""
+    return non_empty(F.regexp_extract(link, K.LINK, group))
 
 
 def split_authority(authority: Column) -> Column:

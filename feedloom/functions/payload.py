@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from feedloom import constants as K
-from feedloom.functions.text import non_empty
+from feedloom.functions.text import let
 
 REPLACEMENT = "\ufffd"
 BYTE_ORDER_MARK = "\ufeff"
@@ -16,32 +16,42 @@ def _squeeze(text: Column) -> Column:
     return F.regexp_replace(text, f"[{K.SPACE_CLASS}]+", "")
 
 
+def _reads_as_base64(body: Column) -> Column:
+    def judge(core: Column) -> Column:
+        padding, rest = F.length(body) - F.length(core), F.length(core) % 4
+        fits = (
+            ((rest == 0) & (padding == 0))
+            | ((rest == 2) & (padding <= 2))
+            | ((rest == 3) & (padding <= 1))
+        )
+        return fits & core.rlike(r"^[A-Za-z0-9+/_-]+\z")
+
+    return let(F.rtrim(body, F.lit("=")), judge)
+
+
+def _decoded(body: Column) -> Column:
+    raw = F.try_to_binary(F.translate(body, "-_", "+/"), F.lit("base64"))
+    return F.regexp_replace(F.make_valid_utf8(raw.cast("string")), f"^{BYTE_ORDER_MARK}", "")
+
+
 def is_base64(text: Column) -> Column:
     """Does the whole body read as base64, standard or URL-safe, padded or not?
 
     The sniff ignores white space, so ordinary text made of letters can pass.
     """
-    body = _squeeze(text)
-    core = F.rtrim(body, F.lit("="))
-    size, padding = F.length(core), F.length(body) - F.length(core)
-    rest = size % 4
-    return (
-        (size > 0)
-        & core.rlike(r"^[A-Za-z0-9+/_-]+\z")
-        & ((padding == 0) | (rest == 2) & (padding <= 2) | (rest == 3) & (padding == 1))
-        & (rest != 1)
-    )
+    return let(_squeeze(text), _reads_as_base64)
 
 
 def decode_base64(text: Column) -> Column:
     """UTF-8 text of a base64 body; null when it cannot be decoded."""
-    raw = F.try_to_binary(F.translate(_squeeze(text), "-_", "+/"), F.lit("base64"))
-    return F.regexp_replace(F.make_valid_utf8(raw.cast("string")), f"^{BYTE_ORDER_MARK}", "")
+    return _decoded(_squeeze(text))
 
 
 def plain_body(text: Column) -> Column:
     """Decode the body if it reads as base64, else keep it."""
-    return F.when(is_base64(text), decode_base64(text)).otherwise(text)
+    return let(
+        _squeeze(text), lambda b: F.when(_reads_as_base64(b), _decoded(b)).otherwise(text)
+    )
 
 
 def encode_base64(data: Column) -> Column:
@@ -51,24 +61,18 @@ def encode_base64(data: Column) -> Column:
 
 def percent_decode(text: Column) -> Column:
     """Decoded text; null for a broken escape or bytes that are not UTF-8."""
-    plain = F.try_url_decode(F.replace(text, F.lit("+"), F.lit("%2B")))
-    invented = (
-        F.contains(plain, F.lit(REPLACEMENT))
-        & ~F.contains(text, F.lit(REPLACEMENT))
-        & ~F.contains(F.upper(text), F.lit("%EF%BF%BD"))
-    )
-    broken = text.rlike(r"%(?![0-9A-Fa-f]{2})") | invented
-    return F.when(~broken, plain)
-
-
-def parse_json_payload(authority: Column) -> Column:
-    """Host, port and tag of a base64 JSON object; null when it is not one."""
-    obj = F.from_json(decode_base64(authority), K.JSON_FIELDS, {"allowSingleQuotes": "false"})
-    return F.when(
-        obj["add"].isNotNull(),
-        F.struct(
-            obj["add"].alias("host"),
-            obj["port"].alias("port"),
-            F.coalesce(non_empty(obj["ps"]), obj["add"]).alias("tag"),
-        ),
-    )
+
+    def checked(plain: Column) -> Column:
+        invented = (
+            F.contains(plain, F.lit(REPLACEMENT))
+            & ~F.contains(text, F.lit(REPLACEMENT))
+            & ~F.contains(F.upper(text), F.lit("%EF%BF%BD"))
+        )
+        return F.when(~(text.rlike(r"%(?![0-9A-Fa-f]{2})") | invented), plain)
+
+    return let(F.try_url_decode(F.replace(text, F.lit("+"), F.lit("%2B"))), checked)
+
+
+def json_payload(authority: Column) -> Column:
+    """The ``add``, ``port`` and ``ps`` fields of a base64 JSON object, all as text."""
+    return F.from_json(decode_base64(authority), K.JSON_FIELDS, {"allowSingleQuotes": "false"})

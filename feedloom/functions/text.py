@@ -2,14 +2,30 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedloom.constants import COMMENT, SPACE, SPACE_CLASS
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def bind(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that are computed once per row.
+
+    Filters on a plain computed column are pushed below it and compute it again, and a
+    chain of parsing steps multiplies that. Rows of a generator stay where they are.
+    """
+    named = F.struct(*[c.alias(name) for name, c in columns.items()])
+    return df.select("*", F.inline(F.array(named)))
+
+
 def trim(text: Column) -> Column:
     """Strip the whole Unicode white-space set; the built-in default strips blanks only."""
     return F.btrim(text, F.lit(SPACE))

@@ -5,16 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.functions.text import trim
+from feedloom.durable import checkpointed
+from feedloom.functions.text import bind, trim
 
 # A list within both bounds travels with the plan as one array value.
 INLINE_ENTRIES, INLINE_CHARS = 256, 1 << 20
 
-
-def grams(text: Column, size: int) -> Column:
-    """Hashes of all distinct runs of ``size`` characters."""
-    runs = F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1))
-    return F.array_distinct(F.transform(runs, lambda g: F.xxhash64(g)))
+# Runs of characters through which longer lists are matched: those that follow white space,
+# for entries that hold one, else all runs of the longest size the entry holds.
+WORD_RUN = r"(?s)\s(?=(\S.{15}))"
+RUN_SIZES = (48, 16, 4, 1)
+RUNS = {"word": WORD_RUN, **{str(n): f"(?s)(?=(.{{{n}}}))" for n in RUN_SIZES}}
 
 
 def first_contained(
@@ -25,7 +26,6 @@ def first_contained(
     entry: str,
     place: str,
     inline_entries: int = INLINE_ENTRIES,
-    gram_sizes: tuple[int, ...] = (1, 4, 16, 48),
 ) -> DataFrame:
     """For each text (unique ``key``), the first list entry, by ``place``, it contains.
 
@@ -40,28 +40,23 @@ def first_contained(
         .agg(F.min(place).alias("_place"))
     )
     size = unique.agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.length("_entry")).alias("chars")
+        F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length("_entry")), F.lit(0)).alias("chars")
     ).first()
-    if size["n"] == 0:
-        return texts.limit(0).withColumn(place, F.lit(None).cast(entries.schema[place].dataType))
     if size["n"] <= inline_entries and size["chars"] <= INLINE_CHARS:
         listed = unique.agg(F.array_sort(F.collect_list(F.struct("_place", "_entry"))))
         hits = F.filter("_listed", lambda e: F.contains(F.col(text), e["_entry"]))
-        found = texts.withColumn("_listed", listed.scalar()).withColumn(
-            place, F.get(hits, F.lit(0))["_place"]
-        )
+        found = bind(texts.withColumn("_listed", listed.scalar()), **{place: F.get(hits, F.lit(0))["_place"]})
         return found.filter(F.col(place).isNotNull()).drop("_listed")
-    candidates = None
-    for low, high in zip(gram_sizes, (*gram_sizes[1:], None)):
-        length = F.length("_entry")
-        in_class = (length >= low) if high is None else (length >= low) & (length < high)
-        sized = unique.filter(in_class)
-        if sized.isEmpty():
-            continue
-        met = _anchored(texts, text, key, sized, low)
-        candidates = met if candidates is None else candidates.unionByName(met)
+    anchors = checkpointed(_anchors(unique))
+    searched = texts.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
+    met = None
+    for kind in sorted(r["_kind"] for r in anchors.select("_kind").distinct().collect()):
+        spots = searched.select("_key", F.explode(_runs(F.col("_text"), kind)).alias("_run"))
+        pairs = spots.join(anchors.filter(F.col("_kind") == kind), "_run")
+        met = pairs if met is None else met.unionByName(pairs)
+    candidates = met.select("_key", "_entry", "_place").distinct()
     best = (
-        candidates.join(texts.select(F.col(key).alias("_key"), F.col(text).alias("_text")), "_key")
+        candidates.join(searched, "_key")
         .filter(F.contains("_text", "_entry"))
         .groupBy("_key")
         .agg(F.min("_place").alias(place))
@@ -69,17 +64,25 @@ def first_contained(
     return texts.join(best, F.col(key) == F.col("_key")).drop("_key")
 
 
-def _anchored(texts: DataFrame, text: str, key: str, entries: DataFrame, size: int) -> DataFrame:
-    """Texts that contain the anchor of an entry: its run that the fewest entries share."""
-    runs = entries.select("_entry", "_place", F.explode(grams(F.col("_entry"), size)).alias("_gram"))
-    shared = runs.groupBy("_gram").agg(F.count(F.lit(1)).alias("_shared"))
-    anchors = (
-        runs.join(shared, "_gram")
-        .groupBy("_entry", "_place")
-        .agg(F.min_by("_gram", F.struct("_shared", "_gram")).alias("_gram"))
+def _runs(text: Column, kind: str) -> Column:
+    return F.regexp_extract_all(text, F.lit(RUNS[kind]), F.lit(1))
+
+
+def _anchors(unique: DataFrame) -> DataFrame:
+    """One run per entry, the one that the fewest entries share, and its kind."""
+    kind = F.when(F.size(_runs(F.col("_entry"), "word")) > 0, "word")
+    runs = F.when(kind == "word", _runs(F.col("_entry"), "word"))
+    for n in RUN_SIZES:
+        fits = F.length("_entry") >= n
+        kind = kind.when(fits, str(n))
+        runs = runs.when(fits, _runs(F.col("_entry"), str(n)))
+    spread = unique.select("_entry", "_place", kind.alias("_kind"), F.explode(F.array_distinct(runs)).alias("_run"))
+    shared = spread.groupBy("_kind", "_run").agg(F.count(F.lit(1)).alias("_shared"))
+    return (
+        spread.join(shared, ["_kind", "_run"])
+        .groupBy("_entry", "_place", "_kind")
+        .agg(F.min_by("_run", F.struct("_shared", "_run")).alias("_run"))
     )
-    spots = texts.select(F.col(key).alias("_key"), F.explode(grams(F.col(text), size)).alias("_gram"))
-    return spots.join(anchors, "_gram").select("_key", "_entry", "_place")
 
 
 def allowed(df: DataFrame, column: str, allow: DataFrame, allow_column: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedloom.functions.measure import tag_measure
-from feedloom.operators.running import BLOCK_BITS, running
+from feedloom.operators.running import BLOCK_BITS, hot_keys_of, running
 
 KEY = ("scheme", "host", "port")
 UNMEASURED = -1.0
@@ -60,13 +60,15 @@ def accepted_records(
     # A null key column would not group like an empty one in the joins of hot keys.
     plain = {f"_k{i}": F.coalesce(F.col(k).cast("string"), F.lit("")) for i, k in enumerate(key)}
     rows = _measured(df, tag, measure, unit_aware).withColumns(plain)
-    records = running(
-        rows, list(plain), seq, {"_best": ("max", F.col("_measure"))}, block_bits=block_bits
-    ).filter(F.col("_best").isNull() | (F.col("_measure") > F.col("_best")))
-    records = records.drop("_best", "_measure", *plain)
-    return running(records, [tag], seq, {"_n": ("count", None)}, block_bits=block_bits).select(
-        *df.columns, (F.col("_n") + 1).alias("tag_no")
+    hot_key, hot_tag = hot_keys_of(rows, [list(plain), [tag]], block_bits)
+    best = {"_best": ("max", F.col("_measure"))}
+    records = running(rows, list(plain), seq, best, hot=hot_key, block_bits=block_bits).filter(
+        F.col("_best").isNull() | (F.col("_measure") > F.col("_best"))
     )
+    numbered = running(
+        records, [tag], seq, {"_n": ("count", None)}, hot=hot_tag, block_bits=block_bits
+    )
+    return numbered.select(*df.columns, (F.col("_n") + 1).alias("tag_no"))
 
 
 def survivors(accepted: DataFrame, key: Sequence[str] = KEY, seq: str = "seq") -> DataFrame:

@@ -51,15 +51,25 @@ def hot_keys(df: DataFrame, keys: Sequence[str], block_bits: int = BLOCK_BITS) -
     Keys beyond the bound have less than one ten-thousandth of the rows each, so an
     ordinary window task holds them.
     """
-    sizes = df.groupBy(F.xxhash64(*keys).alias("h")).count()
+    return hot_keys_of(df, [keys], block_bits)[0]
+
+
+def hot_keys_of(
+    df: DataFrame, key_sets: Sequence[Sequence[str]], block_bits: int = BLOCK_BITS
+) -> list[HotKeys]:
+    """Hot keys of several key sets in one pass over the rows."""
+    hashed = F.posexplode(F.array(*[F.xxhash64(*keys) for keys in key_sets])).alias("which", "h")
+    sizes = df.select(hashed).groupBy("which", "h").count()
     rows = (
         sizes.filter(F.col("count") > (1 << block_bits))
-        .orderBy(F.desc("count"), "h")
+        .orderBy(F.desc("count"), "which", "h")
         .limit(MOST_HOT_KEYS)
-        .select("h")
         .collect()
     )
-    return HotKeys(tuple(keys), tuple(r["h"] for r in rows))
+    return [
+        HotKeys(tuple(keys), tuple(r["h"] for r in rows if r["which"] == i))
+        for i, keys in enumerate(key_sets)
+    ]
 
 
 def _or_zero(value: Column) -> Column:

@@ -20,7 +20,7 @@ from feedloom.functions.measure import (
     to_mega,
     unit_of,
 )
-from feedloom.functions.text import contains_any, starts_with_any, trim
+from feedloom.functions.text import bind, contains_any, let, starts_with_any, trim
 from feedloom.operators.cap import cap_per_source
 from feedloom.operators.running import BLOCK_BITS, HotKeys, hot_keys, running
 
@@ -57,10 +57,7 @@ def cells(line: Column) -> Column:
     return F.transform(F.split(line, ","), trim)
 
 
-def parse_header(line: Column) -> Column:
-    """Cell count, the index of each role (null when missing) and the speed unit."""
-    names = cells(F.lower(line))
-
+def _roles(names: Column) -> Column:
     def first(test) -> Column:
         at = F.array_position(F.transform(names, test), True)
         return F.nullif(at, F.lit(0)).cast("int") - 1
@@ -83,6 +80,11 @@ def parse_header(line: Column) -> Column:
     )
 
 
+def parse_header(line: Column) -> Column:
+    """Cell count, the index of each role (null when missing) and the speed unit."""
+    return let(cells(F.lower(line)), _roles)
+
+
 def fill_headers(
     lines: DataFrame, hot: HotKeys | None = None, block_bits: int = BLOCK_BITS
 ) -> DataFrame:
@@ -111,7 +113,7 @@ def _cell(role: str) -> Column:
 
 def fits_header(df: DataFrame) -> DataFrame:
     """Adds ``row``, the cells, and ``reason`` where they do not fit the header."""
-    with_cells = df.withColumn("row", cells(F.col("line")))
+    with_cells = bind(df, row=cells(F.col("line")))
     return with_cells.withColumn(
         "reason",
         F.when(F.col("header").isNull(), "no header").when(

@@ -8,32 +8,35 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedloom import constants as K
-from feedloom.functions.endpoint import parse_endpoint, split_authority
-from feedloom.functions.payload import parse_json_payload, percent_decode
-from feedloom.functions.text import non_empty, trim
+from feedloom.functions.endpoint import endpoint_part, link_part, split_authority
+from feedloom.functions.payload import json_payload, percent_decode
+from feedloom.functions.text import bind, non_empty, trim
 
 RECORD = ("scheme", "host", "port", "tag", "link")
 
 
-def _record(scheme: Column, parsed: Column, link: Column) -> list[Column]:
-    return [
-        scheme.alias("scheme"),
-        parsed["host"].alias("host"),
-        parsed["port"].alias("port"),
-        parsed["tag"].alias("tag"),
-        link.alias("link"),
-    ]
+def _finish(
+    df: DataFrame, kept: Sequence[str], record: Sequence[Column], reason: Column
+) -> DataFrame:
+    named = [c.alias(name) for c, name in zip(record, RECORD)]
+    return df.select(*kept, *named, reason.alias("reason"))
 
 
 def endpoint_records(lines: DataFrame, line: str = "line") -> DataFrame:
     """Records of endpoint lines; lines without an endpoint carry a reason."""
-    parsed = lines.withColumn("_parsed", parse_endpoint(F.col(line)))
-    reason = F.when(F.col("_parsed").isNull(), "no endpoint")
-    return parsed.select(
-        *lines.columns,
-        *_record(F.lit(K.PLAIN_SCHEME), F.col("_parsed"), F.lit(None).cast("string")),
-        reason.alias("reason"),
+    text = F.col(line)
+    parts = bind(
+        lines, _host=endpoint_part(text, 1), _port=endpoint_part(text, 2), _tag=endpoint_part(text, 3)
     )
+    host = F.col("_host")
+    record = [
+        F.lit(K.PLAIN_SCHEME),
+        host,
+        F.coalesce("_port", F.lit(K.TLS_PORT)),
+        F.coalesce("_tag", host),
+        F.lit(None).cast("string"),
+    ]
+    return _finish(parts, lines.columns, record, F.when(host.isNull(), "no endpoint"))
 
 
 def link_records(
@@ -48,31 +51,36 @@ def link_records(
     null port.
     """
     text = trim(F.col(line))
-    part = lambda i: non_empty(F.regexp_extract(text, K.LINK, i))
-    cut = lines.withColumns({"_scheme": part(1), "_authority": part(2), "_escaped": part(3)})
-    is_json = F.col("_scheme").isin(list(json_schemes))
-    place = split_authority(F.col("_authority"))
-    plain = F.struct(
-        place["host"].alias("host"),
-        place["port"].alias("port"),
-        F.when(F.col("_escaped").isNull(), place["host"])
-        .otherwise(percent_decode(F.col("_escaped")))
-        .alias("tag"),
+    parts = bind(
+        lines,
+        _scheme=link_part(text, 1),
+        _authority=link_part(text, 2),
+        _escaped=link_part(text, 3),
     )
-    parsed = cut.withColumn(
-        "_parsed", F.when(is_json, parse_json_payload(F.col("_authority"))).otherwise(plain)
+    scheme, authority, escaped = F.col("_scheme"), F.col("_authority"), F.col("_escaped")
+    is_json = F.coalesce(scheme.isin(list(json_schemes)), F.lit(False))
+    read = bind(
+        parts,
+        _object=F.when(is_json, json_payload(authority)),
+        _place=F.when(~is_json, split_authority(authority)),
+        _decoded=F.when(~is_json, percent_decode(escaped)),
     )
-    reason = (
-        F.when(F.col("_scheme").isNull(), "no link")
-        .when(F.col("_scheme").isin(list(skipped)), "skipped scheme")
-        .when(F.col("_parsed").isNull(), "bad payload")
-        .when(F.col("_parsed")["tag"].isNull(), "bad escape")
+    obj, place = F.col("_object"), F.col("_place")
+    host = F.when(is_json, obj["add"]).otherwise(place["host"])
+    # An empty object tag falls back to the host, as a missing one does.
+    tag = (
+        F.when(is_json, F.coalesce(non_empty(obj["ps"]), obj["add"]))
+        .when(escaped.isNull(), place["host"])
+        .otherwise(F.col("_decoded"))
     )
-    return parsed.select(
-        *lines.columns,
-        *_record(F.col("_scheme"), F.col("_parsed"), F.col(line)),
-        reason.alias("reason"),
+    port = F.when(is_json, obj["port"]).otherwise(place["port"])
+    reason = (
+        F.when(scheme.isNull(), "no link")
+        .when(scheme.isin(list(skipped)), "skipped scheme")
+        .when(is_json & obj["add"].isNull(), "bad payload")
+        .when(tag.isNull(), "bad escape")
     )
+    return _finish(read, lines.columns, [scheme, host, port, tag, F.col(line)], reason)
 
 
 def good(parsed: DataFrame) -> DataFrame:
