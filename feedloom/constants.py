@@ -54,7 +54,7 @@ NUMBER = r"^[+-]?(?:Infinity|(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)"
 # The name is written without a repeated group, so long lines cannot exhaust the stack.
 ENDPOINT = (
     r"(?i)^((?!\.)(?:(?!\.\.)[\w.-])*\.[a-z-]+|\d{1,3}(?:\.\d{1,3}){3}|\[[a-f0-9:]+\])"
-    r"(?::(\d+))?(?:#([^" + LINE_END_CLASS + r"]+)\z)?"
+    r"(?::(\d+))?(?:#([^" + LINE_END_CLASS + r"]+)\z)?(?s:.*)\z"
 )
 LINK = (
     r"^(\w+)://(?:[^@" + SPACE_CLASS + r"]+@)?([^?#/" + SPACE_CLASS + r"]+)"

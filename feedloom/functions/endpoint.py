@@ -6,20 +6,20 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from feedloom import constants as K
-from feedloom.functions.text import non_empty
+from feedloom.functions.text import groups, non_empty
 
 
-def endpoint_part(line: Column, group: int) -> Column:
-    """Host, port or tag (1 to 3) of ``host[:port][#tag]``; null when it is missing.
+def endpoint_parts(line: Column) -> Column:
+    """Host, port and tag of ``host[:port][#tag]`` as an array; null when there is none.
 
-    The pattern is anchored at the start only, so trailing text is ignored.
+    The host is anchored at the start of the line only; text after the parts is ignored.
     """
-    return non_empty(F.regexp_extract(line, K.ENDPOINT, group))
+    return groups(line, K.ENDPOINT, 3)
 
 
-def link_part(link: Column, group: int) -> Column:
-    """Scheme, authority or escaped tag (1 to 3) of a link; null when it is missing."""
-    return non_empty(F.regexp_extract(link, K.LINK, group))
+def link_parts(link: Column) -> Column:
+    """Scheme, authority and escaped tag of a link as an array; null when it is none."""
+    return groups(link, K.LINK, 3)
 
 
 def split_authority(authority: Column) -> Column:

@@ -13,25 +13,44 @@ BYTE_ORDER_MARK = "\ufeff"
 
 
 def _squeeze(text: Column) -> Column:
-    return F.regexp_replace(text, f"[{K.SPACE_CLASS}]+", "")
+    """Without white space; the wide set is looked for only where text is not ASCII."""
 
+    def rest(narrow: Column) -> Column:
+        wide = F.regexp_replace(narrow, f"[{K.SPACE_CLASS}]+", "")
+        return F.when(F.octet_length(narrow) == F.length(narrow), narrow).otherwise(wide)
 
-def _reads_as_base64(body: Column) -> Column:
-    def judge(core: Column) -> Column:
+    return let(F.regexp_replace(text, r"[\t\n\x0B\f\r ]+", ""), rest)
+
+
+def _raw_base64(body: Column) -> Column:
+    """Bytes of a body without white space; null when it is not base64.
+
+    Padding is optional but, where present, must not be too long; no length of 4n + 1
+    letters is possible. What is left must be letters of the alphabet, which the decoder
+    checks.
+    """
+
+    def read(core: Column) -> Column:
         padding, rest = F.length(body) - F.length(core), F.length(core) % 4
         fits = (
             ((rest == 0) & (padding == 0))
             | ((rest == 2) & (padding <= 2))
             | ((rest == 3) & (padding <= 1))
         )
-        return fits & core.rlike(r"^[A-Za-z0-9+/_-]+\z")
+        standard = F.replace(
+            F.replace(core, F.lit("-"), F.lit("+")), F.lit("_"), F.lit("/")
+        )
+        return F.when(fits & (core != ""), F.try_to_binary(standard, F.lit("base64")))
 
-    return let(F.rtrim(body, F.lit("=")), judge)
+    return let(F.rtrim(body, F.lit("=")), read)
 
 
-def _decoded(body: Column) -> Column:
-    raw = F.try_to_binary(F.translate(body, "-_", "+/"), F.lit("base64"))
-    return F.regexp_replace(F.make_valid_utf8(raw.cast("string")), f"^{BYTE_ORDER_MARK}", "")
+def _as_text(raw: Column) -> Column:
+    """Bytes as UTF-8, broken sequences replaced, without a byte-order mark."""
+    return let(
+        F.make_valid_utf8(raw.cast("string")),
+        lambda t: F.when(t.startswith(BYTE_ORDER_MARK), F.substring(t, 2, 2**31 - 1)).otherwise(t),
+    )
 
 
 def is_base64(text: Column) -> Column:
@@ -39,24 +58,22 @@ def is_base64(text: Column) -> Column:
 
     The sniff ignores white space, so ordinary text made of letters can pass.
     """
-    return let(_squeeze(text), _reads_as_base64)
+    return let(_squeeze(text), lambda b: _raw_base64(b).isNotNull())
 
 
 def decode_base64(text: Column) -> Column:
-    """UTF-8 text of a base64 body; null when it cannot be decoded."""
-    return _decoded(_squeeze(text))
+    """UTF-8 text of a base64 body; null when it is not one."""
+    return let(_squeeze(text), lambda b: _as_text(_raw_base64(b)))
 
 
 def plain_body(text: Column) -> Column:
     """Decode the body if it reads as base64, else keep it."""
-    return let(
-        _squeeze(text), lambda b: F.when(_reads_as_base64(b), _decoded(b)).otherwise(text)
-    )
+    return F.coalesce(decode_base64(text), text)
 
 
 def encode_base64(data: Column) -> Column:
     """One line of base64; the built-in breaks it every 76 characters."""
-    return F.regexp_replace(F.base64(data.cast("binary")), r"\s+", "")
+    return F.replace(F.base64(data.cast("binary")), F.lit("\r\n"), F.lit(""))
 
 
 def percent_decode(text: Column) -> Column:

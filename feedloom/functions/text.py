@@ -26,6 +26,17 @@ def bind(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(named)))
 
 
+def groups(text: Column, pattern: str, count: int) -> Column:
+    """All groups of a pattern that covers the whole text, with one match per row.
+
+    The groups come as an array, null for those left out; the result is null when the
+    pattern does not match. No group may hold a line feed, and the text may not start with one.
+    """
+    marked = F.regexp_replace(text, pattern, "".join(f"\n${i}" for i in range(1, count + 1)))
+    pieces = F.transform(F.slice(F.split(marked, "\n"), 2, count), non_empty)
+    return F.when(marked.startswith("\n") & ~text.startswith("\n"), pieces)
+
+
 def trim(text: Column) -> Column:
     """Strip the whole Unicode white-space set; the built-in default strips blanks only."""
     return F.btrim(text, F.lit(SPACE))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedloom import constants as K
-from feedloom.functions.endpoint import endpoint_part, link_part, split_authority
+from feedloom.functions.endpoint import endpoint_parts, link_parts, split_authority
 from feedloom.functions.payload import json_payload, percent_decode
 from feedloom.functions.text import bind, non_empty, trim
 
@@ -24,16 +24,13 @@ def _finish(
 
 def endpoint_records(lines: DataFrame, line: str = "line") -> DataFrame:
     """Records of endpoint lines; lines without an endpoint carry a reason."""
-    text = F.col(line)
-    parts = bind(
-        lines, _host=endpoint_part(text, 1), _port=endpoint_part(text, 2), _tag=endpoint_part(text, 3)
-    )
-    host = F.col("_host")
+    parts = bind(lines, _parts=endpoint_parts(F.col(line)))
+    host, port, tag = (F.get("_parts", F.lit(i)) for i in range(3))
     record = [
         F.lit(K.PLAIN_SCHEME),
         host,
-        F.coalesce("_port", F.lit(K.TLS_PORT)),
-        F.coalesce("_tag", host),
+        F.coalesce(port, F.lit(K.TLS_PORT)),
+        F.coalesce(tag, host),
         F.lit(None).cast("string"),
     ]
     return _finish(parts, lines.columns, record, F.when(host.isNull(), "no endpoint"))
@@ -50,14 +47,8 @@ def link_records(
     The authority of a JSON scheme is base64 of an object. A link without a port has a
     null port.
     """
-    text = trim(F.col(line))
-    parts = bind(
-        lines,
-        _scheme=link_part(text, 1),
-        _authority=link_part(text, 2),
-        _escaped=link_part(text, 3),
-    )
-    scheme, authority, escaped = F.col("_scheme"), F.col("_authority"), F.col("_escaped")
+    parts = bind(lines, _parts=link_parts(trim(F.col(line))))
+    scheme, authority, escaped = (F.get("_parts", F.lit(i)) for i in range(3))
     is_json = F.coalesce(scheme.isin(list(json_schemes)), F.lit(False))
     read = bind(
         parts,
