@@ -32,9 +32,13 @@ def groups(text: Column, pattern: str, count: int) -> Column:
     The groups come as an array, null for those left out; the result is null when the
     pattern does not match. No group may hold a line feed, and the text may not start with one.
     """
-    marked = F.regexp_replace(text, pattern, "".join(f"\n${i}" for i in range(1, count + 1)))
-    pieces = F.transform(F.slice(F.split(marked, "\n"), 2, count), non_empty)
-    return F.when(marked.startswith("\n") & ~text.startswith("\n"), pieces)
+    marks = "".join(f"\n${i}" for i in range(1, count + 1))
+
+    def pieces(marked: Column) -> Column:
+        found = F.transform(F.slice(F.split(marked, "\n"), 2, count), non_empty)
+        return F.when(marked.startswith("\n") & ~text.startswith("\n"), found)
+
+    return let(F.regexp_replace(text, pattern, marks), pieces)
 
 
 def trim(text: Column) -> Column:
