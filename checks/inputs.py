@@ -180,6 +180,61 @@ def segment_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def feed_lists(pages: DataFrame, customer: DataFrame) -> DataFrame:
+    """Landed lists: endpoint lines per language, the CSV files and the providers."""
+    number = F.col("page_id")
+    by_lang = page_parts(pages).select("page_id", F.concat(F.lit("lang/"), "lang").alias("list_id")).join(
+        endpoint_lines(pages), F.col("page_id") == F.col("line_no")
+    )
+    nations = customer.select("c_nationkey").distinct()
+    providers = F.concat(F.lit("provider/"), number.cast("string"))
+    return (
+        by_lang.select("list_id", "line_no", "line")
+        .unionByName(
+            nations.select(
+                F.lit("csv files").alias("list_id"),
+                F.col("c_nationkey").cast("bigint").alias("line_no"),
+                F.concat(F.lit("nation/"), F.col("c_nationkey").cast("string")).alias("line"),
+            )
+        )
+        .unionByName(
+            pages.select(F.lit("providers").alias("list_id"), number.alias("line_no"), providers.alias("line"))
+        )
+    )
+
+
+def text_setting(pages: DataFrame) -> DataFrame:
+    """A setting that includes the list of each language, in alphabetical order."""
+    lang = F.col("lang")
+    return page_parts(pages).select("lang").distinct().select(
+        F.lit("text").alias("root"),
+        (F.ascii(lang) * 256 + F.ascii(F.substring(lang, 2, 1))).cast("bigint").alias("line_no"),
+        F.concat(F.lit("api://lang/"), lang).alias("line"),
+    )
+
+
+def named_list(spark: SparkSession, name: str) -> DataFrame:
+    """A setting of one line that includes one list."""
+    return spark.range(1).select(
+        F.lit("setting").alias("root"), F.col("id").alias("line_no"), F.lit(f"api://{name}").alias("line")
+    )
+
+
+def nation_files(customer: DataFrame) -> DataFrame:
+    return csv_lines(customer).withColumn("source", F.concat(F.lit("nation/"), F.col("source").cast("string")))
+
+
+def provider_bodies(pages: DataFrame) -> DataFrame:
+    """One body per page, with its link and a comment line; every other one is base64."""
+    link = F.replace("line", F.concat(F.lit("u"), F.col("line_no").cast("string"), F.lit("@")), F.lit("{user}@"))
+    body = F.concat(F.lit("no link here\n"), link, F.lit("\n"))
+    packed = F.base64(body.cast("binary"))
+    return link_lines(pages).select(
+        F.concat(F.lit("provider/"), F.col("line_no").cast("string")).alias("source"),
+        F.when(F.col("line_no") % 2 == 0, packed).otherwise(body).alias("body"),
+    )
+
+
 def measured_events(events: DataFrame) -> DataFrame:
     """Events as records: keyed by type and user, with the value as a measure in the tag."""
     value = F.floor("value").cast("string")

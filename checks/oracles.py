@@ -158,9 +158,22 @@ def _shaped(digest: str) -> str:
     return "(" + " || '-' || ".join(f"substr({digest}, {a}, {n})" for a, n in cuts) + ")"
 
 
-def _uri(*pieces: str) -> str:
-    return " || ".join(pieces)
-
+_RANKED = (
+    r"""
+records AS (
+  SELECT *, nullif(regexp_extract(tag, '(\d+\.?\d*) ?[MK]B/s', 1, 'i'), '')::DOUBLE AS measure
+  FROM unmeasured),"""
+    + _ACCEPTED
+    + r""",
+ends AS (
+  SELECT *, min(seq) OVER k AS first_seq, max(seq) OVER k AS last_seq
+  FROM accepted WINDOW k AS (PARTITION BY scheme, host, port)),
+ranked AS (
+  SELECT first_seq, scheme, host, port, tag,
+         coalesce(link, scheme || '://reader@' || host || ':' || port || '#' || replace(tag, ' ', '%20')) ||
+         CASE WHEN tag_no > 1 THEN '%20' || tag_no ELSE '' END AS link
+  FROM ends WHERE seq = last_seq)"""
+)
 
 ORACLES: dict[str, str] = {
     "line_scan": rf"""
@@ -381,15 +394,29 @@ WITH {_TURNS}
 SELECT conv_id, 0::BIGINT AS part,
        base64(encode(string_agg(link, chr(10) ORDER BY turn))) AS text
 FROM turns GROUP BY conv_id""",
-    "ranked_links": _UNION.replace("records AS (", "unmeasured AS (", 1) + r""",
-records AS (
-  SELECT *, nullif(regexp_extract(tag, '(\d+\.?\d*) ?[MK]B/s', 1, 'i'), '')::DOUBLE AS measure
-  FROM unmeasured),""" + _ACCEPTED + r""",
-ends AS (
-  SELECT *, min(seq) OVER k AS first_seq, max(seq) OVER k AS last_seq
-  FROM accepted WINDOW k AS (PARTITION BY scheme, host, port))
-SELECT first_seq, scheme, host, port, tag,
-       coalesce(link, scheme || '://reader@' || host || ':' || port || '#' || replace(tag, ' ', '%20')) ||
-       CASE WHEN tag_no > 1 THEN '%20' || tag_no ELSE '' END AS link
-FROM ends WHERE seq = last_seq""",
+    "ranked_links": _UNION.replace("records AS (", "unmeasured AS (", 1)
+    + ","
+    + _RANKED
+    + " SELECT * FROM ranked",
+    "resolved_feed": "WITH "
+    + _ENDPOINTS
+    + ","
+    + _LINKS
+    + ","
+    + _RECORDS
+    + r""",
+capped AS (
+  SELECT * FROM csv QUALIFY row_number() OVER (PARTITION BY source ORDER BY line_no) <= 8),
+placed AS (
+  SELECT 0 AS rank, lang AS source, line_no, 'vless' AS scheme, e.host, port, tag, NULL AS link
+  FROM endpoints e JOIN parts ON page_id = line_no
+  UNION ALL
+  SELECT 1, lpad(source::VARCHAR, 9, '0'), line_no, 'vless', host, port, tag, NULL FROM capped
+  UNION ALL
+  SELECT 2, '', line_no, scheme, host, port, tag,
+         replace(link, 'u' || line_no || '@', 'reader@') FROM links WHERE reason IS NULL),
+unmeasured AS (
+  SELECT *, row_number() OVER (ORDER BY rank, source, line_no) AS seq FROM placed),"""
+    + _RANKED
+    + " SELECT scheme, host, port, tag, link FROM ranked",
 }

@@ -11,6 +11,7 @@ from checks import inputs as I
 from feedloom.durable import scratch_path
 from feedloom.functions import endpoint, ids, measure, payload, pool, text, uri
 from feedloom.operators import cap, match, rank, routes, settings
+from feedloom.plans import resolve
 from feedloom.plans.feed import collect_records, ranked_feed
 from feedloom.sinks import files, payloads
 from feedloom.sources import csvfeed, includes, lines, records
@@ -453,3 +454,18 @@ def sink_base64(spark, sf_dir):
 def ranked_links(spark, sf_dir):
     feed = ranked_feed(_all_records(spark, sf_dir), user=F.lit("reader"))
     return feed.select("first_seq", "scheme", "host", "port", "tag", "link")
+
+
+@query
+def resolved_feed(spark, sf_dir):
+    """Settings name lists, files and providers; their lines become one ranked table."""
+    pages, customer = I.table(spark, sf_dir, "pages"), I.table(spark, sf_dir, "customer")
+    lists = I.feed_lists(pages, customer)
+    text_lines = resolve.text_lines(I.text_setting(pages), lists)
+    csv_lines = resolve.csv_lines(I.named_list(spark, "csv files"), lists, I.nation_files(customer))
+    link_lines = resolve.link_lines(
+        I.named_list(spark, "providers"), lists, I.provider_bodies(pages), (("{user}", "reader"),)
+    )
+    options = csvfeed.CsvOptions.from_setting("5")
+    feed = ranked_feed(collect_records(text_lines, csv_lines, link_lines, options), user=F.lit("reader"))
+    return feed.select("scheme", "host", "port", "tag", "link")

@@ -38,8 +38,7 @@ IDC_WORDS = ("数据中心", "idc")
 SPEED_LIMIT = 5.0
 ROW_CAP = 8
 
-# Request parameters and user agents that choose the output
-FEED_PARAMS = ("textProxy", "csvProxy", "subProvider")
+# User agents that get a page instead of text contain this
 BROWSER_AGENT = "mozilla"
 
 # Source order in the union

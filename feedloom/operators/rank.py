@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedloom.functions.measure import tag_measure
-from feedloom.operators.running import BLOCK_BITS, hot_keys_of, running
+from feedloom.operators.running import BLOCK_BITS, HotKeys, hot_keys, hot_keys_of, running
 
 KEY = ("scheme", "host", "port")
 UNMEASURED = -1.0
@@ -61,6 +61,9 @@ def accepted_records(
     plain = {f"_k{i}": F.coalesce(F.col(k).cast("string"), F.lit("")) for i, k in enumerate(key)}
     rows = _measured(df, tag, measure, unit_aware).withColumns(plain)
     hot_key, hot_tag = hot_keys_of(rows, [list(plain), [tag]], block_bits)
+    if hot_key:
+        rows = _first_copies(rows, hot_key, [*plain, "_measure"], seq)
+        hot_key = hot_keys(rows, list(plain), block_bits)
     best = {"_best": ("max", F.col("_measure"))}
     records = running(rows, list(plain), seq, best, hot=hot_key, block_bits=block_bits).filter(
         F.col("_best").isNull() | (F.col("_measure") > F.col("_best"))
@@ -71,6 +74,23 @@ def accepted_records(
     return numbered.select(*df.columns, (F.col("_n") + 1).alias("tag_no"))
 
 
+def _first_copies(rows: DataFrame, hot: HotKeys, same: Sequence[str], seq: str) -> DataFrame:
+    """Of hot keys, only the earliest row of each measure: no later one is ever accepted.
+
+    Copies are dropped before the shuffle, and a key that is hot through copies is no
+    longer hot.
+    """
+    rest = [c for c in rows.columns if c not in same]
+    firsts = (
+        rows.filter(hot.flag())
+        .groupBy(*same)
+        .agg(F.min_by(F.struct(*rest), F.col(seq)).alias("_first"))
+        .select(*same, "_first.*")
+    )
+    others = rows.filter(~F.coalesce(hot.flag(), F.lit(False)))
+    return others.unionByName(firsts)
+
+
 def survivors(accepted: DataFrame, key: Sequence[str] = KEY, seq: str = "seq") -> DataFrame:
     """The last accepted record per key, and where the key first appeared."""
     rest = [c for c in accepted.columns if c not in key]

@@ -140,7 +140,7 @@ def running(
     block = f"_{seq}_block"
     blocked = df.withColumn(block, F.when(hot.flag(), F.shiftright(seq, block_bits)))
     summaries = checkpointed(
-        blocked.filter(F.col(block).isNotNull())
+        blocked.filter(hot.flag())
         .groupBy(*keys, block)
         .agg(*[_GROUPED[kind](v, F.col(seq)).alias(name) for name, (kind, v) in folds.items()])
     )

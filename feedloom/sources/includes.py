@@ -120,6 +120,15 @@ def expand_includes(lists: DataFrame, roots: DataFrame, ordered: bool = False) -
     )
 
 
+def missing_lists(lists: DataFrame, roots: DataFrame) -> DataFrame:
+    """``root, list_id``: lists that a root reaches but that did not land.
+
+    They add no lines and stop nothing else.
+    """
+    landed = lists.select("list_id").distinct()
+    return reachable(lists, roots).join(landed, "list_id", "left_anti").select("root", "list_id")
+
+
 def expand_one_level(lists: DataFrame, roots: DataFrame) -> DataFrame:
     """One level only: includes inside included lists are dropped, repeats come again."""
     columns = ["root", "list_id", "line_no", "line", "path"]

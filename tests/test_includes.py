@@ -71,6 +71,11 @@ def test_long_chain_merges_its_pieces(spark):
     assert sorted(int(r["line"]) for r in got) == list(range(len(lists)))
 
 
+def test_missing_lists_are_named(spark):
+    got = includes.missing_lists(*tables(spark, LISTS, ROOTS)).collect()
+    assert sorted(tuple(r) for r in got) == [("r1", "missing"), ("r2", "missing")]
+
+
 def test_one_level(spark):
     got = includes.expand_one_level(*tables(spark, LISTS, ROOTS)).orderBy("root", "path").collect()
     assert [(r["root"], r["list_id"], r["line"]) for r in got] == [

@@ -69,6 +69,14 @@ def test_fold(spark, seed, block_bits):
     assert best == {key: (first[key], last[key][0]) for key in last}
 
 
+def test_copies_of_a_hot_key_do_not_reach_the_window(spark):
+    rows = [("s", "h", "1", "x", "l", i) for i in range(300)] + [("s", "h", "1", "2 MB/s", "m", 300)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = accepted_records(df, block_bits=4)
+    assert sorted((r["seq"], r["tag_no"]) for r in got.collect()) == [(0, 1), (300, 1)]
+    assert "min_by" in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_result_does_not_depend_on_the_partitions(spark):
     df = spark.createDataFrame(make_feed(11), SCHEMA)
     collect = lambda d: sorted(map(str, ranked_feed(d.withColumn("source_rank", F.lit(0))).collect()))
