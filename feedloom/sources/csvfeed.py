@@ -20,7 +20,7 @@ from feedloom.functions.measure import (
     to_mega,
     unit_of,
 )
-from feedloom.functions.text import bind, contains_any, let, starts_with_any, trim
+from feedloom.functions.text import contains_any, let, starts_with_any, trim
 from feedloom.operators.cap import cap_per_source
 from feedloom.operators.running import BLOCK_BITS, HotKeys, hot_keys, running
 
@@ -57,14 +57,14 @@ def cells(line: Column) -> Column:
     return F.transform(F.split(line, ","), trim)
 
 
-def _roles(names: Column) -> Column:
+def _roles(names: Column, at: Column) -> Column:
     def first(test) -> Column:
-        at = F.array_position(F.transform(names, test), True)
-        return F.nullif(at, F.lit(0)).cast("int") - 1
+        place = F.array_position(F.transform(names, test), True)
+        return F.nullif(place, F.lit(0)).cast("int") - 1
 
     def last(test) -> Column:
-        at = F.array_position(F.transform(F.reverse(names), test), True)
-        return F.size(names) - F.nullif(at, F.lit(0)).cast("int")
+        place = F.array_position(F.transform(F.reverse(names), test), True)
+        return F.size(names) - F.nullif(place, F.lit(0)).cast("int")
 
     speed = last(lambda c: contains_any(c, K.SPEED_WORDS))
     return F.struct(
@@ -77,12 +77,13 @@ def _roles(names: Column) -> Column:
         first(lambda c: contains_any(c, K.COUNTRY_WORDS)).alias("country"),
         last(lambda c: contains_any(c, K.IDC_WORDS)).alias("idc"),
         unit_of(F.get(names, speed)).alias("unit"),
+        at.alias("at"),
     )
 
 
-def parse_header(line: Column) -> Column:
-    """Cell count, the index of each role (null when missing) and the speed unit."""
-    return let(cells(F.lower(line)), _roles)
+def parse_header(line: Column, at: Column) -> Column:
+    """Cell count, the index of each role (null when missing), the speed unit and ``at``."""
+    return let(cells(F.lower(line)), lambda names: _roles(names, at))
 
 
 def fill_headers(
@@ -94,12 +95,12 @@ def fill_headers(
     """
     clean = lines.withColumn("line", trim(F.col("line"))).filter(F.col("line") != "")
     marked = clean.withColumn("_is_header", is_header(F.col("line")))
-    parsed = parse_header(F.col("line")).withField("at", F.col("line_no"))
+    parsed = F.when(F.col("_is_header"), parse_header(F.col("line"), F.col("line_no")))
     filled = running(
         marked,
         ["source"],
         "line_no",
-        {"header": ("last", F.when(F.col("_is_header"), parsed))},
+        {"header": ("last", parsed)},
         inclusive=True,
         hot=hot,
         block_bits=block_bits,
@@ -108,16 +109,20 @@ def fill_headers(
 
 
 def _cell(role: str) -> Column:
-    return F.get(F.col("row"), F.col("header")[role])
+    """The cell of a role, cut out of the line without building an array."""
+    upto = F.call_function(
+        "substring_index", F.col("line"), F.lit(","), F.col("header")[role] + 1
+    )
+    return trim(F.substring_index(upto, ",", -1))
 
 
 def fits_header(df: DataFrame) -> DataFrame:
-    """Adds ``row``, the cells, and ``reason`` where they do not fit the header."""
-    with_cells = bind(df, row=cells(F.col("line")))
-    return with_cells.withColumn(
+    """Adds ``reason`` where the cells of a line do not fit the header."""
+    commas = F.octet_length("line") - F.octet_length(F.replace("line", F.lit(","), F.lit("")))
+    return df.withColumn(
         "reason",
         F.when(F.col("header").isNull(), "no header").when(
-            F.size("row") != F.col("header")["cells"], "cell count"
+            commas + 1 != F.col("header")["cells"], "cell count"
         ),
     )
 
@@ -134,23 +139,27 @@ def with_speed(
 ) -> DataFrame:
     """Adds ``speed`` in MB (null when the cell holds no number) and ``unit``.
 
-    Only rows without a ``reason`` can set the unit of their segment.
+    Only rows without a ``reason`` can set the unit of their segment. The greatest
+    (segment, -line) so far is the first such row of the latest segment that has one; it
+    needs no other sort than the header fill.
     """
     number = F.when(F.col("reason").isNull(), leading_number(_cell("speed")))
     named = F.when(F.col("number").isNotNull(), unit_of(_cell("speed")))
-    numbered = df.withColumns({"number": number, "_at": F.col("header")["at"]})
+    at = F.col("header")["at"]
+    said = F.struct(at.alias("at"), (-F.col("line_no")).alias("back"), named.alias("unit"))
     sticky = running(
-        numbered,
-        ["source", "_at"],
+        df.withColumn("number", number),
+        ["source"],
         "line_no",
-        {"_named": ("first", named)},
+        {"_said": ("max", F.when(named.isNotNull(), said))},
         inclusive=True,
         hot=hot,
         block_bits=block_bits,
     )
-    unit = F.coalesce(F.col("header")["unit"], F.col("_named"))
+    held = F.when(F.col("_said")["at"] == at, F.col("_said")["unit"])
+    unit = F.coalesce(F.col("header")["unit"], held)
     return sticky.withColumns({"unit": unit, "speed": to_mega(F.col("number"), unit)}).drop(
-        "_at", "_named", "number"
+        "_said", "number"
     )
 
 

@@ -128,9 +128,9 @@ def rows_of(df):
 
 
 def test_header_roles(evaluate):
-    got = evaluate(parse_header, [HEADERS[3], HEADERS[4]])
-    assert tuple(got[0]) == (7, 0, 1, 3, 5, 6, 4, None, "KB")
-    assert tuple(got[1]) == (3, 0, None, None, 2, None, None, None, None)
+    got = evaluate(lambda c: parse_header(c, F.lit(7)), [HEADERS[3], HEADERS[4]])
+    assert tuple(got[0]) == (7, 0, 1, 3, 5, 6, 4, None, "KB", 7)
+    assert tuple(got[1]) == (3, 0, None, None, 2, None, None, None, None, 7)
 
 
 def test_unit_holds_from_the_row_that_names_it_until_the_next_header(spark):
@@ -194,3 +194,9 @@ def test_payload_bodies_are_decoded_before_they_are_split(spark):
     )
     got = scan_payloads(df, "body", [("two", "2")]).orderBy("line_no").collect()
     assert [(r["line_no"], r["line"]) for r in got] == [(0, "a://one"), (1, "b://2\r"), (3, "c://three")]
+
+
+def test_chain_shares_one_exchange_and_one_sort(spark):
+    df = csv_records(one_file(spark, "ip,port,speed", "192.0.2.1,1,9"), CsvOptions(True, 5, 8))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Sort [") == 1
