@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from feedloom.durable import checkpointed
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
@@ -159,7 +161,8 @@ def included_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     lists = pieces[0]
     for piece in pieces[1:]:
         lists = lists.unionByName(piece)
-    return lists
+    # The lists land once, as a table, and are read from there.
+    return checkpointed(lists)
 
 
 def segment_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
