@@ -29,7 +29,7 @@ MOST_HOT_KEYS = 10_000
 
 @dataclass(frozen=True)
 class HotKeys:
-    """Hashes of the keys that have more rows than a block; at most ``MOST_HOT_KEYS``."""
+    """Hashes of the biggest keys that have more rows than a block, a bounded number."""
 
     columns: tuple[str, ...]
     hashes: tuple[int, ...]
@@ -57,13 +57,16 @@ def hot_keys(df: DataFrame, keys: Sequence[str], block_bits: int = BLOCK_BITS) -
 def hot_keys_of(
     df: DataFrame, key_sets: Sequence[Sequence[str]], block_bits: int = BLOCK_BITS
 ) -> list[HotKeys]:
-    """Hot keys of several key sets in one pass over the rows."""
+    """Hot keys of several key sets in one pass over the rows.
+
+    The bound grows with the number of sets, so what lies beyond it is as small for each.
+    """
     hashed = F.posexplode(F.array(*[F.xxhash64(*keys) for keys in key_sets])).alias("which", "h")
     sizes = df.select(hashed).groupBy("which", "h").count()
     rows = (
         sizes.filter(F.col("count") > (1 << block_bits))
         .orderBy(F.desc("count"), "which", "h")
-        .limit(MOST_HOT_KEYS)
+        .limit(MOST_HOT_KEYS * len(key_sets))
         .collect()
     )
     return [
