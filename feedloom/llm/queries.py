@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.llm import contamination
+from feedloom.llm import contamination, exact, simhash
 from feedloom.llm.shipping import ship
 
 
@@ -27,7 +27,32 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op3_decontamination": op3_decontamination}
+def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the document of its text that stays."""
+    return exact.deduplicate(_table(spark, sf_dir, "documents")).drop("row_id")
+
+
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its fingerprint and the component its links reach."""
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    "op3_decontamination": op3_decontamination,
+    "op5_exact_dedup": op5_exact_dedup,
+    "op8_simhash": op8_simhash,
+}
 
 #: SQL for the queries that SQL can express.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op5_exact_dedup": r"""
+        SELECT doc_id,
+               min(doc_id) OVER same AS keep_id,
+               count(*) OVER same AS group_size,
+               doc_id = min(doc_id) OVER same AS kept,
+               text_sha256
+        FROM (SELECT doc_id,
+                     sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256
+              FROM documents)
+        WINDOW same AS (PARTITION BY text_sha256)""",
+}
