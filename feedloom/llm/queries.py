@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.llm import contamination, exact, simhash
+from feedloom.llm import contamination, exact, packing, simhash, warc
 from feedloom.llm.shipping import ship
 
 
@@ -14,6 +15,18 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to archives and read back by its index row."""
+    index, folder = warc.archive_pages(_table(spark, sf_dir, "pages"))
+    return warc.read(index, folder, payloads=False).drop("url", "payload")
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The token pieces of every document, packed into sequences of 1024."""
+    docs = _table(spark, sf_dir, "documents")
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json")).drop("row", "ids")
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with the words and items that 10-word benchmark windows hit."""
     found = contamination.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
@@ -38,6 +51,8 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_warc": op1_warc,
+    "op2_packing": op2_packing,
     "op3_decontamination": op3_decontamination,
     "op5_exact_dedup": op5_exact_dedup,
     "op8_simhash": op8_simhash,
