@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.llm import contamination, exact, packing, simhash, warc
+from feedloom.llm import contamination, exact, packing, simhash, substrings, warc
 from feedloom.llm.shipping import ship
 
 
@@ -45,6 +45,11 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.deduplicate(_table(spark, sf_dir, "documents")).drop("row_id")
 
 
+def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the 50-word windows that an earlier document holds."""
+    return substrings.remove_repeats(_table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its fingerprint and the component its links reach."""
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
@@ -55,6 +60,7 @@ QUERIES = {
     "op2_packing": op2_packing,
     "op3_decontamination": op3_decontamination,
     "op5_exact_dedup": op5_exact_dedup,
+    "op7_substrings": op7_substrings,
     "op8_simhash": op8_simhash,
 }
 
