@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.llm import contamination, exact, packing, simhash, substrings, warc
+from feedloom.llm import contamination, exact, idfiles, packing, simhash, substrings, warc
 from feedloom.llm.shipping import ship
 
 
@@ -45,6 +45,12 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.deduplicate(_table(spark, sf_dir, "documents")).drop("row_id")
 
 
+def op6_idfiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids, written to id files and read back."""
+    docs = _table(spark, sf_dir, "documents")
+    return idfiles.round_trip(docs, public_tokenizers.path("word_bpe_49k.json")).drop("ids")
+
+
 def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the 50-word windows that an earlier document holds."""
     return substrings.remove_repeats(_table(spark, sf_dir, "documents")).drop("kept")
@@ -60,6 +66,7 @@ QUERIES = {
     "op2_packing": op2_packing,
     "op3_decontamination": op3_decontamination,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_idfiles": op6_idfiles,
     "op7_substrings": op7_substrings,
     "op8_simhash": op8_simhash,
 }
