@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.llm import contamination, exact, idfiles, packing, simhash, substrings, warc
+from feedloom.llm import contamination, exact, idfiles, packing, simhash, substrings, toxicity, warc
 from feedloom.llm.shipping import ship
 
 
@@ -61,6 +61,20 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity; documents of one crc32 remainder never teach."""
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    model = toxicity.train(docs, labels.where(~held_out))
+    scored = toxicity.with_score(docs.select("doc_id", "text"), model)
+    return scored.select(
+        "doc_id",
+        F.coalesce(held_out, F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= toxicity.SCORE_THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_packing": op2_packing,
@@ -69,6 +83,7 @@ QUERIES = {
     "op6_idfiles": op6_idfiles,
     "op7_substrings": op7_substrings,
     "op8_simhash": op8_simhash,
+    "op9_toxicity": op9_toxicity,
 }
 
 #: SQL for the queries that SQL can express.
