@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.llm import contamination, exact, idfiles, packing, simhash, substrings, toxicity, warc
+from feedloom.llm import contamination, exact, idfiles, lm, packing, pii, simhash, substrings, toxicity, warc
 from feedloom.llm.shipping import ship
 
 
@@ -40,6 +40,11 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's masked pseudo-log-likelihood under a model of the corpus."""
+    return lm.score_documents(_table(spark, sf_dir, "documents"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the document of its text that stays."""
     return exact.deduplicate(_table(spark, sf_dir, "documents")).drop("row_id")
@@ -58,14 +63,19 @@ def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its fingerprint and the component its links reach."""
-    return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents")).drop("text_hash", "component")
+
+
+def teaching_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels that may be learnt from; the others are held out."""
+    return _table(spark, sf_dir, "labels").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1)
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's toxicity; documents of one crc32 remainder never teach."""
-    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    docs = _table(spark, sf_dir, "documents")
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
-    model = toxicity.train(docs, labels.where(~held_out))
+    model = toxicity.train(docs, teaching_labels(spark, sf_dir))
     scored = toxicity.with_score(docs.select("doc_id", "text"), model)
     return scored.select(
         "doc_id",
@@ -75,15 +85,34 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's personal data: counts and digest of base spans, and all spans."""
+    docs = _table(spark, sf_dir, "documents")
+    found = pii.find(docs, pii.train(docs))
+
+    def listed(spans: str) -> Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
+    counts = [count(k) for k in pii.KINDS]
+    return found.select(
+        "doc_id", *counts, F.sha2(listed("base").cast("binary"), 256).alias("base_sha256"), listed("spans").alias("spans")
+    )
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_packing": op2_packing,
     "op3_decontamination": op3_decontamination,
+    "op4_lm": op4_lm,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_idfiles": op6_idfiles,
     "op7_substrings": op7_substrings,
     "op8_simhash": op8_simhash,
     "op9_toxicity": op9_toxicity,
+    "op10_pii": op10_pii,
 }
 
 #: SQL for the queries that SQL can express.

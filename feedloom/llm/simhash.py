@@ -54,14 +54,17 @@ def _signed(value: int) -> int:
 
 
 def fingerprints(docs: DataFrame, length: int = 3, seed: int = 42) -> DataFrame:
-    """doc_id and the fingerprint as a signed 64-bit integer, one row per document."""
+    """doc_id, text_hash and the fingerprint as a signed 64-bit integer, one row per document."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = [_signed(fingerprint(t, length, seed)) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.int64())], ["doc_id", "bits"])
+            values = [_signed(fingerprint(t, length, seed)) for t in batch.column(2).to_pylist()]
+            columns = [*batch.columns[:2], pa.array(values, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "bits"])
 
-    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(read, "doc_id bigint, bits bigint")
+    text = F.col("text").cast("string")
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    return rows.mapInArrow(read, "doc_id bigint, text_hash bigint, bits bigint")
 
 
 def _flips(low: int, high: int, most: int) -> list[tuple[int, int]]:
@@ -167,9 +170,10 @@ def _meet(group: pd.DataFrame, inner: int, outer: int, radius: int) -> pd.DataFr
 
 
 def near_duplicates(docs: DataFrame, length: int = 3, radius: int = 3, seed: int = 42) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text): doc_id, fingerprint (hex), component_id.
+    """One row per row of ``docs`` (doc_id, text): doc_id, fingerprint (hex), component_id,
+    text_hash (XXH64 of the text) and component (a fingerprint that names the group).
 
-    component_id is the smallest doc_id that links reach (null ids only among themselves).
+    component_id is the smallest doc_id that links reach (null where none has an id).
     """
     rows, _ = materialised(fingerprints(docs, length, seed), "fingerprints")
     distinct, _ = materialised(rows.groupBy("bits").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
@@ -177,5 +181,6 @@ def near_duplicates(docs: DataFrame, length: int = 3, radius: int = 3, seed: int
     roots = connected_components(edges)
     of = distinct.join(roots, distinct["bits"] == roots["node"], "left").select("bits", "least", F.coalesce("root", "bits").alias("root"))
     lowest = of.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = of.join(lowest, "root").select("bits", "component_id")
-    return rows.join(named, "bits").select("doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
+    named = of.join(lowest, "root").select("bits", "component_id", F.col("root").alias("component"))
+    shown = F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint")
+    return rows.join(named, "bits").select("doc_id", shown, "component_id", "text_hash", "component")

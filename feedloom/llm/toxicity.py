@@ -1,15 +1,15 @@
 """Toxicity by a convolutional text classifier, trained here in numpy.
 
-Words are hashed; hashes that enough training texts hold have an embedding, all others share
-one. Filters of several widths slide over the embeddings of the whole text, each keeps its
-largest value, and a dense layer makes a logit of them. Training uses a bounded sample of
-labelled rows, chosen by a hash of doc_id. A quarter of the sample, not trained on, calibrates a
-threshold per language (told from the text's own function words), and scores are shifted so
-that every language's threshold is SCORE_THRESHOLD.
+A word's embedding is the sum of hashed embeddings: of the word and of its beginnings, as far
+as enough training texts hold them. Filters of several widths slide over the whole text, each
+keeps its largest value, and a dense layer makes a logit of them. Training uses a bounded sample
+of labelled rows, chosen by a hash of doc_id. A quarter of the sample, not trained on,
+calibrates a threshold per language (told from the text's own function words), and scores are
+shifted so that every language's threshold is SCORE_THRESHOLD.
 
 Only the text enters a score. Null and empty texts are scored as one unknown word. Labels that
 are null or whose document is missing are ignored; without labels of both classes every score
-is the share of toxic labels (0 without any). Repeated rows are scored each.
+is the share of toxic labels (close to 0 without any). Repeated rows are scored each.
 """
 
 from __future__ import annotations
@@ -25,8 +25,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 #: Labelled rows that may be collected to train and calibrate on.
-SAMPLE = 16_000
+SAMPLE = 8_000
 BUCKETS, LEAST_TEXTS = 1 << 22, 3
+#: Bytes of a word's beginnings that are hashed beside the word.
+BEGINNINGS = (3, 4, 5, 6, 7, 8, 10)
+#: Words whose vectors a worker remembers.
+REMEMBERED = 1 << 19
 SIZE, FILTERS, WIDTHS = 8, 8, (1, 2, 3)
 EPOCHS, BATCH, RATE = 6, 64, 0.01
 SCORE_THRESHOLD = 0.7
@@ -47,9 +51,10 @@ def words_of(text: str | None) -> list[bytes]:
     return text.lower().encode("utf-8", "surrogatepass").translate(_LETTERS).split() if text else []
 
 
-def hashed(words: list[bytes]) -> np.ndarray:
-    h = np.fromiter(map(zlib.crc32, words), np.uint64, len(words))
-    return ((h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - (BUCKETS.bit_length() - 1))).astype(np.int32)
+def hashes(word: bytes) -> list[int]:
+    """Buckets of the word and of its beginnings (-1 where it is too short)."""
+    found = [zlib.crc32(word + b"$")] + [zlib.crc32(word[:n]) if len(word) >= n else None for n in BEGINNINGS]
+    return [-1 if h is None else (h * 0x9E3779B1 >> 7) & (BUCKETS - 1) for h in found]
 
 
 def language_of(words: list[bytes]) -> int:
@@ -64,7 +69,7 @@ def language_of(words: list[bytes]) -> int:
 
 @dataclass
 class Model:
-    """Weights; ``slot`` maps a hash to its embedding, 0 for unknown words."""
+    """Weights; ``slot`` maps a bucket to its embedding, 0 (always zero) for unknown ones."""
 
     slot: np.ndarray
     embedding: np.ndarray
@@ -75,42 +80,67 @@ class Model:
     #: Logit shift per language.
     shift: np.ndarray = field(default_factory=lambda: np.zeros(len(_LANGUAGES)))
 
-    def _padded(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """All texts' slots, each followed by unknown words so that every filter fits."""
-        pad, sizes = max(WIDTHS) - 1, np.array([max(1, len(t)) for t in texts])
-        starts = np.concatenate([[0], np.cumsum(sizes + pad)])
-        ids = np.zeros(starts[-1], np.int32)
-        for t, s in zip(texts, starts):
-            ids[s : s + len(t)] = self.slot[t]
-        return ids, starts[:-1], sizes
-
-    def pooled(self, texts: list[np.ndarray], where: bool = False) -> tuple:
-        ids, starts, sizes = self._padded(texts)
-        words = self.embedding[ids]
+    def pooled(self, vectors: np.ndarray, starts: np.ndarray, sizes: np.ndarray, where: bool = False) -> tuple:
+        """Largest filter values of each text, and their places if asked for."""
         out, at = [], []
         for width, taps, bias in zip(WIDTHS, self.filters, self.bias):
-            n = len(ids) - width + 1
-            values = words[:n] @ taps[0]
+            n = len(vectors) - width + 1
+            values = vectors[:n] @ taps[0]
             for j in range(1, width):
-                values += words[j : n + j] @ taps[j]
-            tops = [values[s : s + k].argmax(0) + s for s, k in zip(starts, sizes)] if where else None
+                values += vectors[j : n + j] @ taps[j]
             if where:
-                at.append(np.array(tops))
+                at.append(np.array([values[s : s + k].argmax(0) + s for s, k in zip(starts, sizes)]))
                 top = values[at[-1], np.arange(FILTERS)]
             else:
                 # Windows that begin in a text's padding are not its own.
-                edges = np.stack([starts, np.minimum(starts + sizes, n)], 1).ravel()
+                edges = np.stack([starts, starts + sizes], 1).ravel()
                 top = np.maximum.reduceat(np.concatenate([values, values[-1:]]), edges, axis=0)[::2]
             out.append(np.maximum(top + bias, 0))
-        return np.concatenate(out, 1), ids, words, at
-
-    def logits(self, texts: list[np.ndarray]) -> np.ndarray:
-        return self.pooled(texts)[0] @ self.dense + self.offset
+        return np.concatenate(out, 1), at
+
+
+class Scorer:
+    """Scores texts with a model; remembers the vectors of words, up to a bounded number."""
+
+    def __init__(self, model: Model):
+        self.model = model
+        self.known: dict[bytes, int] = {}
+        self.vectors = np.zeros((1024, SIZE), np.float32)
+
+    def _rows(self, words: list[bytes]) -> list[int]:
+        known = self.known
+        rows = [known.get(w, -1) for w in words]
+        if -1 in rows:
+            for i, r in enumerate(rows):
+                if r < 0 and (r := known.get(words[i], -1)) < 0:
+                    r = known[words[i]] = len(known) + 1
+                    if r >= len(self.vectors):
+                        self.vectors = np.concatenate([self.vectors, np.zeros_like(self.vectors)])
+                    slots = self.model.slot[[h for h in hashes(words[i]) if h >= 0]]
+                    self.vectors[r] = self.model.embedding[slots].sum(0)
+                rows[i] = r
+        return rows
+
+    def logits(self, texts: list[list[bytes]]) -> np.ndarray:
+        if len(self.known) > REMEMBERED:
+            self.known, self.vectors = {}, np.zeros((1024, SIZE), np.float32)
+        rows, starts, sizes = padded([self._rows(t) for t in texts])
+        return self.model.pooled(self.vectors[rows], starts, sizes)[0] @ self.model.dense + self.model.offset
 
     def scores(self, texts: list[list[bytes]]) -> np.ndarray:
         """Calibrated scores of tokenized texts."""
-        raw = self.logits([hashed(t) for t in texts])
-        return _sigmoid(raw + self.shift[[language_of(t) for t in texts]])
+        return _sigmoid(self.logits(texts) + self.model.shift[[language_of(t) for t in texts]])
+
+
+def padded(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All texts' word numbers on end, each followed by zeros so that every filter fits; where
+    they start, and their sizes (an empty text is one zero)."""
+    pad, sizes = max(WIDTHS), np.array([max(1, len(t)) for t in texts])
+    starts = np.concatenate([[0], np.cumsum(sizes + pad)])
+    rows = np.zeros(starts[-1], np.int64)
+    for t, s in zip(texts, starts):
+        rows[s : s + len(t)] = t
+    return rows, starts[:-1], sizes
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -129,21 +159,28 @@ class _Adam:
             a[r] -= RATE * (m[r] / (1 - 0.9**self.t)) / (np.sqrt(v[r] / (1 - 0.999**self.t)) + 1e-6)
 
 
-def fit(texts: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Model:
-    """Train on hashed texts; embeddings start from the words' log-odds."""
+def fit(texts: list[list[bytes]], labels: np.ndarray, seed: int = 7) -> Model:
+    """Train on tokenized texts; embeddings start from log-odds of the labels."""
     rng = np.random.default_rng(seed)
     labels = np.asarray(labels, np.float64)
+    number: dict[bytes, int] = {}
+    rows = [np.array([number.setdefault(w, len(number) + 1) for w in t], np.int64) for t in texts]
+    buckets = np.full((len(number) + 1, 1 + len(BEGINNINGS)), -1, np.int64)
+    for word, i in number.items():
+        buckets[i] = hashes(word)
     counts = np.zeros((2, BUCKETS), np.int32)
-    for t, y in zip(texts, labels):
-        counts[int(y)][np.unique(t)] += 1
+    for r, y in zip(rows, labels):
+        own = np.unique(buckets[np.unique(r)])
+        counts[int(y)][own[own >= 0]] += 1
     known = np.flatnonzero(counts.sum(0) >= LEAST_TEXTS)
     slot = np.zeros(BUCKETS, np.int32)
     slot[known] = np.arange(1, len(known) + 1)
-    positive = max(1.0, labels.sum())
-    negative = max(1.0, len(labels) - labels.sum())
+    slots = np.where(buckets >= 0, slot[buckets], 0)
+    positive, negative = max(1.0, labels.sum()), max(1.0, len(labels) - labels.sum())
     odds = np.log((counts[1][known] + 0.5) / (positive + 1)) - np.log((counts[0][known] + 0.5) / (negative + 1))
-    embedding = rng.normal(0, 0.05, (len(known) + 1, SIZE)).astype(np.float32)
-    embedding[1:, 0] += np.clip(odds, -4, 4) / 4
+    embedding = rng.normal(0, 0.02, (len(known) + 1, SIZE)).astype(np.float32)
+    embedding[1:, 0] += np.clip(odds, -4, 4) / 16
+    embedding[0] = 0
     filters = [rng.normal(0, 0.2, (w, SIZE, FILTERS)).astype(np.float32) for w in WIDTHS]
     for taps in filters:
         taps[0, 0, : FILTERS // 2] += 1.0
@@ -162,35 +199,39 @@ def fit(texts: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Model:
         order = rng.permutation(len(texts))
         for i in range(0, len(order), BATCH):
             batch = order[i : i + BATCH]
-            model.offset = float(offset[0])
-            pooled, ids, words, at = model.pooled([texts[j] for j in batch], where=True)
-            error = (_sigmoid(pooled @ dense + model.offset) - labels[batch]) / len(batch)
+            own, starts, sizes = padded([rows[j] for j in batch])
+            vectors = embedding[slots[own]].sum(1)
+            pooled, at = model.pooled(vectors, starts, sizes, where=True)
+            error = (_sigmoid(pooled @ dense + offset[0]) - labels[batch]) / len(batch)
             back = np.outer(error, dense) * (pooled > 0)
-            slots, steps, filter_grads, bias_grads = [], [], [], []
+            words, steps, filter_grads, bias_grads = [], [], [], []
             for k, (width, taps) in enumerate(zip(WIDTHS, filters)):
                 g = back[:, k * FILTERS : (k + 1) * FILTERS].astype(np.float32)
                 grad = np.empty_like(taps)
                 for j in range(width):
-                    seen = words[at[k] + j]
-                    grad[j] = np.einsum("bf,bfd->df", g, seen)
-                    slots.append(ids[at[k] + j].ravel())
+                    grad[j] = np.einsum("bf,bfd->df", g, vectors[at[k] + j])
+                    words.append(own[at[k] + j].ravel())
                     steps.append((g[:, :, None] * taps[j].T[None]).reshape(-1, SIZE))
                 filter_grads.append(grad + 1e-4 * taps)
                 bias_grads.append(g.sum(0))
-            touched, inverse = np.unique(np.concatenate(slots), return_inverse=True)
+            moved_slots = slots[np.concatenate(words)]
+            touched, inverse = np.unique(moved_slots, return_inverse=True)
             moved = np.zeros((len(touched), SIZE), np.float32)
-            np.add.at(moved, inverse, np.concatenate(steps))
+            np.add.at(moved, inverse.ravel(), np.repeat(np.concatenate(steps), moved_slots.shape[1], axis=0))
+            moved[touched == 0] = 0
             grads = [moved, *filter_grads, *bias_grads, pooled.T @ error + 1e-4 * dense, np.array([error.sum()])]
             adam.step(arrays, grads, [touched] + [every] * (len(arrays) - 1))
     model.offset = float(offset[0])
     return model
 
 
-def calibrate(model: Model, texts: list[list[bytes]] | list[np.ndarray], labels: np.ndarray, languages: np.ndarray) -> None:
+def calibrate(model: Model, texts: list[list[bytes]], labels: np.ndarray) -> None:
     """Set the shift of each language: its threshold of best F1 becomes SCORE_THRESHOLD."""
     if not len(texts):
         return
-    raw = np.concatenate([model.logits(texts[i : i + 256]) for i in range(0, len(texts), 256)])
+    scorer = Scorer(model)
+    raw = np.concatenate([scorer.logits(texts[i : i + 256]) for i in range(0, len(texts), 256)])
+    languages = np.array([language_of(t) for t in texts])
     goal = np.log(SCORE_THRESHOLD / (1 - SCORE_THRESHOLD))
     common = _threshold(raw, labels)
     for i in range(len(_LANGUAGES)):
@@ -229,23 +270,14 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         F.broadcast(chosen.select("label_id", "toxic", fold.alias("fold"))), F.col("doc_id") == F.col("label_id")
     )
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            words = [words_of(t) for t in batch.column(0).to_pylist()]
-            ids = [hashed(w).astype("<i4").tobytes() for w in words]
-            languages = pa.array([language_of(w) for w in words], pa.int32())
-            columns = [pa.array(ids, pa.binary()), batch.column(1), batch.column(2), batch.column(3), languages]
-            yield pa.RecordBatch.from_arrays(columns, ["ids", "toxic", "fold", "label_id", "language"])
-
-    schema = "ids binary, toxic int, fold bigint, label_id bigint, language int"
-    table = rows.select("text", "toxic", "fold", "label_id").mapInArrow(read, schema).toArrow().sort_by("label_id")
-    texts = [np.frombuffer(b.as_py(), "<i4") for b in table.column("ids")]
-    toxic, fold, language = (table.column(c).to_numpy() for c in ("toxic", "fold", "language"))
+    table = rows.select("label_id", "text", "toxic", "fold").toArrow().sort_by("label_id")
+    texts = [words_of(t.as_py()) for t in table.column("text")]
+    toxic, fold = table.column("toxic").to_numpy(), table.column("fold").to_numpy()
     few = len(texts) < 200
     train_on = np.flatnonzero((fold != 0) | few)
     check_on = np.flatnonzero((fold == 0) | few)
     model = fit([texts[i] for i in train_on], toxic[train_on])
-    calibrate(model, [texts[i] for i in check_on], toxic[check_on], language[check_on])
+    calibrate(model, [texts[i] for i in check_on], toxic[check_on])
     return model
 
 
@@ -257,11 +289,12 @@ def with_score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
     at = docs.columns.index("text")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(shared.value)
         for batch in batches:
             texts, scores = batch.column(at), []
             for i in range(0, batch.num_rows, 256):
                 words = [words_of(t) for t in texts[i : i + 256].to_pylist()]
-                scores.append(shared.value.scores(words))
+                scores.append(scorer.scores(words))
             column = pa.array(np.concatenate(scores) if scores else [], pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns, column], [*batch.schema.names, name])
 
