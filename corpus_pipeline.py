@@ -15,25 +15,27 @@ from pyspark.sql import functions as F
 from feedloom.llm import contamination, exact, packing, simhash, toxicity
 from feedloom.llm.queries import teaching_labels
 from feedloom.llm.shipping import ship
-from feedloom.llm.storage import materialised
+from feedloom.llm.storage import materialised, unused
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def _without(docs: DataFrame, dropped: DataFrame, key: Column) -> DataFrame:
     """``docs`` less the rows whose doc_id and key are among ``dropped`` (doc_id, key)."""
-    gone = dropped.select(F.col("doc_id").alias("__gone_id"), F.col("key").alias("__gone_key")).distinct()
-    keyed = docs.withColumn("__key", key)
-    met = keyed["doc_id"].eqNullSafe(gone["__gone_id"]) & (keyed["__key"] == gone["__gone_key"])
-    return keyed.join(gone, met, "left_anti").drop("__key")
+    name = unused(docs, "row_key")
+    gone = dropped.select(F.col("doc_id").alias(f"{name}_gone"), F.col("key").alias(f"{name}_of")).distinct()
+    keyed = docs.withColumn(name, key)
+    met = keyed["doc_id"].eqNullSafe(gone[f"{name}_gone"]) & (keyed[name] == gone[f"{name}_of"])
+    return keyed.join(gone, met, "left_anti").drop(name)
 
 
 def clean_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity is below the threshold."""
     ship(spark)
     model = toxicity.train(docs, teaching_labels(spark, sf_dir))
-    scored = toxicity.with_score(docs, model, "__toxicity")
-    return scored.where(F.col("__toxicity") < toxicity.SCORE_THRESHOLD).drop("__toxicity")
+    name = unused(docs, "toxicity")
+    scored = toxicity.with_score(docs, model, name)
+    return scored.where(F.col(name) < toxicity.SCORE_THRESHOLD).drop(name)
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +51,8 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     if again.isEmpty():
         return kept
     # Rows that repeat the id of the one that stays: any of them is that document.
-    return kept.withColumn("__key", digest).dropDuplicates(["doc_id", "__key"]).drop("__key")
+    name = unused(docs, "digest")
+    return kept.withColumn(name, digest).dropDuplicates(["doc_id", name]).drop(name)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -68,9 +71,10 @@ def unseen_tests(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     row = F.xxhash64("doc_id", F.col("text").cast("string"))
     found = contamination.decontaminate(docs.select(row.alias("doc_id"), "text"), benchmark)
-    hit = found.where(F.col("n_hit") > 0).select(F.col("doc_id").alias("__hit")).distinct()
-    keyed = docs.withColumn("__key", row)
-    return keyed.join(hit, keyed["__key"] == hit["__hit"], "left_anti").drop("__key")
+    dropped = found.where(F.col("n_hit") > 0).select("doc_id")
+    name = unused(docs, "row_key")
+    keyed = docs.withColumn(name, row)
+    return keyed.join(dropped.toDF(f"{name}_hit").distinct(), F.col(name) == F.col(f"{name}_hit"), "left_anti").drop(name)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -43,3 +43,11 @@ def open_store(uri: str) -> tuple[fs.FileSystem, str]:
 def fresh_name(prefix: str, partition: int, suffix: str) -> str:
     """A file name no other attempt of the task uses."""
     return f"{prefix}-{partition:06d}-{uuid.uuid4().hex[:12]}{suffix}"
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with underscores after it until no column of ``df`` is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

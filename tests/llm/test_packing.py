@@ -1,0 +1,63 @@
+import math
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import public_tokenizers
+import pytest
+from tokenizers import Tokenizer
+
+from feedloom.llm import packing
+
+PATH = public_tokenizers.path("byte_bpe_50k.json")
+
+
+def brute(rows, limit):
+    encode, out = Tokenizer.from_file(PATH).encode, Counter()
+    for doc_id, text in rows:
+        ids = encode(text or "", add_special_tokens=False).ids + [2]
+        first = len(ids) if len(ids) <= limit else len(ids) % limit or limit
+        cuts = [0, *range(first, len(ids), limit), len(ids)]
+        for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
+            out[doc_id, k, a, b - a, zlib.crc32(np.array(ids[a:b], "<u4").tobytes())] += 1
+    return out
+
+
+@pytest.mark.parametrize("group", [8192, 4])
+def test_pieces_and_places(docs, awkward, monkeypatch, group):
+    monkeypatch.setattr(packing, "GROUP", group)
+    capacity = packing.Capacity(tokens=128, documents=5, cost=128 * 128)
+    packed = packing.pack_documents(docs, PATH, capacity=capacity, keep_ids=True)
+    rows = packed.collect()
+    assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in rows) == brute(awkward, 128)
+    bins = defaultdict(list)
+    for r in rows:
+        bins[r["sequence_id"]].append(r)
+    for own in bins.values():
+        at = 0
+        for r in sorted(own, key=lambda r: r["offset"]):
+            assert r["offset"] == at
+            at += r["length"]
+        assert at <= 128 and len(own) <= 5 and sum(r["length"] ** 2 for r in own) <= 128 * 128
+    joined = {r["sequence_id"]: bytes(r["ids"]) for r in packing.sequences(packed).collect()}
+    assert joined == {k: b"".join(bytes(r["ids"]) for r in sorted(v, key=lambda r: r["offset"])) for k, v in bins.items()}
+
+
+@pytest.mark.parametrize("rule", ["norm", "dot"])
+def test_close_to_the_bound(rule):
+    lengths = np.random.default_rng(1).integers(1, 1025, 4000)
+    bins, offsets = packing.best_fit(lengths, packing.Capacity(), (1.0, 1e-6, 1e-6), rule)
+    assert np.bincount(bins, lengths).max() <= 1024
+    assert len(set(bins.tolist())) <= 1.03 * math.ceil(lengths.sum() / 1024)
+
+
+def test_capacities_that_bind():
+    lengths = np.full(60, 10)
+    assert len(set(packing.best_fit(lengths, packing.Capacity(1024, 7, 1024**2), (1, 1, 1), "norm")[0].tolist())) == 9
+    assert len(set(packing.best_fit(lengths, packing.Capacity(1024, 1024, 1000), (1, 1, 1), "dot")[0].tolist())) == 6
+
+
+def test_empty_table_and_bad_capacity(no_docs):
+    assert packing.pack_documents(no_docs, PATH).count() == 0
+    with pytest.raises(ValueError):
+        packing.pack_documents(no_docs, PATH, capacity=packing.Capacity(cost=5))

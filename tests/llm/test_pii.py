@@ -1,0 +1,109 @@
+import random
+import re
+
+import numpy as np
+import pytest
+
+from feedloom.llm import boosting, pii
+
+EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+
+
+def checksum(digits):
+    return sum(sum(divmod(int(d) * (1 + i % 2), 10)) for i, d in enumerate(reversed(digits))) % 10 == 0
+
+
+def brute(text):
+    bare = lambda m: re.sub("[^0-9]", "", m[0])
+    out = [(m.start(), 0, m.end()) for m in EMAIL.finditer(text)]
+    out += [(m.start(), 1, m.end()) for m in IP.finditer(text) if all(int(p) <= 255 for p in m[0].split("."))]
+    out += [(m.start(), 2, m.end()) for m in CARD.finditer(text) if 12 <= len(bare(m)) <= 19 and checksum(bare(m))]
+    out += [(m.start(), 3, m.end()) for m in PHONE.finditer(text) if 9 <= len(bare(m)) <= 15]
+    return sorted(out)
+
+
+def test_base_equals_the_stated_patterns():
+    rng = random.Random(8)
+    parts = [*"aB.@@-_%+ 1234567890()é\n", "4111111111111111", " 192.168.0.1", "+1 (017) 555-7713", "a@b.co", "٣"]
+    for _ in range(20000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 25)))
+        assert pii.base_spans(text) == brute(text), repr(text)
+
+
+@pytest.mark.parametrize("text", ["a" * 200_000, "1" * 200_000, "@" * 50_000, "a@" * 50_000, "+1" * 50_000, "1." * 50_000, "1 " * 50_000])
+def test_very_long_texts_take_linear_time(text):
+    pii.base_spans(text)
+    pii.proposals(text)
+
+
+def sample(n, seed):
+    rng = random.Random(seed)
+    digits = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
+    texts = []
+    for i in range(n):
+        kind = rng.randrange(4)
+        person = [f"call me at +49 ({digits(3)}) {digits(3)}-{digits(4)} today", f"mail joe.{digits(2)}@host{digits(1)}.example.org now"][kind % 2]
+        texts.append(f"Some words here. {person if kind < 2 else 'nothing'} . order no. {digits(9)} and isbn {digits(3)}-{digits(10)} of page {digits(4)}/{digits(4)}")
+    return texts
+
+
+def test_trees_add_loose_formats_and_keep_base():
+    model = pii.learn(sample(800, 1))
+    text = "please mail joe.77 [at] host5 [dot] example [dot] org now, order no. 123456789"
+    base = pii.base_spans(text)
+    extra = pii.selected(text, base, model)
+    assert base == [] and [pii.KINDS[k] for _, k, _ in extra] == ["email"]
+    assert text[extra[0][0] : extra[0][2]] == "joe.77 [at] host5 [dot] example [dot] org"
+    wrong = 0
+    for clean in sample(300, 2):
+        own = pii.base_spans(clean)
+        spans = pii.selected(clean, own, model)
+        wrong += len(spans)
+        every = sorted([*own, *spans])
+        assert all(a[2] <= b[0] for a, b in zip(every, every[1:]) if a in spans or b in spans)
+    assert wrong <= 6
+
+
+def test_rows(spark, docs, awkward, no_docs):
+    model = pii.train(docs)
+    assert model.trees is None
+    rows = pii.find(docs, model).collect()
+    assert len(rows) == len(awkward) and all(r["base"] == r["spans"] == [] for r in rows)
+    assert pii.find(no_docs, pii.train(no_docs)).count() == 0
+    one = spark.createDataFrame([(1, "é +1 (017) 555-7713")], "doc_id bigint, text string")
+    assert [tuple(s) for s in pii.find(one, model).first()["base"]] == [(2, "phone", 19)]
+
+
+def test_redaction():
+    assert pii.redact("a b@c.de f", [(2, 0, 8)]) == "a [email] f"
+    assert pii.redact(None, []) is None
+    assert pii.redact("abcdef", [(0, 2, 4), (2, 3, 5)]) == "[card]ef"
+
+
+def test_held_places():
+    held = pii._Held()
+    for s, e in ((10, 20), (30, 40), (15, 35), (50, 60)):
+        held.add(s, e)
+    assert (held.starts, held.ends) == ([10, 50], [40, 60])
+    assert held.free(0, 10) and held.free(40, 50) and not held.free(39, 41) and not held.free(5, 70)
+
+
+def test_boosting_learns_and_equals_a_walk():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(2000, 4))
+    y = ((x[:, 0] > 0.3) ^ (x[:, 2] < -0.2)).astype(float)
+    model = boosting.fit(x[:1500], y[:1500], np.ones(1500))
+    assert ((model.logits(x[1500:]) > 0) == y[1500:]).mean() > 0.95
+    bins, raw = model.binned(x[:20]), []
+    for row in bins:
+        total = model.base
+        for f, s, leaf in zip(model.feature, model.split, model.leaf):
+            node = 0
+            while node < len(f):
+                node = 2 * node + 1 + int(row[f[node]] > s[node])
+            total += leaf[node - len(f)]
+        raw.append(total)
+    assert np.allclose(model.logits(x[:20]), raw)
