@@ -159,14 +159,13 @@ class _Adam:
             a[r] -= RATE * (m[r] / (1 - 0.9**self.t)) / (np.sqrt(v[r] / (1 - 0.999**self.t)) + 1e-6)
 
 
-def fit(texts: list[list[bytes]], labels: np.ndarray, seed: int = 7) -> Model:
-    """Train on tokenized texts; embeddings start from log-odds of the labels."""
+def fit(rows: list[np.ndarray], labels: np.ndarray, words: list[bytes], seed: int = 7) -> tuple[Model, np.ndarray]:
+    """Train on texts given as numbers of ``words`` (from 1); embeddings start from log-odds of
+    the labels. Also returns the slots of every number."""
     rng = np.random.default_rng(seed)
     labels = np.asarray(labels, np.float64)
-    number: dict[bytes, int] = {}
-    rows = [np.array([number.setdefault(w, len(number) + 1) for w in t], np.int64) for t in texts]
-    buckets = np.full((len(number) + 1, 1 + len(BEGINNINGS)), -1, np.int64)
-    for word, i in number.items():
+    buckets = np.full((len(words) + 1, 1 + len(BEGINNINGS)), -1, np.int32)
+    for i, word in enumerate(words, 1):
         buckets[i] = hashes(word)
     counts = np.zeros((2, BUCKETS), np.int32)
     for r, y in zip(rows, labels):
@@ -175,7 +174,7 @@ def fit(texts: list[list[bytes]], labels: np.ndarray, seed: int = 7) -> Model:
     known = np.flatnonzero(counts.sum(0) >= LEAST_TEXTS)
     slot = np.zeros(BUCKETS, np.int32)
     slot[known] = np.arange(1, len(known) + 1)
-    slots = np.where(buckets >= 0, slot[buckets], 0)
+    slots = np.where(buckets >= 0, slot[buckets], 0).astype(np.int32)
     positive, negative = max(1.0, labels.sum()), max(1.0, len(labels) - labels.sum())
     odds = np.log((counts[1][known] + 0.5) / (positive + 1)) - np.log((counts[0][known] + 0.5) / (negative + 1))
     embedding = rng.normal(0, 0.02, (len(known) + 1, SIZE)).astype(np.float32)
@@ -190,13 +189,13 @@ def fit(texts: list[list[bytes]], labels: np.ndarray, seed: int = 7) -> Model:
     model = Model(slot, embedding, filters, bias, dense, np.log(share / (1 - share)))
     if not 0 < labels.sum() < len(labels):
         model.dense[:] = 0
-        return model
+        return model, slots
     offset = np.array([model.offset], np.float32)
     arrays = [embedding, *filters, *bias, dense, offset]
     adam = _Adam(arrays)
     every = slice(None)
     for _ in range(EPOCHS):
-        order = rng.permutation(len(texts))
+        order = rng.permutation(len(rows))
         for i in range(0, len(order), BATCH):
             batch = order[i : i + BATCH]
             own, starts, sizes = padded([rows[j] for j in batch])
@@ -204,17 +203,17 @@ def fit(texts: list[list[bytes]], labels: np.ndarray, seed: int = 7) -> Model:
             pooled, at = model.pooled(vectors, starts, sizes, where=True)
             error = (_sigmoid(pooled @ dense + offset[0]) - labels[batch]) / len(batch)
             back = np.outer(error, dense) * (pooled > 0)
-            words, steps, filter_grads, bias_grads = [], [], [], []
+            places, steps, filter_grads, bias_grads = [], [], [], []
             for k, (width, taps) in enumerate(zip(WIDTHS, filters)):
                 g = back[:, k * FILTERS : (k + 1) * FILTERS].astype(np.float32)
                 grad = np.empty_like(taps)
                 for j in range(width):
                     grad[j] = np.einsum("bf,bfd->df", g, vectors[at[k] + j])
-                    words.append(own[at[k] + j].ravel())
+                    places.append(own[at[k] + j].ravel())
                     steps.append((g[:, :, None] * taps[j].T[None]).reshape(-1, SIZE))
                 filter_grads.append(grad + 1e-4 * taps)
                 bias_grads.append(g.sum(0))
-            moved_slots = slots[np.concatenate(words)]
+            moved_slots = slots[np.concatenate(places)]
             touched, inverse = np.unique(moved_slots, return_inverse=True)
             moved = np.zeros((len(touched), SIZE), np.float32)
             np.add.at(moved, inverse.ravel(), np.repeat(np.concatenate(steps), moved_slots.shape[1], axis=0))
@@ -222,16 +221,18 @@ def fit(texts: list[list[bytes]], labels: np.ndarray, seed: int = 7) -> Model:
             grads = [moved, *filter_grads, *bias_grads, pooled.T @ error + 1e-4 * dense, np.array([error.sum()])]
             adam.step(arrays, grads, [touched] + [every] * (len(arrays) - 1))
     model.offset = float(offset[0])
-    return model
+    return model, slots
 
 
-def calibrate(model: Model, texts: list[list[bytes]], labels: np.ndarray) -> None:
+def calibrate(model: Model, slots: np.ndarray, rows: list[np.ndarray], labels: np.ndarray, languages: np.ndarray) -> None:
     """Set the shift of each language: its threshold of best F1 becomes SCORE_THRESHOLD."""
-    if not len(texts):
+    if not len(rows):
         return
-    scorer = Scorer(model)
-    raw = np.concatenate([scorer.logits(texts[i : i + 256]) for i in range(0, len(texts), 256)])
-    languages = np.array([language_of(t) for t in texts])
+    raw = []
+    for i in range(0, len(rows), BATCH):
+        own, starts, sizes = padded(rows[i : i + BATCH])
+        raw.append(model.pooled(model.embedding[slots[own]].sum(1), starts, sizes)[0] @ model.dense + model.offset)
+    raw = np.concatenate(raw)
     goal = np.log(SCORE_THRESHOLD / (1 - SCORE_THRESHOLD))
     common = _threshold(raw, labels)
     for i in range(len(_LANGUAGES)):
@@ -271,13 +272,19 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     )
 
     table = rows.select("label_id", "text", "toxic", "fold").toArrow().sort_by("label_id")
-    texts = [words_of(t.as_py()) for t in table.column("text")]
     toxic, fold = table.column("toxic").to_numpy(), table.column("fold").to_numpy()
+    number: dict[bytes, int] = {}
+    texts, languages = [], []
+    for text in table.column("text"):
+        words = words_of(text.as_py())
+        texts.append(np.array([number.setdefault(w, len(number) + 1) for w in words], np.int32))
+        languages.append(language_of(words))
+    del table
     few = len(texts) < 200
     train_on = np.flatnonzero((fold != 0) | few)
     check_on = np.flatnonzero((fold == 0) | few)
-    model = fit([texts[i] for i in train_on], toxic[train_on])
-    calibrate(model, [texts[i] for i in check_on], toxic[check_on])
+    model, slots = fit([texts[i] for i in train_on], toxic[train_on], list(number))
+    calibrate(model, slots, [texts[i] for i in check_on], toxic[check_on], np.array(languages, np.int64)[check_on])
     return model
 
 
