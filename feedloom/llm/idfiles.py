@@ -97,7 +97,7 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int = 2) -> DataFrame
 
     def files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
-        encode, vocabulary = own.encode, max(own.tokenizer.get_vocab_size(), end_id + 1)
+        encode, vocabulary = own.encode_many, max(own.tokenizer.get_vocab_size(), end_id + 1)
         end, part = int(end_id).to_bytes(4, "little"), TaskContext.get().partitionId()
         store, base = open_store(folder)
         name, out, offset, first, run = fresh_name("ids", part, ".bin"), None, 0, 0, 0
@@ -117,8 +117,8 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int = 2) -> DataFrame
             return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, _INDEX)], schema=_INDEX)
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = encode(text) + end
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1))):
+                ids += end
                 held.append((doc_id, len(ids) // 4))
                 parts.append(ids)
                 n += len(ids) // 4

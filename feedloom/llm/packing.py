@@ -59,12 +59,12 @@ def pieces(docs: DataFrame, path: str, end_id: int = 2, tokens: int = 1024, keep
     """The token pieces of ``docs`` (doc_id, text); ids (little-endian, 32 bits) if asked for."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end, number = encoder(path).encode, int(end_id).to_bytes(4, "little"), 0
+        encode, end, number = encoder(path).encode_many, int(end_id).to_bytes(4, "little"), 0
         part = TaskContext.get().partitionId()
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = encode(text) + end
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1))):
+                ids += end
                 n = len(ids) // 4
                 first = n % tokens if n > tokens and n % tokens else min(n, tokens)
                 for k, start in enumerate([0, *range(first, n, tokens)]):

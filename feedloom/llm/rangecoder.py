@@ -19,7 +19,7 @@ import numpy as np
 
 LANES, STEPS = 4096, 256
 #: Bits of the whole interval, of order 0's part before its weight, and of a weight unit.
-TOTAL, ORDER0 = 30, 20
+TOTAL, ORDER0 = 30, 19
 UNITS = 1 << (TOTAL - ORDER0)
 #: Slots for order-2 contexts.
 SLOTS = 1 << 19
@@ -27,6 +27,7 @@ HEAD = struct.Struct("<IIIII")
 
 _TOP, _BOTTOM = np.uint64(1 << 48), np.uint64(1 << 32)
 _LOW = np.uint64((1 << 32) - 1)
+_RAISED = np.minimum(np.arange(8) + 1, 7)
 _16, _48, _30 = np.uint64(16), np.uint64(48), np.uint64(30)
 
 
@@ -38,12 +39,19 @@ class _Model:
         self.counts = np.zeros(vocabulary, np.int64)
         self.spare = (1 << ORDER0) - vocabulary
         self.flat = np.arange(vocabulary + 1, dtype=np.int64)
+        #: Per context the id last seen, times 8, plus how often it came true (up to 7).
         self.known = [np.zeros(vocabulary, np.int32), np.zeros(SLOTS, np.int32)]
-        self.trust = [np.zeros(vocabulary, np.int8), np.zeros(SLOTS, np.int8)]
         self.seen = np.zeros((3, 64))
         self.before = [np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)]
         self.fresh: list[np.ndarray] = []
         self.step = 0
+        self.inverse: np.ndarray | None = None
+
+    def ids_at(self, values: np.ndarray) -> np.ndarray:
+        """The ids whose part of order 0 holds the values."""
+        if self.inverse is None:
+            self.inverse = np.repeat(np.arange(self.size, dtype=np.int32), np.diff(self.cumulated))
+        return self.inverse[values].astype(np.int64)
 
     def predict(self, lanes: int) -> tuple[np.ndarray, ...]:
         """Candidates of order 1 and 2, and each lane's weights of order 0, 1 and 2."""
@@ -52,9 +60,10 @@ class _Model:
             self._recount()
         one, two = self.before[0][:lanes], self.before[1][:lanes]
         self.at = [one, ((two * 0x9E3779B1 ^ one * 0x85EBCA77) >> 7) & (SLOTS - 1)]
-        self.guess = [k[a].astype(np.int64) for k, a in zip(self.known, self.at)]
-        self.sure = [t[a] for t, a in zip(self.trust, self.at)]
-        self.state = self.sure[1].astype(np.intp) * 8 + self.sure[0]
+        found = [k[a].astype(np.int64) for k, a in zip(self.known, self.at)]
+        self.guess = [f >> 3 for f in found]
+        self.sure = [f & 7 for f in found]
+        self.state = (self.sure[1] << 3) + self.sure[0]
         n, first, second = self.seen
         share = (UNITS - 3) / (n + 1.5)
         u1 = 1 + (share * (first + 0.25)).astype(np.int64)
@@ -66,6 +75,7 @@ class _Model:
         if self.fresh:
             self.counts += np.bincount(np.concatenate(self.fresh), minlength=self.size)
             self.fresh = []
+        self.inverse = None
         total = max(1, int(self.counts.sum()))
         self.cumulated = self.flat.copy()
         self.cumulated[1:] += np.cumsum(self.counts) * self.spare // total
@@ -79,16 +89,26 @@ class _Model:
         self.seen[2] += np.bincount(self.state[hit[1]], minlength=64)
         self.seen[1] += np.bincount(self.state[hit[0] & ~hit[1]], minlength=64)
         for k in (0, 1):
+            # A hit raises trust, a miss halves it; where little is left the new id moves in.
             sure = self.sure[k]
-            stays = hit[k] | (sure > 1)
-            self.known[k][self.at[k]] = np.where(stays, self.guess[k], ids)
-            self.trust[k][self.at[k]] = np.where(hit[k], np.minimum(sure + 1, 7), np.where(stays, sure >> 1, 1))
+            trust = np.where(hit[k], _RAISED[sure], sure >> 1)
+            self.known[k][self.at[k]] = np.where(trust > 0, (self.guess[k] << 3) + trust, (ids << 3) + 1)
         self.before[1][:lanes] = self.before[0][:lanes]
         self.before[0][:lanes] = ids
         self.fresh.append(ids)
         self.step += 1
 
 
+def _settled(low: np.ndarray, span: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Coders whose top 16 bits are certain, or whose span is cut so that they are."""
+    same = (low ^ (low + span)) < _TOP
+    out = np.flatnonzero(same | (span < _BOTTOM))
+    low, span, same = low[out], span[out], same[out]
+    if not same.all():
+        span = np.where(same, span, (np.uint64(0) - low) & _LOW)
+    return out, low, span
+
+
 def _layout(n: int) -> tuple[int, int]:
     """Lanes and steps of a block of n ids."""
     lanes = min(LANES, -(-n // STEPS)) or 1
@@ -113,19 +133,13 @@ def encode_block(ids: np.ndarray, vocabulary: int) -> bytes:
         unit = span[:k] >> _30
         low[:k] += unit * start.astype(np.uint64)
         span[:k] = unit * width.astype(np.uint64)
-        at = np.arange(k)
+        at, a, b = _settled(low[:k], span[:k])
         while len(at):
-            a, b = low[at], span[at]
-            same = (a ^ (a + b)) < _TOP
-            tight = ~same & (b < _BOTTOM)
-            out = same | tight
-            if not out.any():
-                break
-            b = np.where(tight, (np.uint64(0) - a) & _LOW, b)
-            at, a, b = at[out], a[out], b[out]
             owners.append(at)
             words.append((a >> _48).astype(np.uint16))
-            low[at], span[at] = a << _16, b << _16
+            low[at], span[at] = a, b = a << _16, b << _16
+            more, a, b = _settled(a, b)
+            at = at[more]
         model.learn(own)
     for shift in (48, 32, 16, 0):
         owners.append(np.arange(lanes))
@@ -171,26 +185,20 @@ def decode_block(data: bytes, at: int = 0) -> tuple[np.ndarray, int]:
         past_b = past_a & (rest >= u0 * cum[b + 1] + wb)
         on_b = past_a & ~past_b & (rest >= u0 * cum[b]) & (a != b)
         rest = rest - np.where(past_b, wb, 0)
-        own = np.searchsorted(cum, rest // u0, "right") - 1
+        own = model.ids_at(np.where(on_a | on_b, 0, rest // u0))
         own = np.where(on_a, a, np.where(on_b, b, own))
         start = u0 * cum[own] + w1 * (c1 < own) + w2 * (c2 < own)
         width = u0 * (cum[own + 1] - cum[own]) + w1 * (c1 == own) + w2 * (c2 == own)
         low[:k] += unit * start.astype(np.uint64)
         span[:k] = unit * width.astype(np.uint64)
         ids[t::steps][:k] = own
-        lane = np.arange(k)
+        lane, x, y = _settled(low[:k], span[:k])
         while len(lane):
-            x, y = low[lane], span[lane]
-            same = (x ^ (x + y)) < _TOP
-            tight = ~same & (y < _BOTTOM)
-            out = same | tight
-            if not out.any():
-                break
-            y = np.where(tight, (np.uint64(0) - x) & _LOW, y)
-            lane, x, y = lane[out], x[out], y[out]
-            low[lane], span[lane] = x << _16, y << _16
+            low[lane], span[lane] = x, y = x << _16, y << _16
             code[lane] = (code[lane] << _16) | words[place[lane]]
             place[lane] += 1
+            more, x, y = _settled(x, y)
+            lane = lane[more]
         model.learn(own)
     if zlib.crc32(ids.astype("<u4").tobytes()) != ids_crc:
         raise ValueError("damaged ids")

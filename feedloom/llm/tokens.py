@@ -1,7 +1,8 @@
 """Token ids from the public tokenizers, with the ids of repeated pieces kept between texts.
 
-A text is cut at spaces into pieces whose ids do not depend on what is around them; each
-distinct piece is encoded by the tokenizers library once per worker, up to a bounded number.
+A text is cut at spaces into pieces whose ids do not depend on what is around them; a worker
+has the tokenizers library encode each distinct piece once, until it holds a bounded number and
+starts anew.
 Texts in which a cut could matter go to the library whole. The path of the vocabulary file is a
 parameter; every executor must have it.
 """
@@ -10,12 +11,18 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Pieces whose ids a worker remembers, and the longest that are worth it.
-REMEMBERED, LONGEST = 1 << 20, 64
+#: Pieces (or eight times as many ids) after which a worker forgets all of them.
+REMEMBERED = 1 << 20
+#: Bytes of text that are cut at a time.
+PORTION = 1 << 24
 
 #: White space beside a space: the byte-level pattern looks across it.
 _AMBIGUOUS = re.compile(r"[\s᠎] (?:[\s᠎]|\Z)")
@@ -44,50 +51,102 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         #: A vocabulary with word ends drops white space, others keep it before a word.
         self.word_ends = bool(self.tokenizer.model.end_of_word_suffix)
-        self.known: dict[str, bytes] = {}
+        self._forget()
         self.tokenize = self.tokenizer.model.tokenize
-        self._tail = lru_cache(maxsize=4096)(self._merged)
+        self._tail = lru_cache(maxsize=4096)(self._signs)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _piece(self, piece: str) -> bytes:
-        """Ids of a piece as it stands after a space."""
+    def _shown(self, word: str) -> str:
+        """A word of letters in the characters of the merges."""
+        if self.word_ends:
+            word = word.lower()
+        if not word.isascii():
+            word = "".join([_VISIBLE[b] for b in word.encode()])
+        return word if self.word_ends else "Ġ" + word
+
+    def _signs(self, tail: str) -> array:
+        return array("I", [t.id for t in self.tokenize(tail)])
+
+    def _learn(self, piece: str) -> int:
+        """Put the ids of a piece as it stands after a space in the flat table; its row there."""
+        flat, row, start = self.flat, len(self.starts), len(self.flat)
         if match := _WORD.fullmatch(piece):
             # For words of the pre-tokenizers' patterns the merges alone decide.
             word, tail = match.groups()
-            ids = self._merged(word.lower() if self.word_ends else " " + word)
-            return ids + self._tail(tail) if tail else ids
-        return self.whole(piece if self.word_ends else " " + piece)
-
-    def _merged(self, word: str) -> bytes:
-        shown = "".join([_VISIBLE[b] for b in word.encode()])
-        return np.array([t.id for t in self.tokenize(shown)], "<u4").tobytes()
+            same = self.known.get(word) if tail else None
+            if same is None:
+                flat.extend([t.id for t in self.tokenize(self._shown(word))])
+            else:
+                at = self.starts[same]
+                flat.extend(flat[at : at + self.sizes[same]])
+            if tail:
+                flat.extend(self._tail(tail))
+        elif piece or not self.word_ends:
+            flat.frombytes(self.whole(piece if self.word_ends else " " + piece))
+        self.starts.append(start)
+        self.sizes.append(len(flat) - start)
+        self.known[piece] = row
+        return row
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.flat, self.starts, self.sizes = array("I"), array("q"), array("q")
 
     def encode(self, text: str | None) -> bytes:
-        if not text:
-            return b""
+        return next(self.encode_many(pa.array([text], pa.string())))
+
+    def encode_many(self, texts: pa.Array) -> Iterator[bytes]:
+        """Ids of each text, in order."""
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+        start = 0
+        while start < len(texts):
+            before = sizes[start - 1] if start else 0
+            end = max(start + 1, int(np.searchsorted(sizes, before + PORTION, "right")))
+            yield from self._portion(texts[start:end])
+            start = end
+
+    def _portion(self, texts: pa.Array) -> Iterator[bytes]:
+        if len(self.known) > REMEMBERED or len(self.flat) > 8 * REMEMBERED:
+            self._forget()
+        texts = pc.fill_null(texts, "")
+        apart: dict[int, bytes] = {}
         if self.word_ends:
-            head, pieces = b"", text.replace("\n", " ").split(" ")
-        elif _AMBIGUOUS.search(text):
-            return self.whole(text)
+            texts = pc.replace_substring(texts, "\n", " ")
         else:
-            first, *pieces = text.split(" ")
-            head = self.whole(first) if first else b""
-        known = self.known
-        get = known.get
-        found = [get(p) for p in pieces]
-        if None in found:
-            for i, ids in enumerate(found):
-                if ids is None:
-                    piece = pieces[i]
-                    ids = get(piece)
-                    if ids is None:
-                        ids = self._piece(piece) if piece or not self.word_ends else b""
-                        if len(known) < REMEMBERED and len(piece) <= LONGEST:
-                            known[piece] = ids
-                    found[i] = ids
-        return head + b"".join(found)
+            for i, text in enumerate(texts.to_pylist()):
+                if _AMBIGUOUS.search(text):
+                    apart[i] = self.whole(text)
+            if apart:
+                keep = np.ones(len(texts), bool)
+                keep[list(apart)] = False
+                texts = pc.if_else(pa.array(keep), texts, "")
+        lists = pc.split_pattern(texts, " ")
+        cuts = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        pieces = pc.dictionary_encode(lists.flatten())
+        at = self._rows(pieces.dictionary.to_pylist())[pieces.indices.to_numpy()]
+        once: list[bytes] = []
+        if not self.word_ends:
+            # Pieces stand after a space, but the first of a text.
+            once = [self.whole(h) if h else b"" for h in pc.list_element(lists, 0).to_pylist()]
+            at[cuts[:-1]] = np.arange(len(once)) + len(self.starts)
+        flat = np.concatenate([np.frombuffer(self.flat, np.uint32), np.frombuffer(b"".join(once), "<u4")])
+        own = np.array([len(x) // 4 for x in once], np.int64)
+        starts = np.concatenate([np.frombuffer(self.starts, np.int64), len(self.flat) + np.cumsum(own) - own])
+        sizes = np.concatenate([np.frombuffer(self.sizes, np.int64), own])
+        lengths = sizes[at]
+        ends = np.concatenate([[0], np.cumsum(lengths)])
+        ids = flat[np.repeat(starts[at] - ends[:-1], lengths) + np.arange(ends[-1])].astype("<u4", copy=False)
+        bounds = ends[cuts].tolist()
+        for i, (a, b) in enumerate(zip(bounds, bounds[1:])):
+            yield apart[i] if i in apart else ids[a:b].tobytes()
+
+    def _rows(self, pieces: list[str]) -> np.ndarray:
+        """Rows of pieces in the flat table."""
+        get, learn = self.known.get, self._learn
+        rows = [get(p, -1) for p in pieces]
+        return np.array([learn(p) if r < 0 else r for p, r in zip(pieces, rows)], np.int64)
 
 
 @lru_cache(maxsize=2)

@@ -19,4 +19,4 @@ def test_equals_the_library_on_whole_texts(monkeypatch, name):
     for _ in range(3000):
         text = "".join(rng.choice(PARTS) for _ in range(rng.randint(0, 14)))
         assert np.frombuffer(ours.encode(text), "<u4").tolist() == theirs.encode(text, add_special_tokens=False).ids, repr(text)
-    assert ours.encode(None) == b"" and len(ours.known) <= 200
+    assert ours.encode(None) == b"" and len(ours.known) <= 220
