@@ -80,7 +80,8 @@ def link_lines(pages: DataFrame) -> DataFrame:
 
 
 def json_links(customer: DataFrame) -> DataFrame:
-    """Links whose authority is base64 of a JSON object."""
+    """Links whose authority is base64 of a JSON object; of ten, one has text after the object,
+    one a port that is no JSON and one no end."""
     obj = F.to_json(
         F.struct(
             F.concat(F.lit("h"), F.col("c_custkey"), F.lit(".example")).alias("add"),
@@ -88,6 +89,13 @@ def json_links(customer: DataFrame) -> DataFrame:
             F.when(F.col("c_acctbal") >= 0, F.col("c_name")).alias("ps"),
         )
     )
+    tenth = F.col("c_custkey") % 10
+    obj = (
+        F.when(tenth == 7, F.concat(obj, F.lit(" junk")))
+        .when(tenth == 8, F.regexp_replace(obj, r'"port":\d+', '"port":NaN'))
+        .when(tenth == 9, F.rtrim(obj, F.lit("}")))
+        .otherwise(obj)
+    )
     body = F.regexp_replace(F.base64(obj.cast("binary")), r"\s", "")
     unpadded = F.rtrim(F.translate(body, "+/", "-_"), F.lit("="))
     shown = F.when(F.col("c_mktsegment") == "BUILDING", unpadded).otherwise(body)

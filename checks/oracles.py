@@ -6,10 +6,14 @@ columns and never parses the text, so the two sides share no formula.
 
 from __future__ import annotations
 
-from checks.inputs import ROUTE_IDS
-from feedloom.constants import SPACE
-
-_SPACE = "'" + SPACE + "'"
+# Fixed values, spelled out here so that the tested side does not supply them.
+ROUTE_IDS = (
+    "00000000-0000-1000-8000-00000000656e, 00000000-0000-1000-8000-000000006672, "
+    "00000000-0000-1000-8000-000000006465, 00000000-0000-1000-8000-000000006573"
+)
+_SPACE = "'" + "".join(
+    map(chr, [*range(9, 14), 32, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF])
+) + "'"
 
 _PARTS = r"""
 parts AS (
@@ -122,6 +126,19 @@ accepted AS (
   SELECT *, row_number() OVER (PARTITION BY tag ORDER BY seq) AS tag_no
   FROM judged WHERE earlier = 0 OR (best IS NULL AND measure IS NOT NULL) OR measure > best)"""
 
+_GAPS = r"""
+keyed AS (
+  SELECT event_type AS scheme, user_id, event_id AS seq, event_type = 'error' AS failed, floor(value) AS whole,
+         CASE WHEN user_id % 4 = 0 THEN '' WHEN user_id % 4 > 1 THEN user_id::VARCHAR END AS host,
+         CASE event_id % 3 WHEN 1 THEN '443' WHEN 2 THEN '' END AS port
+  FROM events),
+records AS (
+  SELECT scheme, host, port, seq,
+         CASE WHEN user_id % 5 > 0 THEN CASE WHEN failed THEN 'user ' || user_id
+              ELSE 'speed ' || whole::BIGINT || ' MB/s' END END AS tag,
+         CASE WHEN user_id % 5 > 0 AND NOT failed THEN whole END AS measure
+  FROM keyed)"""
+
 _GRAPH = r"""
 calls(parent, place, child) AS (
   SELECT 'c' || o_custkey, o_orderkey + 1, 'o' || o_orderkey FROM orders
@@ -147,6 +164,15 @@ turns AS (
   SELECT conv_id, turn, role, 'turn://' || conv_id || '/' || turn || '#' || role AS link
   FROM conversations)"""
 
+_PLACED = (
+    _TURNS
+    + """,
+placed AS (
+  SELECT *, coalesce(sum(strlen(link) + 1) OVER (
+    PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 64 AS part
+  FROM turns)"""
+)
+
 _UUID = (
     "regexp_matches({0}, '^[0-9a-f]{{8}}-[0-9a-f]{{4}}-[1-5][0-9a-f]{{3}}-"
     "[89ab][0-9a-f]{{3}}-[0-9a-f]{{12}}$', 'i')"
@@ -233,7 +259,7 @@ SELECT line_no, scheme, host, port, tag, link FROM links WHERE reason IS NULL"""
 SELECT c_custkey AS line_no, 'vmess' AS scheme, 'h' || c_custkey || '.example' AS host,
        (c_custkey % 60000 + 1)::VARCHAR AS port,
        CASE WHEN c_acctbal >= 0 THEN c_name ELSE 'h' || c_custkey || '.example' END AS tag
-FROM customer""",
+FROM customer WHERE c_custkey % 10 < 7""",
     "base64_sniff": r"""
 SELECT token, regexp_full_match(token,
   '(?:[A-Za-z0-9+/_-]{4})*(?:[A-Za-z0-9+/_-]{2}={0,2}|[A-Za-z0-9+/_-]{3}=?)?')
@@ -355,6 +381,36 @@ QUALIFY row_number() OVER (PARTITION BY scheme, host ORDER BY measure DESC NULLS
     "tag_ordinals": f"""
 WITH {_EVENT_RECORDS.replace("AS host,", "AS host, '443' AS port,")}, {_ACCEPTED}
 SELECT seq, scheme, host, tag, tag_no FROM accepted""",
+    "hot_tag_ordinals": f"""
+WITH {_GAPS}, {_ACCEPTED}
+SELECT seq, scheme, host, port, tag, tag_no FROM accepted""",
+    "keep_best_survivors": f"""
+WITH {_GAPS}, best AS (
+  SELECT scheme, host, port, tag, seq, min(seq) OVER (PARTITION BY scheme, host, port) AS first_seq
+  FROM records
+  QUALIFY row_number() OVER (PARTITION BY scheme, host, port ORDER BY measure DESC NULLS LAST, seq) = 1)
+SELECT way, best.* FROM best, (VALUES ('best'), ('last')) AS ways(way)""",
+    "concat_links_parts": f"""
+WITH {_PLACED}
+SELECT conv_id, part, string_agg(link, chr(10) ORDER BY turn) AS text
+FROM placed GROUP BY conv_id, part""",
+    "sink_base64_parts": f"""
+WITH {_TURNS}
+SELECT nullif(conv_id, CASE WHEN conv_id % 10 = 0 THEN conv_id END) AS conv_id,
+       base64(encode(string_agg(link, chr(10) ORDER BY turns.conv_id, turn))) AS text
+FROM turns GROUP BY 1""",
+    "hot_header_fill": f"""
+WITH {_CSV}
+SELECT nullif(source, 3) AS source, line_no, seg * 4 AS header_line FROM fitted""",
+    "uuid_text": r"""
+SELECT doc_id, regexp_replace(md5(text), '^(.{8})(.{4})(.{4})(.{4})(.{12})$', '\1-\2-\3-\4-\5') AS uuid
+FROM documents""",
+    "first_contained_long": r"""
+WITH words AS (
+  SELECT item_id, unnest(string_split_regex(text, '[ \n]+')) AS word,
+         unnest(range(len(string_split_regex(text, '[ \n]+')))) AS pos FROM benchmark),
+listed AS (SELECT word, min(item_id * 100000 + pos) AS place FROM words WHERE length(word) >= 6 GROUP BY word)
+SELECT doc_id, min(place) AS place FROM documents JOIN listed ON contains(text, word) GROUP BY doc_id""",
     "cap_per_source": r"""
 SELECT event_type, event_id, value FROM events WHERE value >= 5
 QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY event_id) <= 8""",

@@ -316,6 +316,15 @@ def first_contained(spark, sf_dir):
     return found.select("doc_id", "item_id")
 
 
+@query
+def first_contained_long(spark, sf_dir):
+    """Every document against a list too long to travel with the plan: benchmark words."""
+    docs = I.table(spark, sf_dir, "documents").select("doc_id", "text")
+    words = I.table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(F.split("text", "[ \n]+")).alias("at", "word"))
+    listed = words.filter(F.length("word") >= 6).select("word", (F.col("item_id") * 100_000 + F.col("at")).alias("place"))
+    return match.first_contained(docs, "text", "doc_id", listed, "word", "place").select("doc_id", "place")
+
+
 @query
 def allowlist_semi(spark, sf_dir):
     events = I.table(spark, sf_dir, "events").select("event_id", "user_id")
@@ -340,6 +349,35 @@ def tag_ordinals(spark, sf_dir):
     return rank.accepted_records(events).select("seq", "scheme", "host", "tag", "tag_no")
 
 
+def _keys_with_gaps(spark, sf_dir):
+    """Events as records in which some hosts are null, some empty, and many ports null."""
+    user = F.col("host").cast("bigint")
+    return I.measured_events(I.table(spark, sf_dir, "events")).withColumns(
+        {
+            "host": F.when(user % 4 == 0, F.lit("")).when(user % 4 > 1, F.col("host")),
+            "port": F.when(F.col("seq") % 3 > 0, F.when(F.col("seq") % 3 > 1, "").otherwise("443")),
+            "tag": F.when(user % 5 > 0, F.col("tag")),
+        }
+    )
+
+
+@query
+def hot_tag_ordinals(spark, sf_dir):
+    """Accepted records where most keys and tags, null ones too, are cut into blocks."""
+    found = rank.accepted_records(_keys_with_gaps(spark, sf_dir), block_bits=4)
+    return found.select("seq", "scheme", "host", "port", "tag", "tag_no")
+
+
+@query
+def keep_best_survivors(spark, sf_dir):
+    """The best record per key by both ways, on keys that mix null and empty parts."""
+    events = _keys_with_gaps(spark, sf_dir)
+    columns = ["scheme", "host", "port", "tag", "seq", "first_seq"]
+    best = rank.keep_best(events).select(F.lit("best").alias("way"), *columns)
+    last = rank.survivors(rank.accepted_records(events, block_bits=4))
+    return best.unionByName(last.select(F.lit("last").alias("way"), *columns))
+
+
 @query
 def cap_per_source(spark, sf_dir):
     events = I.table(spark, sf_dir, "events").filter(F.col("value") >= 5)
@@ -363,6 +401,38 @@ def concat_links(spark, sf_dir):
     return payloads.payload_parts(_turn_links(spark, sf_dir), ["conv_id"], "turn", "link")
 
 
+PART = 64  # bytes, so that most conversations come in several parts
+
+
+@query
+def concat_links_parts(spark, sf_dir):
+    return payloads.payload_parts(_turn_links(spark, sf_dir), ["conv_id"], "turn", "link", PART)
+
+
+@query
+def sink_base64_parts(spark, sf_dir):
+    """Payloads of several parts, one of them of a null group, put together again."""
+    turns = _turn_links(spark, sf_dir).withColumn("conv_id", F.when(F.col("conv_id") % 10 > 0, F.col("conv_id")))
+    parts = payloads.base64_parts(payloads.payload_parts(turns, ["conv_id"], "seq", "link", PART), ["conv_id"], 4)
+    whole = F.expr("listagg(text, '') WITHIN GROUP (ORDER BY part)")
+    return parts.groupBy("conv_id").agg(whole.alias("text"))
+
+
+@query
+def hot_header_fill(spark, sf_dir):
+    """Header fill in blocks, with one feed whose source is null."""
+    feed = I.csv_lines(I.table(spark, sf_dir, "customer"))
+    rows = csvfeed.fill_headers(feed.withColumn("source", F.nullif("source", F.lit(3))), block_bits=4)
+    return rows.select("source", "line_no", F.col("header.at").alias("header_line"))
+
+
+@query
+def uuid_text(spark, sf_dir):
+    docs = I.table(spark, sf_dir, "documents")
+    raw = F.unhex(F.md5(F.col("text").cast("binary")))
+    return docs.select("doc_id", ids.uuid_text(raw).alias("uuid"))
+
+
 @query
 def header_fill(spark, sf_dir):
     rows = csvfeed.fill_headers(I.csv_lines(I.table(spark, sf_dir, "customer")))

@@ -9,6 +9,8 @@ from feedloom import constants as K
 from feedloom.functions.text import let
 
 REPLACEMENT = "\ufffd"
+# A field name that no payload has.
+_CLOSED = "closed by feedloom"
 BYTE_ORDER_MARK = "\ufeff"
 
 
@@ -91,5 +93,12 @@ def percent_decode(text: Column) -> Column:
 
 
 def json_payload(authority: Column) -> Column:
-    """The ``add``, ``port`` and ``ps`` fields of a base64 JSON object, all as text."""
-    return F.from_json(decode_base64(authority), K.JSON_FIELDS, {"allowSingleQuotes": "false"})
+    """The ``add``, ``port`` and ``ps`` fields of a base64 JSON object, all as text.
+
+    The reader stops where a value ends; with the object set inside another one, text after
+    it leaves that one without its last field, and the result is null.
+    """
+    wrapped = F.concat(F.lit('{"object":'), decode_base64(authority), F.lit(f',"{_CLOSED}":1}}'))
+    options = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
+    read = F.from_json(wrapped, f"object struct<{K.JSON_FIELDS}>, `{_CLOSED}` int", options)
+    return let(read, lambda r: F.when(r[_CLOSED] == 1, r["object"]))

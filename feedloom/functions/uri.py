@@ -2,24 +2,33 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Signs that form encoding leaves alone.
+_FORM_KEPT = "-_.*"
+
 # Printable ASCII characters that are escaped (URL standard sets).
 FRAGMENT_ESCAPED = r'[ "<>`]'
 USER_ESCAPED = r'[ "<>`?{}#^/:;=@\[\\\]|]'
 
 
 def _escape(text: Column, escaped_class: str) -> Column:
-    """Percent-encode, character by character, non-ASCII and what the class asks for."""
-    encoded = lambda c: F.replace(F.url_encode(c), F.lit("+"), F.lit("%20"))
-    special = lambda c: c.rlike(r"[^\x20-\x7E]") | c.rlike(escaped_class)
-    chars = F.transform(
-        F.split(text, ""), lambda c: F.when(special(c), encoded(c)).otherwise(c)
-    )
-    return F.array_join(chars, "")
+    """Percent-encode non-ASCII, control characters and what the class asks for.
+
+    Texts without any of these stay as they are. Others are form-encoded as a whole, and the
+    signs that the class leaves alone are then put back.
+    """
+    kept = [c for c in map(chr, range(0x21, 0x7F)) if not c.isalnum() and not re.match(escaped_class, c)]
+    encoded = F.replace(F.url_encode(text), F.lit("+"), F.lit("%20"))
+    # The percent sign comes last: before, it only begins escapes.
+    for sign in sorted(kept, key=lambda c: c == "%"):
+        if sign not in _FORM_KEPT:
+            encoded = F.replace(encoded, F.lit(f"%{ord(sign):02X}"), F.lit(sign))
+    return F.when(text.rlike(r"[^\x21-\x7E]") | text.rlike(escaped_class), encoded).otherwise(text)
 
 
 def escape_fragment(text: Column) -> Column:

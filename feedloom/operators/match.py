@@ -27,12 +27,13 @@ def first_contained(
     place: str,
     inline_entries: int = INLINE_ENTRIES,
 ) -> DataFrame:
-    """For each text (unique ``key``), the first list entry, by ``place``, it contains.
+    """For each row of ``texts``, the first list entry, by ``place``, that its text contains.
 
-    Adds ``place`` to the rows that contain an entry. A short list is looked through per
-    row with no join at all. A longer one is matched through one rare run of characters of
-    each entry: texts and entries meet in an equi-join on that run, and only the pairs
-    that meet are compared. Whole texts are searched in both cases.
+    Adds ``place`` to the rows that contain an entry; ``key`` is carried along and may be null
+    or repeat. A short list is looked through per row with no join at all. For a longer one,
+    rows are numbered and meet entries in an equi-join on one rare run of characters of each
+    entry; what a row met joins it by number, and its text is searched where it is. Whole
+    texts are searched in both cases, and the result is the same.
     """
     unique = (
         entries.filter(F.col(entry) != "")
@@ -44,24 +45,28 @@ def first_contained(
     ).first()
     if size["n"] <= inline_entries and size["chars"] <= INLINE_CHARS:
         listed = unique.agg(F.array_sort(F.collect_list(F.struct("_place", "_entry"))))
-        hits = F.filter("_listed", lambda e: F.contains(F.col(text), e["_entry"]))
-        found = bind(texts.withColumn("_listed", listed.scalar()), **{place: F.get(hits, F.lit(0))["_place"]})
+        found = bind(texts.withColumn("_listed", listed.scalar()), **{place: _first_hit(F.col(text))})
         return found.filter(F.col(place).isNotNull()).drop("_listed")
     anchors = checkpointed(_anchors(unique))
-    searched = texts.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
+    # Written once, so that a row has the same number wherever it is read.
+    numbered = checkpointed(texts.withColumn("_row", F.monotonically_increasing_id()))
     met = None
     for kind in sorted(r["_kind"] for r in anchors.select("_kind").distinct().collect()):
-        spots = searched.select("_key", F.explode(_runs(F.col("_text"), kind)).alias("_run"))
-        pairs = spots.join(anchors.filter(F.col("_kind") == kind), "_run")
+        runs = F.array_distinct(_runs(F.col(text), kind))
+        spots = numbered.select("_row", F.explode(runs).alias("_run"))
+        pairs = spots.join(anchors.filter(F.col("_kind") == kind), "_run").select("_row", "_place", "_entry")
         met = pairs if met is None else met.unionByName(pairs)
-    candidates = met.select("_key", "_entry", "_place").distinct()
-    best = (
-        candidates.join(searched, "_key")
-        .filter(F.contains("_text", "_entry"))
-        .groupBy("_key")
-        .agg(F.min("_place").alias(place))
-    )
-    return texts.join(best, F.col(key) == F.col("_key")).drop("_key")
+    # At most the entries whose runs the text holds, each once: an entry has one anchor.
+    candidates = met.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("_place", "_entry"))).alias("_listed"))
+    found = bind(numbered.join(candidates, "_row"), **{place: _first_hit(F.col(text))})
+    return found.filter(F.col(place).isNotNull()).select(*texts.columns, place)
+
+
+def _first_hit(text: Column) -> Column:
+    """The place of the first listed entry in the text; later ones are not searched for."""
+    none = F.lit(None).cast("bigint")
+    seek = lambda at, e: F.when(at.isNotNull(), at).when(F.contains(text, e["_entry"]), e["_place"].cast("bigint"))
+    return F.aggregate("_listed", none, seek)
 
 
 def _runs(text: Column, kind: str) -> Column:

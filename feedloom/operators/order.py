@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 from feedloom.durable import checkpointed
 
+#: Bits of the source number in a packed order, unless more are asked for.
+SOURCE_BITS = 21
+
 
 def packed_seq(
-    source_rank: Column, source_ord: Column, line_no: Column, source_bits: int = 21
+    source_rank: Column, source_ord: Column, line_no: Column, source_bits: int = SOURCE_BITS
 ) -> Column:
     """Source rank, source number and line number as one bigint, with no shuffle.
 

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from feedloom.durable import checkpointed
 from feedloom.functions.measure import tag_measure
 from feedloom.operators.running import BLOCK_BITS, HotKeys, hot_keys, hot_keys_of, running
 
@@ -57,15 +58,14 @@ def accepted_records(
     ``tag_no`` counts accepted records of the same tag in arrival order, including those
     that a later record of their key replaces; it may therefore have gaps in the result.
     """
-    # A null key column would not group like an empty one in the joins of hot keys.
-    plain = {f"_k{i}": F.coalesce(F.col(k).cast("string"), F.lit("")) for i, k in enumerate(key)}
-    rows = _measured(df, tag, measure, unit_aware).withColumns(plain)
-    hot_key, hot_tag = hot_keys_of(rows, [list(plain), [tag]], block_bits)
+    # Written once: whatever parses the records would else run again for every pass below.
+    rows = checkpointed(_measured(df, tag, measure, unit_aware))
+    hot_key, hot_tag = hot_keys_of(rows, [key, [tag]], block_bits)
     if hot_key:
-        rows = _first_copies(rows, hot_key, [*plain, "_measure"], seq)
-        hot_key = hot_keys(rows, list(plain), block_bits)
+        rows = _first_copies(rows, hot_key, [*key, "_measure"], seq)
+        hot_key = hot_keys(rows, key, block_bits)
     best = {"_best": ("max", F.col("_measure"))}
-    records = running(rows, list(plain), seq, best, hot=hot_key, block_bits=block_bits).filter(
+    records = running(rows, key, seq, best, hot=hot_key, block_bits=block_bits).filter(
         F.col("_best").isNull() | (F.col("_measure") > F.col("_best"))
     )
     numbered = running(
@@ -81,14 +81,14 @@ def _first_copies(rows: DataFrame, hot: HotKeys, same: Sequence[str], seq: str)
     longer hot.
     """
     rest = [c for c in rows.columns if c not in same]
+    marked = hot.mark(rows, "_is_hot")
     firsts = (
-        rows.filter(hot.flag())
+        marked.filter("_is_hot")
         .groupBy(*same)
         .agg(F.min_by(F.struct(*rest), F.col(seq)).alias("_first"))
         .select(*same, "_first.*")
     )
-    others = rows.filter(~F.coalesce(hot.flag(), F.lit(False)))
-    return others.unionByName(firsts)
+    return marked.filter("not _is_hot").drop("_is_hot").unionByName(firsts)
 
 
 def survivors(accepted: DataFrame, key: Sequence[str] = KEY, seq: str = "seq") -> DataFrame:

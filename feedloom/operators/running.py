@@ -24,53 +24,51 @@ from pyspark.sql import functions as F
 from feedloom.durable import checkpointed
 
 BLOCK_BITS = 20
-MOST_HOT_KEYS = 10_000
 
 
 @dataclass(frozen=True)
 class HotKeys:
-    """Hashes of the biggest keys that have more rows than a block, a bounded number."""
+    """A written table of the hashes of all keys with more rows than a block, if there are any.
+
+    It has at most one row per block of the input, whatever the number of keys.
+    """
 
     columns: tuple[str, ...]
-    hashes: tuple[int, ...]
+    hashes: DataFrame | None = None
 
     def __bool__(self) -> bool:
-        return bool(self.hashes)
+        return self.hashes is not None
 
-    def flag(self) -> Column:
-        # A colliding hash only cuts one more key, which does no harm.
-        present = F.lit(True)
-        for name in self.columns:
-            present = present & F.col(name).isNotNull()
-        return present & F.xxhash64(*self.columns).isin(list(self.hashes))
+    def mark(self, df: DataFrame, name: str) -> DataFrame:
+        """Add whether a row's key is hot; null keys can be, like any other.
 
+        A colliding hash only cuts one more key, which does no harm.
+        """
+        if self.hashes is None:
+            return df.withColumn(name, F.lit(False))
+        hashed = df.withColumn("_hash", F.xxhash64(*self.columns))
+        met = hashed.join(self.hashes, F.col("_hash") == F.col("_hot"), "left")
+        return met.withColumn(name, F.col("_hot").isNotNull()).drop("_hash", "_hot")
 
-def hot_keys(df: DataFrame, keys: Sequence[str], block_bits: int = BLOCK_BITS) -> HotKeys:
-    """Find the biggest keys with one combined count; only their hashes reach the driver.
 
-    Keys beyond the bound have less than one ten-thousandth of the rows each, so an
-    ordinary window task holds them.
-    """
+def hot_keys(df: DataFrame, keys: Sequence[str], block_bits: int = BLOCK_BITS) -> HotKeys:
+    """Find the keys that need cutting, with one count that combines before the shuffle."""
     return hot_keys_of(df, [keys], block_bits)[0]
 
 
 def hot_keys_of(
     df: DataFrame, key_sets: Sequence[Sequence[str]], block_bits: int = BLOCK_BITS
 ) -> list[HotKeys]:
-    """Hot keys of several key sets in one pass over the rows.
-
-    The bound grows with the number of sets, so what lies beyond it is as small for each.
-    """
+    """Hot keys of several key sets in one pass over the rows."""
     hashed = F.posexplode(F.array(*[F.xxhash64(*keys) for keys in key_sets])).alias("which", "h")
     sizes = df.select(hashed).groupBy("which", "h").count()
-    rows = (
-        sizes.filter(F.col("count") > (1 << block_bits))
-        .orderBy(F.desc("count"), "which", "h")
-        .limit(MOST_HOT_KEYS * len(key_sets))
-        .collect()
-    )
+    hot = checkpointed(sizes.filter(F.col("count") > (1 << block_bits)).select("which", "h"))
+    found = {r["which"] for r in hot.select("which").distinct().collect()}
     return [
-        HotKeys(tuple(keys), tuple(r["h"] for r in rows if r["which"] == i))
+        HotKeys(
+            tuple(keys),
+            hot.filter(F.col("which") == i).select(F.col("h").alias("_hot")) if i in found else None,
+        )
         for i, keys in enumerate(key_sets)
     ]
 
@@ -141,9 +139,10 @@ def running(
         return plain.withColumns({name: _or_zero(F.col(name)) for name in sums})
 
     block = f"_{seq}_block"
-    blocked = df.withColumn(block, F.when(hot.flag(), F.shiftright(seq, block_bits)))
+    marked = hot.mark(df, "_is_hot")
+    blocked = marked.withColumn(block, F.when(F.col("_is_hot"), F.shiftright(seq, block_bits)))
     summaries = checkpointed(
-        blocked.filter(hot.flag())
+        blocked.filter("_is_hot")
         .groupBy(*keys, block)
         .agg(*[_GROUPED[kind](v, F.col(seq)).alias(name) for name, (kind, v) in folds.items()])
     )
@@ -157,9 +156,12 @@ def running(
         },
         block_bits=block_bits,
     ).drop(*[f"_of_{name}" for name in folds])
-    joined = folded(blocked, window_over(*keys, block)).join(
-        starts, [*keys, block], "left"
-    )
+    starts = starts.withColumnsRenamed({name: f"_with_{name}" for name in (*keys, block)})
+    # Rows of other keys have no block and meet nothing; keys may be null.
+    met = F.col(block) == F.col(f"_with_{block}")
+    for name in keys:
+        met = met & F.col(name).eqNullSafe(F.col(f"_with_{name}"))
+    joined = folded(blocked, window_over(*keys, block)).join(starts, met, "left")
     return joined.withColumns(
         {
             name: _COMBINED[kind](F.col(f"_at_{name}"), F.col(name))

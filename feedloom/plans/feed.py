@@ -20,7 +20,7 @@ def collect_records(
     csv_lines: DataFrame | None = None,
     link_lines: DataFrame | None = None,
     csv_options: CsvOptions = CsvOptions(),
-    source_bits: int = 21,
+    source_bits: int | None = None,
 ) -> DataFrame:
     """Parse the sources and put them in order.
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedloom.functions.payload import plain_body
@@ -51,18 +51,18 @@ def read_lines(spark: SparkSession, *paths: str) -> DataFrame:
 
     ``line_no`` is the start of the split in bytes plus the place inside the split. A line
     takes at least one byte, so the numbers are unique and grow along the file, and no task
-    ever sees more of a file than one split.
+    ever sees more of a file than one split. Lines end at each newline only; a carriage
+    return before it is taken off.
     """
-    raw = spark.read.text(list(paths)).select(
+    raw = spark.read.text(list(paths), lineSep="\n").select(
         F.col("_metadata.file_path").alias("source"),
         F.col("_metadata.file_block_start").alias("_start"),
         F.monotonically_increasing_id().alias("_id"),
-        F.col("value").alias("line"),
-    )
-    first = F.min("_id").over(Window.partitionBy("source", "_start"))
-    return raw.select(
-        "source", (F.col("_start") + F.col("_id") - first).alias("line_no"), "line"
+        F.regexp_replace("value", r"\r\z", "").alias("line"),
     )
+    first = raw.groupBy(F.col("source").alias("_of"), F.col("_start").alias("_at")).agg(F.min("_id").alias("_first"))
+    numbered = raw.join(first, (F.col("source") == F.col("_of")) & (F.col("_start") == F.col("_at")))
+    return numbered.select("source", (F.col("_start") + F.col("_id") - F.col("_first")).alias("line_no"), "line")
 
 
 def read_bodies(spark: SparkSession, *paths: str) -> DataFrame:

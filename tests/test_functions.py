@@ -233,7 +233,12 @@ def test_uri_parts_decode_back(evaluate, alphabet):
     shown = evaluate(uri.escape_fragment, texts)
     assert [urllib.parse.unquote(t) for t in shown] == texts
     assert not any(c in t for t in shown for c in ' "<>`')
+    rule = lambda t, signs: "".join(
+        urllib.parse.quote(c, safe="") if c in signs or not "!" <= c <= "~" else c for c in t
+    )
+    assert shown == [rule(t, ' "<>`') for t in texts]
     users = evaluate(uri.escape_user, texts)
+    assert users == [rule(t, ' "<>`?{}#^/:;=@[\\]|') for t in texts]
     assert [urllib.parse.unquote(t) for t in users] == texts
     assert not any(c in t for t in users for c in "@/:?#[]")
 

@@ -113,3 +113,9 @@ def test_big_files_keep_their_line_order(spark, tmp_path):
         assert len({r["line_no"] for r in mine}) == len(lines)
     bodies = {r["source"].rsplit("/", 1)[1]: r["body"] for r in read_bodies(spark, str(tmp_path)).collect()}
     assert bodies["one.txt"] == "\n".join(want["one"]) + "\n"
+
+
+def test_lines_end_at_newlines_only(spark, tmp_path):
+    (tmp_path / "one.txt").write_bytes(b"a\rb\nc#tag\r\n\r\nlast")
+    rows = read_lines(spark, str(tmp_path)).orderBy("line_no").collect()
+    assert [r["line"] for r in rows] == ["a\rb", "c#tag", "", "last"]

@@ -53,6 +53,16 @@ def test_first_contained(spark, seed, inline_entries):
     assert len(ours) == len(rows) and ours == brute_force(texts, long_only)
 
 
+@pytest.mark.parametrize("inline_entries", [256, 0])
+def test_null_and_repeated_keys_are_rows_of_their_own(spark, inline_entries):
+    texts = spark.createDataFrame([(None, "alpha beta"), (1, "alpha"), (1, "beta"), (1, None)], "id int, text string")
+    entries = spark.createDataFrame([(0, "alpha"), (1, "beta")], "place int, entry string")
+    got = match.first_contained(texts, "text", "id", entries, "entry", "place", inline_entries=inline_entries)
+    assert sorted((str(r["id"]), r["text"], r["place"]) for r in got.collect()) == [
+        ("1", "alpha", 0), ("1", "beta", 1), ("None", "alpha beta", 0),
+    ]
+
+
 def test_every_kind_of_run_is_used(spark):
     entries = ["a longer entry with words and more", "b" * 60, "c" * 20, "dddd", "e"]
     df = spark.createDataFrame([(i, e) for i, e in enumerate(entries)], "_place int, _entry string")

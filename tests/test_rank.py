@@ -112,6 +112,21 @@ def test_packed_seq_keeps_the_order_and_refuses_what_does_not_fit(spark):
         bad.collect()
 
 
+def test_union_gives_large_source_numbers_the_bits_they_need(spark):
+    schema = "source_ord bigint, line_no bigint, scheme string, host string, port string, tag string, link string"
+    part = spark.createDataFrame([(2**22, 2, "s", "h", "p", "t", None), (5, 9, "s", "h", "p", "t", None)], schema)
+    rows = union_sources(text=part, links=part).orderBy("seq").collect()
+    assert [r["source_rank"] for r in rows] == [0, 0, 2, 2] and len({r["seq"] for r in rows}) == 4
+
+
+def test_null_and_empty_key_parts_are_different_keys(spark):
+    rows = [(1, "s", "h", "", "t"), (2, "s", "h", None, "t"), (3, "s", "h", None, "t")]
+    df = spark.createDataFrame(rows, "seq bigint, scheme string, host string, port string, tag string")
+    for bits in (20, 1):
+        last = survivors(accepted_records(df, block_bits=bits)).collect()
+        assert sorted(r["seq"] for r in last) == sorted(r["seq"] for r in keep_best(df).collect()) == [1, 2]
+
+
 def test_number_rows_follows_the_order(spark):
     df = spark.createDataFrame([([3, i % 7, -i],) for i in range(200)], "path array<bigint>")
     rows = number_rows(df.repartition(6), "path").orderBy("seq").collect()

@@ -39,7 +39,7 @@ def loop(rows, inclusive):
 def feed(seed, dense):
     draw = random.Random(seed)
     seqs = range(400) if dense else draw.sample(range(1 << 40), 400)
-    keys = ["hot"] * 5 + ["warm", "b", "c", None]
+    keys = ["hot"] * 5 + ["warm", "b", "c"] + [None] * 3
     return [(draw.choice(keys), s, draw.choice([None, draw.randrange(50)])) for s in seqs]
 
 
@@ -65,17 +65,29 @@ def test_hot_key_is_cut_into_blocks(spark):
     assert windows and "_seq_block#" in windows[0].split("windowspecdefinition(")[1].split(" ASC")[0]
 
 
+def test_null_and_many_hot_keys_are_cut(spark):
+    """Every key over a block is found: the null one, and thousands at once."""
+    df = spark.range(60_000).selectExpr("CASE WHEN id % 6 > 0 THEN id % 12000 END AS k", "id AS seq")
+    hot = hot_keys(df, ["k"], block_bits=2)
+    assert hot.hashes.count() == df.select("k").distinct().count() > 10_000 - 1
+    marked = hot.mark(df, "hot")
+    assert marked.filter("k IS NULL AND hot").count() == 10_000 and marked.filter("NOT hot").count() == 0
+    got = running(df, ["k"], "seq", {"n": ("count", None)}, block_bits=2)
+    assert got.filter("k IS NULL").agg(F.max("n"), F.count_distinct("n")).first() == (9_999, 10_000)
+    assert got.filter("k = 1").select("n").orderBy("n").collect() == [(i,) for i in range(5)]
+
+
 def test_hot_keys_are_found_and_bounded(spark):
     df = spark.createDataFrame(
         [("a", i % 2) for i in range(40)] + [("b", i) for i in range(5)], "k string, g bigint"
     )
     only = hot_keys(df, ["k"], block_bits=4)
-    flagged = df.filter(only.flag()).select("k").distinct().collect()
+    flagged = only.mark(df, "hot").filter("hot").select("k").distinct().collect()
     assert [r["k"] for r in flagged] == ["a"]
     by_k, by_both, by_g = hot_keys_of(df, [["k"], ["k", "g"], ["g"]], block_bits=4)
-    assert by_k == only and len(by_both.hashes) == 2 and len(by_g.hashes) == 2
+    assert [h.hashes.count() for h in (by_k, by_both, by_g)] == [1, 2, 2]
     assert not hot_keys(df, ["k"])
-    assert not HotKeys(("k",), ())
+    assert not HotKeys(("k",))
 
 
 @pytest.mark.parametrize("cap", [0, 1, 3, 8, 1500, -1])

@@ -15,20 +15,22 @@ from feedloom.streaming.landing import append_to, landing_endpoints
 def groups(seed):
     draw = random.Random(seed)
     line = lambda: draw.choice(["", "é", "ab", "漢字x", "long " * 9])
-    return {"big": [line() for _ in range(101)], "one": [line()], "two": ["", ""], "five": [line() for _ in range(5)]}
+    big = [line() for _ in range(101)]
+    return {"big": big, "one": [line()], "two": ["", ""], "five": [line() for _ in range(5)], None: big[::-1]}
 
 
-@pytest.mark.parametrize("part_lines, block_bits", [(1 << 16, 20), (10, 20), (5, 2), (3, 3)])
-def test_parts_put_together_are_the_payload(spark, part_lines, block_bits):
-    data = groups(part_lines)
+@pytest.mark.parametrize("part_bytes, block_bits", [(1 << 26, 20), (100, 20), (50, 2), (7, 3), (1, 4)])
+def test_parts_put_together_are_the_payload(spark, part_bytes, block_bits):
+    data = groups(part_bytes)
     rows = [(g, i * 7, line) for g, lines in data.items() for i, line in enumerate(lines)]
     df = spark.createDataFrame(rows, "g string, seq bigint, line string").repartition(5)
-    parts = payload_parts(df, ["g"], "seq", "line", part_lines, block_bits).cache()
+    parts = payload_parts(df, ["g"], "seq", "line", part_bytes, block_bits).cache()
     encoded = base64_parts(parts, ["g"], block_bits).collect()
     texts = parts.collect()
     for g, lines in data.items():
         mine = sorted((r["part"], r["text"]) for r in texts if r["g"] == g)
-        assert [p for p, _ in mine] == list(range(-(-len(lines) // part_lines)))
+        at = [sum(len(x.encode()) + 1 for x in lines[:i]) // part_bytes for i in range(len(lines))]
+        assert [p for p, _ in mine] == sorted(set(at))
         whole = "\n".join(lines)
         assert "\n".join(t for _, t in mine) == whole
         code = "".join(t for _, t in sorted((r["part"], r["text"]) for r in encoded if r["g"] == g))
