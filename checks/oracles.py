@@ -427,6 +427,19 @@ FROM fitted""",
 WITH {_speeds("misfit IS NULL AND tls")}
 SELECT source, line_no, unit, speed FROM speeds WHERE misfit IS NULL AND tls""",
     "source_union": _UNION + " SELECT * FROM records",
+    "setting_roots": r"""
+WITH s AS (
+  SELECT *, c_mktsegment = 'BUILDING' OR c_acctbal < 0 OR c_acctbal > 9000 AS asked FROM customer)
+SELECT 'text' AS kind, c_custkey AS root, 0::BIGINT AS line_no, 'api://' || c_name AS line
+FROM s WHERE c_mktsegment = 'BUILDING'
+UNION ALL SELECT 'text', c_custkey, 1, 'list ' || c_custkey FROM s WHERE c_mktsegment = 'BUILDING'
+UNION ALL SELECT 'text', c_custkey, 0, 'first' FROM s WHERE NOT asked
+UNION ALL SELECT 'text', c_custkey, 2, 'second, third' FROM s WHERE NOT asked
+UNION ALL SELECT 'csv', c_custkey, 0, c_name FROM s WHERE NOT asked AND c_acctbal < 5000
+UNION ALL SELECT 'links', c_custkey, 0, c_mktsegment FROM s WHERE c_acctbal > 9000
+UNION ALL SELECT 'links', c_custkey, 0, 'provider' FROM s WHERE NOT asked""",
+    "tls_flag": r"""
+SELECT c_custkey, c_mktsegment <> 'BUILDING' AND c_acctbal >= 0 AS only_tls FROM customer""",
     "setting_precedence": r"""
 WITH s AS (
   SELECT *, c_mktsegment = 'BUILDING' OR c_acctbal < 0 OR c_acctbal > 9000 AS asked FROM customer)

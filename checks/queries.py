@@ -463,6 +463,30 @@ def source_union(spark, sf_dir):
     return _all_records(spark, sf_dir)
 
 
+@query
+def setting_roots(spark, sf_dir):
+    segment, balance, name = F.col("c_mktsegment"), F.col("c_acctbal"), F.col("c_name")
+    rows = I.table(spark, sf_dir, "customer").select(
+        "c_custkey",
+        F.when(segment == "BUILDING", F.concat(name, F.lit(" , list "), "c_custkey", F.lit(",,#off"))).alias("req_text"),
+        F.when(balance < 0, "").alias("req_csv"),
+        F.when(balance > 9000, segment).alias("req_links"),
+        F.lit("first\n# note\n\nsecond, third ").alias("stored_text"),
+        F.when(balance < 5000, name).alias("stored_csv"),
+        F.lit("provider").alias("stored_links"),
+    )
+    pairs = {k: (f"req_{k}", f"stored_{k}") for k in ("text", "csv", "links")}
+    return settings.setting_roots(rows, "c_custkey", pairs, named_lists=("text", "csv"))
+
+
+@query
+def tls_flag(spark, sf_dir):
+    balance = F.col("c_acctbal")
+    stored = F.when(balance < 0, False).when(balance > 5000, True)
+    off = F.when(F.col("c_mktsegment") == "BUILDING", "")
+    return I.table(spark, sf_dir, "customer").select("c_custkey", settings.tls_only_flag(stored, off).alias("only_tls"))
+
+
 @query
 def setting_precedence(spark, sf_dir):
     segment, balance = F.col("c_mktsegment"), F.col("c_acctbal")
