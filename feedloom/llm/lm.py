@@ -2,20 +2,25 @@
 
 A small network predicts every word from REACH words on either side of it: each side's places
 have embeddings of their own, their sum goes through a hidden layer to a softmax over classes,
-and counts over the whole corpus give the word within its class (frequent words are classes of
-their own). Word counts, training and scoring cover every word of every document. Training is
-local: each partition of the encoded corpus trains on its own words, first a share of them, then
-the rest, and the weights are averaged by words after each round in streaming sums. A
-document's score is the sum of its words' conditional log-probabilities.
+and from a class down a binary tree to the word, where the same hidden layer decides every branch
+(the most frequent words are classes of their own, and a small vocabulary has no other classes).
+The vocabulary grows with the square root of the corpus. Other words are predicted up to a hash
+bucket, a leaf of a tree, and have in it the share of their own count, which a join brings; so
+the probabilities of all words sum to one. Word counts, training and scoring cover every word of
+every document. Training is local: each trainer learns from its own part of the encoded corpus,
+first from a share of the words, then from the rest, and the weights are averaged by words after
+each round in streaming sums. A document's score is the sum of its words' conditional
+log-probabilities.
 
 Null and empty texts, and texts without letters or digits, have no words: their score is 0 and
-the score per word null. Words outside the vocabulary are predicted up to a hash bucket.
-Repeated rows are scored each. Other columns are ignored.
+the score per word null. Repeated rows are scored each. Other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -28,17 +33,21 @@ from pyspark.taskcontext import TaskContext
 
 from feedloom.llm.storage import forget, materialised
 
-#: Vocabulary, hash buckets of other words, words that are classes of their own, other classes.
-VOCABULARY, OTHERS = 8192, 1024
+#: Least vocabulary, and its words for every square root of a word of the corpus; hash buckets of
+#: other words.
+VOCABULARY, GROWTH, OTHERS = 8192, 4, 1024
+#: Words that are classes of their own, classes of other words and of buckets. Up to PLAIN words
+#: and buckets all are classes of their own.
 ALONE, SHARED, OTHER_CLASSES = 96, 24, 8
+PLAIN = 4096
 REACH, SIZE = 2, 16
 RATE, CHUNK, WARM = 0.08, 8192, 8
-#: Numbers of a block of weights that travels as one row.
-BLOCK = 1 << 14
+#: Numbers of a block of weights that travels as one row; least words of the corpus for every word
+#: of the vocabulary and trainer, where there are more trainers than cores.
+BLOCK, SHARE = 1 << 14, 256
 
 CLASSES = ALONE + SHARED + OTHER_CLASSES
-IDS = VOCABULARY + OTHERS
-PAD = IDS
+PAD = 0
 _PLACES = [j for j in range(-REACH, REACH + 1) if j]
 _LETTERS = bytes(b if 0x61 <= b <= 0x7A or 0x30 <= b <= 0x39 or b > 0x7F else 0x20 for b in range(256))
 
@@ -61,44 +70,123 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return counted.groupBy("word").agg(F.sum("n").alias("n"))
 
 
+@dataclass
+class Tree:
+    """Binary trees below the classes: of every id, the nodes from its class down and the side it
+    takes at each (from ``start[id]`` on), and of every node the log-odds of its right side."""
+
+    start: np.ndarray
+    nodes: np.ndarray
+    sides: np.ndarray
+    odds: np.ndarray
+
+    @classmethod
+    def over(cls, classes: list[np.ndarray], mass: np.ndarray) -> Tree:
+        """Every class cut where its mass halves, and so on down to its ids."""
+        parents, turns, odds = [], [], []
+        at, turn = np.full(len(mass), -1), np.zeros(len(mass), np.float32)
+        for members in classes:
+            sums = [0.0, *np.cumsum(mass[members]).tolist()]
+            todo = [(0, len(members), -1, 0.0)] if len(members) else []
+            while todo:
+                a, b, parent, side = todo.pop()
+                if b - a == 1:
+                    at[members[a]], turn[members[a]] = parent, side
+                    continue
+                cut = bisect_left(sums, (sums[a] + sums[b]) / 2, a + 1, b - 1)
+                node = len(parents)
+                parents.append(parent)
+                turns.append(side)
+                odds.append(math.log((sums[b] - sums[cut]) / (sums[cut] - sums[a])))
+                todo += [(a, cut, node, -1.0), (cut, b, node, 1.0)]
+        parents, turns = np.array(parents, np.int64), np.array(turns, np.float32)
+        steps = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float32))]
+        while len(own := np.flatnonzero(at >= 0)):
+            steps.append((own, at[own], turn[own]))
+            turn[own], at[own] = turns[at[own]], parents[at[own]]
+        of, nodes, sides = (np.concatenate(c) for c in zip(*steps))
+        order = np.argsort(of, kind="stable")
+        start = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(mass)))])
+        return cls(start, nodes[order].astype(np.int32), sides[order], np.array(odds))
+
+    def down(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places in ``ids``, nodes and sides of all the ids' branches."""
+        first = self.start[ids]
+        sizes = self.start[ids + 1] - first
+        rows = np.repeat(np.arange(len(ids)), sizes)
+        at = np.repeat(first - np.cumsum(sizes) + sizes, sizes) + np.arange(len(rows))
+        return rows, self.nodes[at], self.sides[at]
+
+
 @dataclass
 class Vocabulary:
-    """Ids of the frequent words; class and log-probability within it of every id."""
+    """Ids of the frequent words (after PAD and the buckets); class of every id, and its
+    log-probability within it without context."""
 
     ids: dict[bytes, int]
     group: np.ndarray
     within: np.ndarray
     prior: np.ndarray
+    tree: Tree
+    #: Words of the corpus, log-mass of the buckets, and the table of the counts of their words.
+    total: int
+    bucket: np.ndarray
+    rest: str | None
+
+    @property
+    def kind(self) -> str:
+        return "<u2" if len(self.group) <= 1 << 16 else "<u4"
 
     def encode(self, words: list[bytes]) -> np.ndarray:
         get = self.ids.get
         found = [get(w, -1) for w in words]
         if -1 in found:
-            found = [VOCABULARY + zlib.crc32(w) % OTHERS if i < 0 else i for w, i in zip(words, found)]
-        return np.array(found, np.uint16)
+            others = len(self.bucket)
+            found = [1 + zlib.crc32(w) % others if i < 0 else i for w, i in zip(words, found)]
+        return np.array(found, self.kind)
+
+    def others(self, words: list[bytes]) -> list[bytes]:
+        """Those that have no id of their own."""
+        return [w for w in words if w not in self.ids]
 
 
 def vocabulary(docs: DataFrame) -> Vocabulary:
     """The vocabulary of a corpus, from counts over all of it."""
     counts, path = materialised(word_counts(docs), "word-counts")
-    top = counts.orderBy(F.desc("n"), "word").limit(VOCABULARY).collect()
+    seen = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("words")).first()
+    size = max(VOCABULARY, int(GROWTH * math.sqrt(seen["n"])))
+    top = counts.orderBy(F.desc("n"), "word").limit(size).collect()
     words = [(bytes(r["word"]), r["n"]) for r in top]
-    ids = {w: i for i, (w, _) in enumerate(words)}
-    bucket = F.pmod(F.crc32("word"), F.lit(OTHERS)).alias("bucket")
-    # The last word of the vocabulary and its order tell which words are in it.
-    rest = counts.where(_after(words[-1]) if len(words) == VOCABULARY else F.lit(False))
-    mass = np.ones(IDS)
-    mass[: len(words)] += [n for _, n in words]
-    for r in rest.groupBy(bucket).agg(F.sum("n").alias("n")).collect():
-        mass[VOCABULARY + r["bucket"]] += r["n"]
+    rest, buckets = None, 1
+    if seen["words"] > len(words):
+        # The last word of the vocabulary and its order tell which words are in it.
+        others, rest = materialised(counts.where(_after(words[-1])), "other-counts")
+        buckets = OTHERS
+    first = 1 + buckets
+    ids = {w: first + i for i, (w, _) in enumerate(words)}
+    mass = np.ones(first + len(words))
+    mass[PAD] = 0
+    mass[first:] += [n for _, n in words]
+    if rest:
+        bucket = F.pmod(F.crc32("word"), F.lit(buckets)).alias("bucket")
+        for r in others.groupBy(bucket).agg(F.sum("n").alias("n")).collect():
+            mass[1 + r["bucket"]] += r["n"]
     forget(docs.sparkSession, path)
-    group = np.empty(IDS, np.int64)
-    group[:VOCABULARY] = ALONE + np.arange(VOCABULARY) % SHARED
-    for w, i in ids.items():
-        group[i] = i if i < ALONE else ALONE + zlib.crc32(w) % SHARED
-    group[VOCABULARY:] = ALONE + SHARED + np.arange(OTHERS) % OTHER_CLASSES
-    total = np.bincount(group, mass, CLASSES)
-    return Vocabulary(ids, group, np.log(mass / total[group]), np.log(np.maximum(total, 1e-9) / mass.sum()))
+    if len(mass) - 1 <= PLAIN:
+        group = np.maximum(np.arange(len(mass)) - 1, 0)
+    else:
+        group = np.empty(len(mass), np.int64)
+        group[:first] = ALONE + SHARED + np.arange(first) % OTHER_CLASSES
+        group[first:] = np.arange(len(words))
+        # The other words by rank, in classes of like mass.
+        below = np.cumsum(mass[first + ALONE :])
+        group[first + ALONE :] = ALONE + np.minimum(below * SHARED // below[-1:], SHARED - 1) if len(below) else 0
+    order = np.argsort(group[1:], kind="stable") + 1
+    tree = Tree.over(np.split(order, np.flatnonzero(np.diff(group[order])) + 1), mass)
+    total = np.bincount(group, mass)
+    within = np.log(np.maximum(mass, 1e-300) / np.maximum(total, 1e-9)[group])
+    prior = np.log(np.maximum(total, 1e-9) / mass.sum())
+    return Vocabulary(ids, group, within, prior, tree, seen["n"], np.log(mass[1:first]), rest)
 
 
 def _after(last: tuple[bytes, int]):
@@ -107,30 +195,42 @@ def _after(last: tuple[bytes, int]):
 
 
 def encoded(docs: DataFrame, words: Vocabulary) -> DataFrame:
-    """doc_id and the ids of all words, 16 bits each."""
+    """doc_id, the ids of all words (16 bits each, or 32 for a large vocabulary), the words that
+    have none of their own, and a number of the row."""
     shared = docs.sparkSession.sparkContext.broadcast(words)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, row = shared.value, TaskContext.get().partitionId() << 33
         for batch in batches:
-            ids = [shared.value.encode(words_of(t)).astype("<u2").tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+            texts = [words_of(t) for t in batch.column(1).to_pylist()]
+            ids = [known.encode(t).tobytes() for t in texts]
+            others = [known.others(t) if known.rest else [] for t in texts]
+            columns = [batch.column(0), pa.array(ids, pa.binary()), pa.array(others, pa.list_(pa.binary())), pa.array(range(row, row + len(ids)), pa.int64())]
+            row += len(ids)
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "others", "row"])
 
-    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(encode, "doc_id bigint, ids binary")
+    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(
+        encode, "doc_id bigint, ids binary, others array<binary>, row bigint"
+    )
 
 
 class Network:
-    """Embeddings per place, hidden bias, output weights and bias; all float32."""
+    """Embeddings per place, hidden bias, output weights and bias of the classes, and weights and
+    bias of the trees' nodes; all float32."""
 
     def __init__(self, arrays: list[np.ndarray]):
-        self.sides, (self.hidden, self.out, self.bias) = arrays[: len(_PLACES)], arrays[len(_PLACES) :]
+        self.sides, (self.hidden, self.out, self.bias, self.nodes, self.odds) = arrays[: len(_PLACES)], arrays[len(_PLACES) :]
         self.arrays = arrays
 
     @classmethod
-    def start(cls, prior: np.ndarray, seed: int = 5) -> Network:
+    def start(cls, prior: np.ndarray, ids: int | None = None, odds: np.ndarray | None = None, seed: int = 5) -> Network:
+        """By default every class is one id and there are no trees."""
         rng = np.random.default_rng(seed)
         draw = lambda *shape: rng.normal(0, 0.05, shape).astype(np.float32)
-        sides = [draw(IDS + 1, SIZE) for _ in _PLACES]
-        return cls([*sides, np.zeros(SIZE, np.float32), draw(SIZE, CLASSES), prior.astype(np.float32)])
+        sides = [draw(ids or len(prior) + 1, SIZE) for _ in _PLACES]
+        odds = np.zeros(0, np.float32) if odds is None else odds.astype(np.float32)
+        nodes = np.zeros((len(odds), SIZE), np.float32)
+        return cls([*sides, np.zeros(SIZE, np.float32), draw(SIZE, len(prior)), prior.astype(np.float32), nodes, odds])
 
     def forward(self, ids: np.ndarray, at: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
         """Context ids, hidden values and log-probabilities of classes at the places."""
@@ -144,6 +244,11 @@ class Network:
         logits -= np.log(np.exp(logits).sum(1, keepdims=True))
         return around, hidden, logits
 
+    def branches(self, tree: Tree, ids: np.ndarray, hidden: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Places in ``ids``, nodes, sides and logits of the sides taken, from the classes down."""
+        rows, nodes, sides = tree.down(ids)
+        return rows, nodes, sides, sides * (np.einsum("mk,mk->m", self.nodes[nodes], hidden[rows]) + self.odds[nodes])
+
     def flat(self) -> np.ndarray:
         return np.concatenate([a.ravel() for a in self.arrays])
 
@@ -152,63 +257,89 @@ class Network:
         return Network([p.reshape(a.shape).astype(np.float32) for p, a in zip(np.split(flat, cuts), self.arrays)])
 
 
-def laid_out(docs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def laid_out(docs: list[bytes], kind: str = "<u2") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Documents' ids on one line with padding between them; the words' places; document sizes."""
-    sizes = np.array([len(d) // 2 for d in docs], np.int64)
+    sizes = np.array([len(d) // np.dtype(kind).itemsize for d in docs], np.int64)
     starts = REACH + np.concatenate([[0], np.cumsum(sizes + REACH)])
     ids = np.full(starts[-1] + REACH, PAD, np.int64)
     at = np.repeat(starts[:-1] - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
     if len(at):
-        ids[at] = np.frombuffer(b"".join(docs), "<u2")
+        ids[at] = np.frombuffer(b"".join(docs), kind)
     return ids, at, sizes
 
 
 class _Trainer:
-    """Adagrad on one partition's words."""
+    """Adagrad on one trainer's words; only the rows that a step meets move."""
 
-    def __init__(self, network: Network, group: np.ndarray):
-        self.network, self.group = network, group
-        self.sums = [np.full(a.shape, 1e-3, np.float32) for a in network.arrays]
+    def __init__(self, network: Network, group: np.ndarray, tree: Tree):
+        self.network, self.group, self.tree = network, group, tree
+        self.sums = [np.full(a.shape, 1e-3, np.float32) for a in network.arrays[:-2]]
+        # Gradients of nodes are sums, not means.
+        self.sums += [np.full(a.shape, 1.0, np.float32) for a in network.arrays[-2:]]
+        self.number = np.zeros(max(len(group), len(tree.odds)), np.int64)
 
     def step(self, ids: np.ndarray, at: np.ndarray) -> None:
-        net, n = self.network, len(at)
+        net, n, own = self.network, len(at), ids[at]
         around, hidden, error = net.forward(ids, at)
         np.exp(error, out=error)
-        error[np.arange(n), self.group[ids[at]]] -= 1
+        error[np.arange(n), self.group[own]] -= 1
+        back = error @ net.out.T
+        rows, nodes, sides, taken = net.branches(self.tree, own, hidden)
+        if len(rows):
+            wrong = -sides / (1 + np.exp(np.minimum(taken, 60)))
+            down = net.nodes[nodes] * wrong[:, None]
+            back += np.stack([np.bincount(rows, down[:, k], n) for k in range(SIZE)], 1).astype(np.float32)
+            touched, [*grads, bias] = self._met(nodes, np.column_stack([hidden[rows] * wrong[:, None], wrong]))
+            self._move(-2, touched, np.stack(grads, 1))
+            self._move(-1, touched, bias)
         error /= n
-        back = (error @ net.out.T) * (1 - hidden * hidden)
-        grads = []
-        for near in around:
-            grads.append(np.stack([np.bincount(near, back[:, k], IDS + 1) for k in range(SIZE)], 1).astype(np.float32))
-        grads += [back.sum(0), hidden.T @ error, error.sum(0)]
-        for a, g, s in zip(net.arrays, grads, self.sums):
-            s += g * g
-            a -= RATE * g / np.sqrt(s)
+        back *= (1 - hidden * hidden) / n
+        for k, near in enumerate(around):
+            touched, grads = self._met(near, back)
+            self._move(k, touched, np.stack(grads, 1))
+        for k, g in enumerate([back.sum(0), hidden.T @ error, error.sum(0)], len(around)):
+            self._move(k, slice(None), g)
+
+    def _met(self, rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        """The distinct rows, and the sums of their values by column."""
+        self.number[rows] = 1
+        touched = np.flatnonzero(self.number)
+        self.number[touched] = np.arange(len(touched))
+        place = self.number[rows]
+        self.number[touched] = 0
+        return touched, [np.bincount(place, v, len(touched)).astype(np.float32) for v in values.T]
+
+    def _move(self, k: int, rows, g: np.ndarray) -> None:
+        s = self.sums[k][rows] + g * g
+        self.sums[k][rows] = s
+        self.network.arrays[k][rows] -= RATE * g / np.sqrt(s)
 
 
 def _trained(corpus: DataFrame, words: Vocabulary, network: Network, warm: bool) -> DataFrame:
-    """Blocks of each partition's weights times its number of words."""
-    shared = corpus.sparkSession.sparkContext.broadcast((words.group, network.arrays))
+    """Blocks of each trainer's weights, with its number of words."""
+    sc = corpus.sparkSession.sparkContext
+    shared = sc.broadcast((words.group, words.tree, words.kind, network.arrays))
+    trainers = max(sc.defaultParallelism, words.total // (SHARE * len(words.group)))
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, arrays = shared.value
-        trainer, n, number = _Trainer(Network([a.copy() for a in arrays]), group), 0, 0
+        group, tree, kind, arrays = shared.value
+        trainer, n, number = _Trainer(Network([a.copy() for a in arrays]), group, tree), 0, 0
         for batch in batches:
             texts = batch.column(0).to_pylist()
             for i in range(0, len(texts), 1024):
-                ids, at, _ = laid_out(texts[i : i + 1024])
+                ids, at, _ = laid_out(texts[i : i + 1024], kind)
                 for j in range(0, len(at), CHUNK):
                     if (number % WARM == 0) == warm:
                         trainer.step(ids, at[j : j + CHUNK])
                         n += len(at[j : j + CHUNK])
                     number += 1
         if n:
-            flat = trainer.network.flat().astype(np.float64) * n
+            flat = trainer.network.flat()
             blocks = [flat[i : i + BLOCK].tobytes() for i in range(0, len(flat), BLOCK)]
-            salt = TaskContext.get().partitionId() % 64
+            salt = TaskContext.get().partitionId() % 8
             yield _blocks([(i, salt, n, b) for i, b in enumerate(blocks)])
 
-    return corpus.select("ids").mapInArrow(train, "block int, salt int, n bigint, weights binary")
+    return corpus.select("ids").coalesce(trainers).mapInArrow(train, "block int, salt int, n bigint, weights binary")
 
 
 def _blocks(rows: list[tuple]) -> pa.RecordBatch:
@@ -218,63 +349,77 @@ def _blocks(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _summed(rows: DataFrame, *keys: str) -> DataFrame:
-    """Sums of blocks that the keys bring together, one running sum per block and task."""
+    """Means by words of blocks that the keys bring together, one running sum per block and task."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         counts: Counter = Counter()
         for batch in batches:
             for block, n, weights in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                values = np.frombuffer(weights, np.float64)
+                values = np.frombuffer(weights, np.float32).astype(np.float64) * n
                 sums[block] = sums[block] + values if block in sums else values
                 counts[block] += n
-        yield _blocks([(b, 0, counts[b], v.tobytes()) for b, v in sums.items()])
+        yield _blocks([(b, 0, counts[b], (v / counts[b]).astype(np.float32).tobytes()) for b, v in sums.items()])
 
     return rows.repartition(*keys).mapInArrow(add, "block int, salt int, n bigint, weights binary")
 
 
 def trained(corpus: DataFrame, words: Vocabulary) -> Network:
     """The network after a warm round on a share of the chunks and a round on the others."""
-    network = Network.start(words.prior)
+    network = Network.start(words.prior, len(words.group), words.tree.odds)
     for warm in (True, False):
         total = _summed(_summed(_trained(corpus, words, network, warm), "block", "salt"), "block")
         # As many rows as the network has blocks.
         rows = sorted(total.toArrow().to_pylist(), key=lambda r: r["block"])
         if rows:
-            network = network.loaded(np.concatenate([np.frombuffer(r["weights"], np.float64) / r["n"] for r in rows]))
+            network = network.loaded(np.concatenate([np.frombuffer(r["weights"], np.float32) for r in rows]))
     return network
 
 
 def log_probabilities(network: Network, words: Vocabulary, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Of the words at the places, given those around them."""
+    """Of the words at the places (of the buckets of words without ids), given those around them."""
     out = np.empty(len(at))
     for i in range(0, len(at), CHUNK):
         own = at[i : i + CHUNK]
-        logs = network.forward(ids, own)[2]
-        out[i : i + CHUNK] = logs[np.arange(len(own)), words.group[ids[own]]] + words.within[ids[own]]
+        _, hidden, logs = network.forward(ids, own)
+        rows, _, _, taken = network.branches(words.tree, ids[own], hidden)
+        out[i : i + CHUNK] = logs[np.arange(len(own)), words.group[ids[own]]] - np.bincount(rows, np.logaddexp(0, -taken), len(own))
     return out
 
 
 def scored(corpus: DataFrame, words: Vocabulary, network: Network) -> DataFrame:
     """doc_id, n_words, pll, pll_per_word."""
-    shared = corpus.sparkSession.sparkContext.broadcast((words, network.arrays))
+    spark = corpus.sparkSession
+    shared = spark.sparkContext.broadcast((words, network.arrays))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, arrays = shared.value
-        net = Network(arrays)
+        net, first = Network(arrays), 1 + len(known.bucket)
+        mass = np.concatenate([[0.0], known.bucket])
         for batch in batches:
             texts, sums, counts = batch.column(1).to_pylist(), [], []
             for i in range(0, len(texts), 1024):
-                ids, at, sizes = laid_out(texts[i : i + 1024])
-                total = np.concatenate([[0.0], np.cumsum(log_probabilities(net, known, ids, at))])
+                ids, at, sizes = laid_out(texts[i : i + 1024], known.kind)
+                own = ids[at]
+                logs = log_probabilities(net, known, ids, at) - np.where(own < first, mass[np.minimum(own, first - 1)], 0)
+                total = np.concatenate([[0.0], np.cumsum(logs)])
                 ends = np.cumsum(sizes)
                 sums.append(total[ends] - total[ends - sizes])
                 counts.append(sizes)
             values = [pa.array(np.concatenate(c) if c else [], k) for c, k in ((counts, pa.int64()), (sums, pa.float64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *values], ["doc_id", "n_words", "pll"])
-
-    rows = corpus.mapInArrow(score, "doc_id bigint, n_words bigint, pll double")
-    return rows.withColumn("pll_per_word", F.try_divide("pll", "n_words"))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *values, *batch.columns[2:]], ["doc_id", "n_words", "pll", *batch.schema.names[2:]])
+
+    if not words.rest:
+        rows = corpus.select("doc_id", "ids").mapInArrow(score, "doc_id bigint, n_words bigint, pll double")
+        return rows.withColumn("pll_per_word", F.try_divide("pll", "n_words"))
+    # Shares of the words without ids within their buckets, by their own counts; one that the
+    # corpus lacks counts as one.
+    met = corpus.select("row", F.explode("others").alias("word"))
+    counts = spark.read.schema("word binary, n bigint").parquet(words.rest)
+    own = met.join(counts, "word", "left").groupBy("row").agg(F.sum(F.log(F.coalesce("n", F.lit(1)).cast("double"))).alias("own"))
+    rows = corpus.select("doc_id", "ids", "row").mapInArrow(score, "doc_id bigint, n_words bigint, pll double, row bigint")
+    pll = (F.col("pll") + F.coalesce("own", F.lit(0.0))).alias("pll")
+    return rows.join(own, "row", "left").select("doc_id", "n_words", pll, F.try_divide(pll, "n_words").alias("pll_per_word"))
 
 
 def score_documents(docs: DataFrame) -> DataFrame:

@@ -70,3 +70,53 @@ def test_awkward_and_empty(docs, awkward, no_docs):
     assert len(rows) == len(awkward)
     assert all((r["pll"] == 0 and r["pll_per_word"] is None) == (r["n_words"] == 0) for r in rows)
     assert lm.score_documents(no_docs).count() == 0
+
+
+def small_vocabulary(monkeypatch, size):
+    for name, value in (("VOCABULARY", size), ("GROWTH", 0), ("OTHERS", 4), ("PLAIN", 8), ("ALONE", 5), ("SHARED", 2), ("OTHER_CLASSES", 2)):
+        monkeypatch.setattr(lm, name, value, raising=False)
+
+
+def test_vocabulary_grows_with_the_corpus(docs, monkeypatch):
+    small_vocabulary(monkeypatch, 20)
+    assert len(lm.vocabulary(docs).ids) == 20
+    monkeypatch.setattr(lm, "GROWTH", 1)
+    counts = Counter({bytes(r["word"]): r["n"] for r in lm.word_counts(docs).collect()})
+    assert len(lm.vocabulary(docs).ids) == min(len(counts), math.isqrt(counts.total())) > 20
+
+
+def test_every_word_has_a_share_of_its_own(spark, docs, monkeypatch):
+    small_vocabulary(monkeypatch, 30)
+    words = lm.vocabulary(docs)
+    counts = {bytes(r["word"]): r["n"] for r in lm.word_counts(docs).collect()}
+    assert len(counts) > 500
+    start = lm.Network.start(words.prior, len(words.group), words.tree.odds)
+    rng = np.random.default_rng(1)
+    network = lm.Network([rng.normal(0, 0.3, a.shape).astype(np.float32) for a in start.arrays])
+    ones = spark.createDataFrame([(i, w.decode()) for i, w in enumerate(counts)], "doc_id bigint, text string")
+    got = {r["doc_id"]: math.exp(r["pll"]) for r in lm.scored(lm.encoded(ones, words), words, network).collect()}
+    # Each bucket keeps a share of one word for words that the corpus lacks.
+    unseen = sum(math.exp(r["pll"]) for r in lm.scored(lm.encoded(spark.createDataFrame([(0, w) for w in absent(words, counts)], "doc_id bigint, text string"), words), words, network).collect())
+    assert abs(sum(got.values()) + unseen - 1) < 1e-3
+    same = {}
+    for i, (w, n) in enumerate(counts.items()):
+        if w not in words.ids:
+            same.setdefault(int(words.encode([w])[0]), set()).add(round(got[i] / n, 9))
+    assert len(same) == 4 and all(max(s) - min(s) < 1e-6 for s in same.values())
+
+
+def absent(words, counts):
+    """One word of each bucket that the corpus lacks."""
+    found = {}
+    for i in range(1000):
+        found.setdefault(int(words.encode([b"absent%d" % i])[0]), f"absent{i}")
+    return found.values()
+
+
+def test_start_is_the_shares_without_context(docs, monkeypatch):
+    small_vocabulary(monkeypatch, 200)
+    words = lm.vocabulary(docs)
+    network = lm.Network.start(words.prior, len(words.group), words.tree.odds)
+    own = np.arange(1, len(words.group))
+    rows, _, _, taken = network.branches(words.tree, own, np.ones((len(own), lm.SIZE), np.float32))
+    assert np.allclose(-np.bincount(rows, np.logaddexp(0, -taken), len(own)), words.within[1:], atol=1e-4)
