@@ -120,3 +120,32 @@ def test_start_is_the_shares_without_context(docs, monkeypatch):
     own = np.arange(1, len(words.group))
     rows, _, _, taken = network.branches(words.tree, own, np.ones((len(own), lm.SIZE), np.float32))
     assert np.allclose(-np.bincount(rows, np.logaddexp(0, -taken), len(own)), words.within[1:], atol=1e-4)
+
+
+def topical(n, seed, swap=False):
+    """Documents of one of 6 topics, each of 100 words of like frequency; ``swap`` exchanges some
+    words for those of another topic with the same rank."""
+    rng = np.random.default_rng(seed)
+    out = []
+    for i in range(n):
+        topic = int(rng.integers(6))
+        ranks = np.minimum(rng.geometric(0.03, 60) - 1, 99)
+        other = (rng.random(60) < 0.3) * rng.integers(1, 6, 60)
+        out.append((i, " ".join(f"t{(topic + (int(o) if swap else 0)) % 6}n{r}" for r, o in zip(ranks, other))))
+    return out
+
+
+def test_context_tells_words_of_one_class_apart(spark, monkeypatch):
+    for name, value in (("CHUNK", 256), ("PLAIN", 64), ("ALONE", 8), ("SHARED", 2)):
+        monkeypatch.setattr(lm, name, value, raising=False)
+    docs = spark.createDataFrame(topical(4000, 1), "doc_id bigint, text string").repartition(2)
+    words = lm.vocabulary(docs)
+    network = lm.trained(lm.encoded(docs, words).coalesce(2), words)
+    ids, at, _ = lm.laid_out([words.encode(lm.words_of(t)).astype("<u2").tobytes() for _, t in topical(200, 2)])
+    class_only = lm.Network([a.copy() for a in network.arrays])
+    class_only.nodes[:] = 0
+    class_only.odds[:] = words.tree.odds
+    whole, shares = (lm.log_probabilities(n, words, ids, at).mean() for n in (network, class_only))
+    swapped, places, _ = lm.laid_out([words.encode(lm.words_of(t)).astype("<u2").tobytes() for _, t in topical(200, 2, True)])
+    assert whole > shares + 0.3
+    assert lm.log_probabilities(network, words, swapped, places).mean() < whole - 0.3
