@@ -3,9 +3,10 @@
 A word's embedding is the sum of hashed embeddings: of the word and of its beginnings, as far
 as enough training texts hold them. Filters of several widths slide over the whole text, each
 keeps its largest value, and a dense layer makes a logit of them. Training uses a bounded sample
-of labelled rows, chosen by a hash of doc_id. A quarter of the sample, not trained on,
-calibrates a threshold per language (told from the text's own function words), and scores are
-shifted so that every language's threshold is SCORE_THRESHOLD.
+of labelled rows, chosen by a hash of doc_id. All labelled rows that were not trained on, a quarter
+of the sample among them, calibrate a threshold per language (told from the text's own function
+words): they are scored where they lie, and counts by language, logit bin and label decide. Scores
+are shifted so that every language's threshold is SCORE_THRESHOLD.
 
 Only the text enters a score. Null and empty texts are scored as one unknown word. Labels that
 are null or whose document is missing are ignored; without labels of both classes every score
@@ -24,8 +25,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-#: Labelled rows that may be collected to train and calibrate on.
+#: Labelled rows that may be collected to train on.
 SAMPLE = 8_000
+#: Logits are counted in bins of 1 / BINS between -LIMIT and LIMIT. Rows of either label that a
+#: language needs for a threshold of its own.
+BINS, LIMIT, LEAST_ROWS = 64, 40, 20
 BUCKETS, LEAST_TEXTS = 1 << 22, 3
 #: Bytes of a word's beginnings that are hashed beside the word.
 BEGINNINGS = (3, 4, 5, 6, 7, 8, 10)
@@ -224,24 +228,55 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, words: list[bytes], seed: in
     return model, slots
 
 
-def calibrate(model: Model, slots: np.ndarray, rows: list[np.ndarray], labels: np.ndarray, languages: np.ndarray) -> None:
-    """Set the shift of each language: its threshold of best F1 becomes SCORE_THRESHOLD."""
-    if not len(rows):
-        return
-    raw = []
-    for i in range(0, len(rows), BATCH):
-        own, starts, sizes = padded(rows[i : i + BATCH])
-        raw.append(model.pooled(model.embedding[slots[own]].sum(1), starts, sizes)[0] @ model.dense + model.offset)
-    raw = np.concatenate(raw)
+def calibrate(model: Model, languages: np.ndarray, bins: np.ndarray, labels: np.ndarray, counts: np.ndarray) -> None:
+    """Set the shift of each language, from counts of rows: its threshold of best F1 becomes
+    SCORE_THRESHOLD."""
     goal = np.log(SCORE_THRESHOLD / (1 - SCORE_THRESHOLD))
-    common = _threshold(raw, labels)
+    common = _binned_threshold(bins, labels, counts)
     for i in range(len(_LANGUAGES)):
         own = languages == i
-        enough = min(labels[own].sum(), (1 - labels[own]).sum()) >= 20
-        cut = _threshold(raw[own], labels[own]) if enough else common
+        toxic = counts[own & (labels == 1)].sum()
+        enough = min(toxic, counts[own].sum() - toxic) >= LEAST_ROWS
+        cut = _binned_threshold(bins[own], labels[own], counts[own]) if enough else common
         model.shift[i] = 0.0 if cut is None else goal - cut
 
 
+def _binned_threshold(bins: np.ndarray, labels: np.ndarray, counts: np.ndarray) -> float | None:
+    """The logit of best F1 between bins of rows, in the middle of the gap it lies in."""
+    both = np.zeros((2, 2 * LIMIT * BINS + 1), np.int64)
+    np.add.at(both, (labels, bins), counts)
+    if not both.sum(1).all():
+        return None
+    used = np.flatnonzero(both.sum(0))[::-1]
+    found = np.cumsum(both[1, used])
+    f1 = 2 * found / (np.cumsum(both[:, used].sum(0)) + found[-1])
+    best = int(np.argmax(f1))
+    middle = (used + 0.5) / BINS - LIMIT
+    return float(middle[best] + middle[best + 1]) / 2 if best + 1 < len(used) else float(middle[best]) - 1.0
+
+
+def counted(docs: DataFrame, model: Model) -> DataFrame:
+    """language, bin, toxic, n of the labelled rows of ``docs`` (text, toxic), summed by task
+    before the shuffle; at most one row per language, bin and label."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    size = 2 * LIMIT * BINS + 1
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer, sums = Scorer(shared.value), np.zeros(len(_LANGUAGES) * size * 2, np.int64)
+        for batch in batches:
+            toxic = batch.column(1).to_numpy(zero_copy_only=False)
+            for i in range(0, batch.num_rows, 256):
+                words = [words_of(t) for t in batch.column(0)[i : i + 256].to_pylist()]
+                bins = np.clip(np.floor((scorer.logits(words) + LIMIT) * BINS), 0, size - 1).astype(np.int64)
+                np.add.at(sums, (np.array([language_of(t) for t in words]) * size + bins) * 2 + toxic[i : i + 256], 1)
+        at = np.flatnonzero(sums)
+        columns = [(at // (2 * size), pa.int32()), (at // 2 % size, pa.int32()), (at % 2, pa.int32()), (sums[at], pa.int64())]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in columns], ["language", "bin", "toxic", "n"])
+
+    rows = docs.select("text", "toxic").mapInArrow(count, "language int, bin int, toxic int, n bigint")
+    return rows.groupBy("language", "bin", "toxic").agg(F.sum("n").alias("n"))
+
+
 def _threshold(raw: np.ndarray, labels: np.ndarray) -> float | None:
     """The logit of best F1, in the middle of the gap it lies in."""
     if not 0 < labels.sum() < len(labels):
@@ -256,35 +291,39 @@ def _threshold(raw: np.ndarray, labels: np.ndarray) -> float | None:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """A model from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic), at most about
-    ``sample`` labelled rows."""
+    """A model from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic), fitted on at most about
+    ``sample`` labelled rows, with thresholds from all others."""
     given = labels.where("toxic is not null and doc_id is not null").select(
         F.col("doc_id").cast("bigint").alias("label_id"), (F.col("toxic") != 0).cast("int").alias("toxic")
     )
     n = given.count()
     scale = 1 << 20
     dealt = F.pmod(F.xxhash64("label_id"), F.lit(scale))
-    chosen = given.where(dealt < int(scale * min(1.0, sample / max(1, n))))
-    fold = F.pmod(F.xxhash64("label_id", F.lit("fold")), F.lit(4))
+    bound = int(scale * min(1.0, sample / max(1, n)))
+    chosen = given.where(dealt < bound)
+    quarter = F.pmod(F.xxhash64("label_id", F.lit("fold")), F.lit(4))
+    texts_of = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
     # Bounded by ``sample`` rows of two numbers.
-    rows = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).join(
-        F.broadcast(chosen.select("label_id", "toxic", fold.alias("fold"))), F.col("doc_id") == F.col("label_id")
+    rows = texts_of.join(
+        F.broadcast(chosen.select("label_id", "toxic", quarter.alias("fold"))), F.col("doc_id") == F.col("label_id")
     )
 
     table = rows.select("label_id", "text", "toxic", "fold").toArrow().sort_by("label_id")
     toxic, fold = table.column("toxic").to_numpy(), table.column("fold").to_numpy()
     number: dict[bytes, int] = {}
-    texts, languages = [], []
+    texts = []
     for text in table.column("text"):
         words = words_of(text.as_py())
         texts.append(np.array([number.setdefault(w, len(number) + 1) for w in words], np.int32))
-        languages.append(language_of(words))
     del table
     few = len(texts) < 200
     train_on = np.flatnonzero((fold != 0) | few)
-    check_on = np.flatnonzero((fold == 0) | few)
-    model, slots = fit([texts[i] for i in train_on], toxic[train_on], list(number))
-    calibrate(model, slots, [texts[i] for i in check_on], toxic[check_on], np.array(languages, np.int64)[check_on])
+    model, _ = fit([texts[i] for i in train_on], toxic[train_on], list(number))
+    # Of few rows all are trained on, and all calibrate.
+    others = given.where((dealt >= bound) | (quarter == 0) | F.lit(few)).select("label_id", "toxic")
+    found = counted(texts_of.join(others, F.col("doc_id") == F.col("label_id")), model).toArrow()
+    if found.num_rows:
+        calibrate(model, *(found.column(c).to_numpy() for c in ("language", "bin", "toxic", "n")))
     return model
 
 

@@ -81,3 +81,33 @@ def test_thresholds_by_language():
     raw, labels = np.array([3.0, 1.0, 0.5, -2.0]), np.array([1, 1, 0, 0])
     assert toxicity._threshold(raw, labels) == 0.75
     assert toxicity._threshold(raw, np.zeros(4)) is None
+
+
+def test_thresholds_come_from_all_labelled_rows(spark):
+    # German is rare: the sample holds too few toxic rows of it, the label table enough. A word
+    # that is rude elsewhere is half a sign of it there.
+    rng = np.random.default_rng(9)
+    rows = []
+    for i, text, toxic in corpus(4000, seed=3):
+        if i % 20 == 0:
+            text = "der und das von ist " + " ".join(w for w in text.split()[3:] if not w.startswith(tuple(RUDE)))
+            toxic = int(rng.random() < 0.3)
+            text += (" grobblex1" if toxic else "") + " snarfian2" * int(rng.random() < 0.5)
+        rows.append((i, text, toxic))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, t) for i, _, t in rows], "doc_id bigint, toxic int")
+    model = toxicity.train(docs, labels, sample=400)
+    own = toxicity.counted(docs.join(labels, "doc_id"), model).where("language = 1")
+    assert own.agg({"n": "sum"}).first()[0] == 200
+    assert model.shift[1] != model.shift[-1] and model.shift[0] != model.shift[-1]
+
+
+def test_binned_thresholds_equal_those_of_rows():
+    rng = np.random.default_rng(4)
+    labels = (rng.random(3000) < 0.2).astype(int)
+    raw = rng.normal(0, 2, 3000) + 3 * labels
+    bins = np.floor((raw + toxicity.LIMIT) * toxicity.BINS).astype(int)
+    got = toxicity._binned_threshold(bins, labels, np.ones(3000, int))
+    scores = lambda cut: 2 * labels[raw >= cut].sum() / ((raw >= cut).sum() + labels.sum())
+    assert scores(got) >= scores(toxicity._threshold(raw, labels)) - 0.005
+    assert toxicity._binned_threshold(bins, np.zeros(3000, int), np.ones(3000, int)) is None
