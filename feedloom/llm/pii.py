@@ -5,7 +5,7 @@ recall propose overlapping further spans: runs of digit groups in every plausibl
 addresses that are spelled out or lack a domain's dot. Boosted trees judge each by its format and
 context; they learn from a bounded sample of documents in which base spans, also rewritten into
 looser formats, are positive and all other proposals negative. A threshold per kind, calibrated
-on sampled documents that were not trained on, lets at most MOST_FALSE of the negatives pass;
+on all documents that were not trained on, lets at most MOST_FALSE of the negatives pass;
 of passing proposals that overlap, the likeliest stays, and none overlaps a base span.
 
 Null texts are empty. Offsets are code points, ends exclusive. Rows with repeated or null ids
@@ -26,8 +26,10 @@ from pyspark.sql import functions as F
 
 from feedloom.llm import boosting
 
-#: Documents that may be collected to learn from.
+#: Distinct texts that may be collected to learn from.
 SAMPLE = 4_000
+#: Logits of negatives are counted in bins of 1 / BINS between -LIMIT and LIMIT.
+BINS, LIMIT = 64, 40
 #: Share of calibration negatives that may pass, and the fewest negatives a threshold needs.
 MOST_FALSE, LEAST_NEGATIVES = 0.002, 50
 #: Logit asked of kinds with fewer negatives.
@@ -204,26 +206,31 @@ class Model:
     thresholds: np.ndarray
 
 
-def learn(texts: list[str], seed: int = 3) -> Model:
-    """Trees and thresholds from a sample of texts."""
+def negatives(text: str, base: list[Span]) -> list[Span]:
+    """Proposals that neither are base spans nor overlap one."""
+    known = set(base)
+    return [p for p in proposals(text) if p not in known and not any(s < p[2] and p[0] < e for s, _, e in base)]
+
+
+def learn(texts: list[str], seed: int = 3, folds: list[int] | None = None) -> Model:
+    """Trees and thresholds from a sample of texts; fold 0 is not trained on."""
+    folds = [n % 4 for n in range(len(texts))] if folds is None else folds
     x, y, fold, kinds, natural = [], [], [], [], []
     for n, text in enumerate(texts):
         base = base_spans(text)
-        known = set(base)
         for span in base:
             for own, at in [(text, span), *looser(text, span)]:
                 x.append(features(own, at))
                 y.append(1.0)
-                fold.append(n % 4)
+                fold.append(folds[n])
                 kinds.append(span[1])
                 natural.append(own is text)
-        for span in proposals(text):
-            if span not in known and not any(s < span[2] and span[0] < e for s, _, e in base):
-                x.append(features(text, span))
-                y.append(0.0)
-                fold.append(n % 4)
-                kinds.append(span[1])
-                natural.append(True)
+        for span in negatives(text, base):
+            x.append(features(text, span))
+            y.append(0.0)
+            fold.append(folds[n])
+            kinds.append(span[1])
+            natural.append(True)
     thresholds = np.full(len(KINDS), STRICT)
     if not any(y):
         return Model(None, thresholds)
@@ -281,13 +288,55 @@ class _Held:
         self.starts[i:j], self.ends[i:j] = [start], [end]
 
 
+def counted(docs: DataFrame, model: Model) -> DataFrame:
+    """kind, bin, n of the negatives' logits in all rows of ``docs`` (text), summed by task before
+    the shuffle; at most one row per kind and bin."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    size = 2 * LIMIT * BINS + 1
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((len(KINDS), size), np.int64)
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                if spans := negatives(text, base_spans(text)):
+                    raw = shared.value.trees.logits(np.array([features(text, p) for p in spans], float))
+                    bins = np.clip(np.floor((raw + LIMIT) * BINS), 0, size - 1).astype(np.int64)
+                    np.add.at(sums, ([k for _, k, _ in spans], bins), 1)
+        kinds, bins = np.nonzero(sums)
+        columns = [pa.array(kinds, pa.int32()), pa.array(bins, pa.int32()), pa.array(sums[kinds, bins], pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, ["kind", "bin", "n"])
+
+    return docs.select("text").mapInArrow(count, "kind int, bin int, n bigint").groupBy("kind", "bin").agg(F.sum("n").alias("n"))
+
+
+def calibrate(model: Model, counts: DataFrame) -> None:
+    """Set the thresholds of kinds with enough negatives to the least upper edges of bins, 0 at
+    least, that at most MOST_FALSE of them reach."""
+    both = np.zeros((len(KINDS), 2 * LIMIT * BINS + 2), np.int64)
+    for r in counts.collect():
+        both[r["kind"], r["bin"]] = r["n"]
+    for k, own in enumerate(both):
+        if own.sum() >= LEAST_NEGATIVES:
+            reach = own[::-1].cumsum()[::-1]
+            edge = int(np.argmax(reach <= MOST_FALSE * own.sum()))
+            model.thresholds[k] = max(edge / BINS - LIMIT, 0.0)
+
+
 def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
-    """A model from a hash-chosen sample of about ``sample`` documents with digits or at-signs."""
+    """A model from about ``sample`` distinct texts with digits or at-signs, chosen by hash, and
+    thresholds from all rows whose texts were not trained on."""
     text = F.col("text").cast("string")
     able = docs.select(text.alias("text")).where(text.rlike("[0-9@]"))
-    n, scale = able.count(), 1 << 20
-    chosen = able.where(F.pmod(F.xxhash64("text"), F.lit(scale)) < int(scale * min(1.0, sample / max(1, n))))
-    return learn(sorted(chosen.toArrow().column("text").to_pylist()))
+    n, scale = able.select(F.xxhash64("text").alias("hash")).distinct().count(), 1 << 20
+    dealt = F.pmod(F.xxhash64("text"), F.lit(scale))
+    fold = F.pmod(F.xxhash64("text", F.lit("fold")), F.lit(4))
+    bound = int(scale * min(1.0, sample / max(1, n)))
+    chosen = able.where(dealt < bound).distinct().select("text", fold.cast("int").alias("fold")).toArrow().sort_by("text")
+    model = learn(chosen.column("text").to_pylist(), folds=chosen.column("fold").to_pylist())
+    if model.trees is not None:
+        model.thresholds[:] = STRICT
+        calibrate(model, counted(able.where((dealt >= bound) | (fold == 0)), model))
+    return model
 
 
 def find(docs: DataFrame, model: Model) -> DataFrame:

@@ -107,3 +107,29 @@ def test_boosting_learns_and_equals_a_walk():
             total += leaf[node - len(f)]
         raw.append(total)
     assert np.allclose(model.logits(x[:20]), raw)
+
+
+def test_copies_are_learnt_once_and_thresholds_cover_all_rows(spark, monkeypatch):
+    texts = sample(1500, 4)
+    rows = [(t,) for t in texts + texts[:1] * 3000]
+    docs = spark.createDataFrame(rows, "text string")
+    learnt, real = [], pii.learn
+    monkeypatch.setattr(pii, "learn", lambda texts, *a, **k: learnt.append(list(texts)) or real(texts, *a, **k))
+    model = pii.train(docs, sample=10_000)
+    assert sorted(learnt[0]) == sorted(set(texts))
+    learnt.clear()
+    model = pii.train(docs, sample=300)
+    assert len(set(learnt[0])) == len(learnt[0]) and 200 < len(learnt[0]) < 400
+    false, every = [0] * 4, [0] * 4
+    for (text,) in rows:
+        base = pii.base_spans(text)
+        if spans := pii.negatives(text, base):
+            for r, p in zip(model.trees.logits(np.array([pii.features(text, p) for p in spans], float)), spans):
+                every[p[1]] += 1
+                false[p[1]] += r >= model.thresholds[p[1]]
+    # Rows that were trained on are not counted, hence the room.
+    assert all(f <= 2 * pii.MOST_FALSE * n for f, n in zip(false, every) if n >= 500)
+    counts = {k: 0 for k in range(4)}
+    for r in pii.counted(docs, model).collect():
+        counts[r["kind"]] += r["n"]
+    assert [counts[k] for k in range(4)] == every
