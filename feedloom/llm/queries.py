@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.llm import contamination, exact, idfiles, lm, packing, pii, simhash, substrings, toxicity, warc
+from feedloom.llm import contamination, exact, idfiles, lm, packing, pii, runs, simhash, substrings, toxicity, warc
 from feedloom.llm.shipping import ship
 
 
@@ -102,6 +102,11 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's periodic runs, a tenth of the documents made periodic first."""
+    return runs.collapse_runs(_table(spark, sf_dir, "documents"), planted=True)
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_packing": op2_packing,
@@ -113,6 +118,7 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_toxicity": op9_toxicity,
     "op10_pii": op10_pii,
+    "op12_runs": op12_runs,
 }
 
 #: SQL for the queries that SQL can express.
