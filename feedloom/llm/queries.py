@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.llm import contamination, exact, idfiles, lm, packing, pii, runs, simhash, substrings, toxicity, warc
+from feedloom.llm import contamination, exact, idfiles, lm, packing, pii, resampling, runs, simhash, substrings, toxicity, warc
 from feedloom.llm.shipping import ship
 
 
@@ -102,6 +102,12 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's weight towards the benchmark's texts; a twentieth is drawn."""
+    drawn = resampling.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's periodic runs, a tenth of the documents made periodic first."""
     return runs.collapse_runs(_table(spark, sf_dir, "documents"), planted=True)
@@ -118,6 +124,7 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_toxicity": op9_toxicity,
     "op10_pii": op10_pii,
+    "op11_resampling": op11_resampling,
     "op12_runs": op12_runs,
 }
 
@@ -133,4 +140,56 @@ ORACLES: dict[str, str] = {
                      sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256
               FROM documents)
         WINDOW same AS (PARTITION BY text_sha256)""",
+    # CRC-32 byte by byte over each distinct feature, from a table made by the polynomial.
+    "op11_resampling": r"""
+        WITH RECURSIVE steps(b, k, r) AS (
+            SELECT range, 0, range FROM range(256)
+            UNION ALL
+            SELECT b, k + 1, CASE WHEN r % 2 = 1 THEN xor(r // 2, 3988292384) ELSE r // 2 END FROM steps WHERE k < 8),
+        crc_table AS (SELECT list(r ORDER BY b) AS t FROM steps WHERE k = 8),
+        texts AS (
+            SELECT 1 AS side, row_number() OVER () AS row, doc_id, text FROM documents
+            UNION ALL SELECT 2, row_number() OVER (), NULL, text FROM benchmark),
+        worded AS (
+            SELECT side, row, doc_id,
+                   regexp_extract_all(
+                       translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                       '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+            FROM texts),
+        features AS (
+            SELECT side, row, unnest(list_concat(
+                       w,
+                       [w[i] || ' ' || w[i + 1] for i in range(1, len(w))],
+                       [w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] for i in range(1, len(w) - 1)])) AS f
+            FROM worded),
+        counted AS (SELECT side, row, f, count(*) AS c FROM features GROUP BY ALL),
+        bucketed AS (
+            SELECT f, xor(list_reduce(
+                       list_concat([4294967295::BIGINT],
+                                   [('0x' || hex(encode(f))[2 * i + 1 : 2 * i + 2])::BIGINT for i in range(octet_length(encode(f)))]),
+                       lambda r, b: xor(t[1 + xor(r, b) % 256], r // 256)), 4294967295) % 10000 AS bucket
+            FROM (SELECT DISTINCT f FROM counted), crc_table),
+        held AS (SELECT side, row, bucket, sum(c) AS c FROM counted JOIN bucketed USING (f) GROUP BY ALL),
+        shares AS (
+            SELECT bucket, sum(c) FILTER (side = 1) AS s, sum(c) FILTER (side = 2) AS t FROM held GROUP BY bucket),
+        totals AS (SELECT coalesce(sum(s), 0) AS s, coalesce(sum(t), 0) AS t FROM shares),
+        gains AS (
+            SELECT bucket, floor(1000 * ln(
+                       (coalesce(shares.t, 0) + 1)::DOUBLE * (totals.s + 10000)::DOUBLE
+                       / ((coalesce(shares.s, 0) + 1)::DOUBLE * (totals.t + 10000)::DOUBLE)))::BIGINT AS gain
+            FROM shares, totals),
+        weighed AS (
+            SELECT row, sum(c)::BIGINT AS n_features, sum(c * gain)::BIGINT AS weight
+            FROM held JOIN gains USING (bucket) WHERE side = 1 GROUP BY row),
+        scored AS (
+            SELECT doc_id, row, len(w) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+                   coalesce(weight, 0) + floor(-1000 * ln(-ln(
+                       (('0x' || sha256('42:' || coalesce(doc_id::VARCHAR, ''))[1:8])::BIGINT + 0.5::DOUBLE)
+                       / 4294967296::DOUBLE)))::BIGINT AS score
+            FROM worded LEFT JOIN weighed USING (row) WHERE side = 1),
+        ranked AS (
+            SELECT row, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST, row) AS rank, count(*) OVER () AS n
+            FROM scored WHERE n_words >= 20)
+        SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 5 * n // 100 THEN rank END AS rank
+        FROM scored LEFT JOIN ranked USING (row)""",
 }
