@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.llm import contamination, exact, idfiles, lm, packing, pii, resampling, runs, simhash, substrings, toxicity, warc
+from feedloom.llm import contamination, exact, idfiles, lm, neighbours, packing, pii, resampling, runs, simhash, substrings, toxicity, warc
 from feedloom.llm.shipping import ship
 
 
@@ -113,6 +113,11 @@ def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.collapse_runs(_table(spark, sf_dir, "documents"), planted=True)
 
 
+def op13_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest vectors found for every hundredth vector."""
+    return neighbours.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_packing": op2_packing,
@@ -126,6 +131,7 @@ QUERIES = {
     "op10_pii": op10_pii,
     "op11_resampling": op11_resampling,
     "op12_runs": op12_runs,
+    "op13_neighbours": op13_neighbours,
 }
 
 #: SQL for the queries that SQL can express.
