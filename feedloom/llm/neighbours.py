@@ -37,10 +37,11 @@ NEIGHBOURS, ORDERS = 48, 2
 PLANES = 8
 #: Nodes compared with each other in the first graph, and at a meeting place at once.
 TOGETHER, BLOCK = 96, 144
-#: Meeting places of a cell, and nodes that point to one place before it is dealt as several.
+#: Most meeting places of a cell (every core has two cells or more), and nodes that point to one
+#: place before it is dealt as several.
 CELL, HUB = 8192, 4096
 #: Nodes that a cell proposes to one node.
-PROPOSED = 24
+PROPOSED = 12
 #: The graph is done when a smaller share of its links is new, or after so many rounds.
 CHANGING, ROUNDS = 0.12, 16
 #: Nodes in a query's list while it searches.
@@ -257,11 +258,12 @@ def neighbour_graph(nodes: DataFrame) -> DataFrame:
         return materialised(codes.join(_kept(pairs, NEIGHBOURS), "node", "left").withColumn("links", F.coalesce("links", F.array())), "graph")
 
     graph, path = written(_ordered(coded, size["n"], size["dims"] or 0))
+    cells = max(2 * nodes.sparkSession.sparkContext.defaultParallelism, -(-size["n"] // CELL))
     for round_number in range(ROUNDS if size["n"] > WHOLE else 0):
         pairs = graph.select(F.col("node").alias("a"), F.explode("links").alias("l")).select(
             "a", F.col("l.b").alias("b"), F.col("l.d").alias("d"), F.lit(False).alias("fresh")
         )
-        proposed = _proposed(graph, max(1, -(-size["n"] // CELL)), round_number)
+        proposed = _proposed(graph, cells, round_number)
         following, next_path = written(pairs.unionByName(proposed))
         forget(nodes.sparkSession, path)
         graph, path = following, next_path
