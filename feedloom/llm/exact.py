@@ -110,6 +110,8 @@ def keep_first(spark: SparkSession, records: str, digest_bytes: int = 32) -> tup
         session.conf.set(setting, spark.conf.get(setting))
     session.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
     session.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
+    # There may be many small stores; each would set megabytes of disk aside for its logs.
+    session.conf.set("spark.sql.streaming.stateStore.rocksdb.allowFAllocate", "false")
     # Stores of an ended stream give their disk back at the next maintenance.
     session.conf.set("spark.sql.streaming.stateStore.maintenanceInterval", "5s")
     updates, progress = scratch_path(spark, "first-seen"), scratch_path(spark, "first-seen-progress")
