@@ -32,9 +32,8 @@ def _without(docs: DataFrame, dropped: DataFrame, key: Column) -> DataFrame:
 def clean_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity is below the threshold."""
     ship(spark)
-    model = toxicity.train(docs, teaching_labels(spark, sf_dir))
     name = unused(docs, "toxicity")
-    scored = toxicity.with_score(docs, model, name)
+    scored = toxicity.score_documents(docs, teaching_labels(spark, sf_dir), name)
     return scored.where(F.col(name) < toxicity.SCORE_THRESHOLD).drop(name)
 
 

@@ -75,8 +75,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's toxicity; documents of one crc32 remainder never teach."""
     docs = _table(spark, sf_dir, "documents")
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
-    model = toxicity.train(docs, teaching_labels(spark, sf_dir))
-    scored = toxicity.with_score(docs.select("doc_id", "text"), model)
+    scored = toxicity.score_documents(docs.select("doc_id", "text"), teaching_labels(spark, sf_dir), text=False)
     return scored.select(
         "doc_id",
         F.coalesce(held_out, F.lit(False)).alias("held_out"),

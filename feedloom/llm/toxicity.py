@@ -21,10 +21,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from feedloom.llm.storage import materialised, unused
+
 #: Labelled rows that may be collected to train on.
 SAMPLE = 8_000
 #: Logits are counted in bins of 1 / BINS between -LIMIT and LIMIT. Rows of either label that a
@@ -255,26 +257,18 @@ def _binned_threshold(bins: np.ndarray, labels: np.ndarray, counts: np.ndarray)
     return float(middle[best] + middle[best + 1]) / 2 if best + 1 < len(used) else float(middle[best]) - 1.0
 
 
-def counted(docs: DataFrame, model: Model) -> DataFrame:
-    """language, bin, toxic, n of the labelled rows of ``docs`` (text, toxic), summed by task
-    before the shuffle; at most one row per language, bin and label."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    size = 2 * LIMIT * BINS + 1
+def counted(scored: DataFrame, labels: DataFrame) -> DataFrame:
+    """language, bin, toxic, n of the rows of ``scored`` (doc_id, logit, language) that ``labels``
+    (label_id, toxic) has; at most one row per language, bin and label."""
+    rows = scored.select("doc_id", "language", _bin(F.col("logit")).alias("bin"))
+    met = rows.join(labels, F.col("doc_id") == F.col("label_id"))
+    return met.groupBy("language", "bin", "toxic").agg(F.count(F.lit(1)).alias("n"))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer, sums = Scorer(shared.value), np.zeros(len(_LANGUAGES) * size * 2, np.int64)
-        for batch in batches:
-            toxic = batch.column(1).to_numpy(zero_copy_only=False)
-            for i in range(0, batch.num_rows, 256):
-                words = [words_of(t) for t in batch.column(0)[i : i + 256].to_pylist()]
-                bins = np.clip(np.floor((scorer.logits(words) + LIMIT) * BINS), 0, size - 1).astype(np.int64)
-                np.add.at(sums, (np.array([language_of(t) for t in words]) * size + bins) * 2 + toxic[i : i + 256], 1)
-        at = np.flatnonzero(sums)
-        columns = [(at // (2 * size), pa.int32()), (at // 2 % size, pa.int32()), (at % 2, pa.int32()), (sums[at], pa.int64())]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in columns], ["language", "bin", "toxic", "n"])
 
-    rows = docs.select("text", "toxic").mapInArrow(count, "language int, bin int, toxic int, n bigint")
-    return rows.groupBy("language", "bin", "toxic").agg(F.sum("n").alias("n"))
+def _bin(logit: Column) -> Column:
+    """The number of the bin that a logit falls in."""
+    at = F.floor((logit + LIMIT) * BINS)
+    return F.greatest(F.lit(0), F.least(F.lit(2 * LIMIT * BINS), at)).cast("int")
 
 
 def _threshold(raw: np.ndarray, labels: np.ndarray) -> float | None:
@@ -293,6 +287,37 @@ def _threshold(raw: np.ndarray, labels: np.ndarray) -> float | None:
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """A model from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic), fitted on at most about
     ``sample`` labelled rows, with thresholds from all others."""
+    model, others = _fitted(docs, labels, sample)
+    logits = with_logits(docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")), model)
+    _calibrated(model, logits.drop("text"), others)
+    return model
+
+
+def score_documents(docs: DataFrame, labels: DataFrame, name: str = "score", text: bool = True, sample: int = SAMPLE) -> DataFrame:
+    """``docs`` (without its text, if so asked) with scores of a model trained on them, as ``name``.
+
+    Like ``train`` and ``with_score``, but every text is read and scored once.
+    """
+    model, others = _fitted(docs, labels, sample)
+    logit, language = (unused(docs, c) for c in ("logit", "language"))
+    rows = with_logits(docs, model, logit, language)
+    rows, _ = materialised(rows if text else rows.drop("text"), "logits")
+    ids = F.col("doc_id").cast("bigint").alias("doc_id")
+    _calibrated(model, rows.select(ids, F.col(logit).alias("logit"), F.col(language).alias("language")), others)
+    shift = F.element_at(F.array(*[F.lit(float(x)) for x in model.shift]), F.col(language) + 1)
+    limited = F.greatest(F.lit(-40.0), F.least(F.lit(40.0), F.col(logit) + shift))
+    return rows.withColumn(name, 1 / (1 + F.exp(-limited))).drop(logit, language)
+
+
+def _calibrated(model: Model, scored: DataFrame, others: DataFrame) -> None:
+    """Set the model's thresholds from scored documents and the labels it was not trained on."""
+    found = counted(scored, others).toArrow()
+    if found.num_rows:
+        calibrate(model, *(found.column(c).to_numpy() for c in ("language", "bin", "toxic", "n")))
+
+
+def _fitted(docs: DataFrame, labels: DataFrame, sample: int) -> tuple[Model, DataFrame]:
+    """A model without thresholds, and the labels (label_id, toxic) that it was not trained on."""
     given = labels.where("toxic is not null and doc_id is not null").select(
         F.col("doc_id").cast("bigint").alias("label_id"), (F.col("toxic") != 0).cast("int").alias("toxic")
     )
@@ -320,11 +345,26 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     train_on = np.flatnonzero((fold != 0) | few)
     model, _ = fit([texts[i] for i in train_on], toxic[train_on], list(number))
     # Of few rows all are trained on, and all calibrate.
-    others = given.where((dealt >= bound) | (quarter == 0) | F.lit(few)).select("label_id", "toxic")
-    found = counted(texts_of.join(others, F.col("doc_id") == F.col("label_id")), model).toArrow()
-    if found.num_rows:
-        calibrate(model, *(found.column(c).to_numpy() for c in ("language", "bin", "toxic", "n")))
-    return model
+    return model, given.where((dealt >= bound) | (quarter == 0) | F.lit(few)).select("label_id", "toxic")
+
+
+def with_logits(docs: DataFrame, model: Model, logit: str = "logit", language: str = "language") -> DataFrame:
+    """``docs`` with the logit and the language number of its text column appended."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(shared.value)
+        for batch in batches:
+            texts, logits, languages = batch.column(at), [np.empty(0)], []
+            for i in range(0, batch.num_rows, 256):
+                words = [words_of(t) for t in texts[i : i + 256].to_pylist()]
+                logits.append(scorer.logits(words))
+                languages += [language_of(t) for t in words]
+            columns = [pa.array(np.concatenate(logits), pa.float64()), pa.array(languages, pa.int32())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, logit, language])
+
+    return docs.mapInArrow(read, StructType([*docs.schema.fields]).add(logit, "double").add(language, "integer"))
 
 
 def with_score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:

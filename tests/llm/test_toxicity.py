@@ -47,6 +47,20 @@ def test_whole_texts_and_awkward_rows(docs, awkward, learnt):
         toxicity.with_score(docs, learnt)
 
 
+def test_scored_once_equals_trained_and_scored(spark, awkward):
+    """Also where columns have the names of those used inside, ids repeat, and the text goes."""
+    rows = [(i, t, 1.0, "x") for i, t, _ in corpus(600)] + [(i, t, 2.0, "y") for i, t in awkward]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, logit double, language string").repartition(3)
+    labels = spark.createDataFrame([(i, t) for i, _, t in corpus(600)] + [(None, 1)], "doc_id bigint, toxic int")
+    want = toxicity.with_score(docs, toxicity.train(docs, labels)).collect()
+    got = toxicity.score_documents(docs, labels)
+    assert got.columns == ["doc_id", "text", "logit", "language", "score"]
+    key = lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["language"], r["text"] or "")
+    for a, b in zip(sorted(got.collect(), key=key), sorted(want, key=key), strict=True):
+        assert a[:4] == b[:4] and a["score"] == pytest.approx(b["score"], abs=1e-5)
+    assert toxicity.score_documents(docs, labels, text=False).columns == ["doc_id", "logit", "language", "score"]
+
+
 def test_scores_do_not_depend_on_neighbours(learnt):
     texts = [toxicity.words_of(t) for _, t, _ in corpus(40, seed=5)] + [[], [b"grobblen1"]]
     alone = [toxicity.Scorer(learnt).scores([t])[0] for t in texts]
@@ -97,7 +111,7 @@ def test_thresholds_come_from_all_labelled_rows(spark):
     docs = spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string")
     labels = spark.createDataFrame([(i, t) for i, _, t in rows], "doc_id bigint, toxic int")
     model = toxicity.train(docs, labels, sample=400)
-    own = toxicity.counted(docs.join(labels, "doc_id"), model).where("language = 1")
+    own = toxicity.counted(toxicity.with_logits(docs, model), labels.toDF("label_id", "toxic")).where("language = 1")
     assert own.agg({"n": "sum"}).first()[0] == 200
     assert model.shift[1] != model.shift[-1] and model.shift[0] != model.shift[-1]
 
