@@ -4,6 +4,7 @@ import hashlib
 from collections import Counter
 
 import corpus_pipeline
+import numpy as np
 import pytest
 
 import __spark_entry__ as contract
@@ -70,7 +71,7 @@ def test_repeated_rows_leave_one(spark, tables):
 
 def test_registered():
     assert set(QUERIES) <= set(contract.queries()) and "pipeline" in contract.queries()
-    assert {n.split("_")[0] for n in QUERIES} == {f"op{k}" for k in range(1, 11)}
+    assert {n.split("_")[0] for n in QUERIES} == {f"op{k}" for k in range(1, 14)}
     assert set(ORACLES) <= set(QUERIES)
 
 
@@ -103,3 +104,22 @@ def test_queries_equal_brute_force(spark):
     for r in run["op10_pii"]:
         assert [r["n_email"], r["n_ip"], r["n_card"], r["n_phone"]] == [sum(k == i for _, k, _ in base[r["doc_id"]]) for i in range(4)]
     assert len(run["op9_toxicity"]) == len(run["op6_idfiles"]) == len(docs)
+
+
+def test_runs_query_equals_brute_force(spark):
+    from tests.llm.test_runs import brute_row
+
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF_DIR}/documents.parquet").collect()]
+    rows = QUERIES["op12_runs"](spark, SF_DIR).collect()
+    assert Counter(tuple(r) for r in rows) == Counter(brute_row(*d) for d in docs) and any(r["n_runs"] for r in rows)
+
+
+def test_neighbours_query_finds_the_nearest(spark):
+    rows = spark.read.parquet(f"{SF_DIR}/embeddings.parquet").collect()
+    x = {r["vec_id"]: np.array(r["embedding"], np.float64) for r in rows}
+    got = {}
+    for r in QUERIES["op13_neighbours"](spark, SF_DIR).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    assert sorted(got) == sorted(i for i in x if i % 100 == 0)
+    best = {q: sorted((np.sqrt(((x[q] - v) ** 2).sum()), i) for i, v in x.items() if i != q)[:10] for q in got}
+    assert sum(len(got[q] & {i for _, i in best[q]}) for q in got) >= 0.9 * sum(map(len, best.values()))
