@@ -17,7 +17,8 @@ precision, and nodes become the rows they stand for.
 Vectors that are null, zero, or hold null or non-finite components take no part, nor do rows
 without a vec_id or whose vector has another length than most (of equally frequent lengths the
 greatest counts). Repeated rows count once; one vec_id with several vectors is several rows.
-Columns other than vec_id and embedding are ignored. An empty table gives no rows.
+Columns other than vec_id and embedding are ignored. An empty table gives no rows. The graph takes
+greatest components from about 1e-36 to 1e38, as float32 holds them; scores take any.
 """
 
 from __future__ import annotations
