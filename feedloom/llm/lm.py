@@ -42,6 +42,8 @@ ALONE, SHARED, OTHER_CLASSES = 96, 24, 8
 PLAIN = 4096
 REACH, SIZE = 2, 16
 RATE, CHUNK, WARM = 0.08, 8192, 8
+#: Words whose class odds are held at a time.
+ROWS = 1024
 #: Numbers of a block of weights that travels as one row; least words of the corpus for every word
 #: of the vocabulary and trainer, where there are more trainers than cores.
 BLOCK, SHARE = 1 << 14, 256
@@ -109,13 +111,11 @@ class Tree:
         start = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(mass)))])
         return cls(start, nodes[order].astype(np.int32), sides[order], np.array(odds))
 
-    def down(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Places in ``ids``, nodes and sides of all the ids' branches."""
-        first = self.start[ids]
-        sizes = self.start[ids + 1] - first
-        rows = np.repeat(np.arange(len(ids)), sizes)
-        at = np.repeat(first - np.cumsum(sizes) + sizes, sizes) + np.arange(len(rows))
-        return rows, self.nodes[at], self.sides[at]
+    def deepest_first(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """An order of the ids by their depths, and how many of them reach each level."""
+        depth = (self.start[ids + 1] - self.start[ids]).astype(np.uint16)
+        order = np.argsort(depth, kind="stable")[::-1]
+        return order, len(ids) - np.cumsum(np.bincount(depth))[:-1]
 
 
 @dataclass
@@ -232,22 +232,31 @@ class Network:
         nodes = np.zeros((len(odds), SIZE), np.float32)
         return cls([*sides, np.zeros(SIZE, np.float32), draw(SIZE, len(prior)), prior.astype(np.float32), nodes, odds])
 
-    def forward(self, ids: np.ndarray, at: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-        """Context ids, hidden values and log-probabilities of classes at the places."""
+    def context(self, ids: np.ndarray, at: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+        """Context ids and hidden values at the places."""
         around = [ids[at + j] for j in _PLACES]
-        total = self.sides[0][around[0]]
+        total = self.hidden + self.sides[0].take(around[0], 0, mode="clip")
         for table, near in zip(self.sides[1:], around[1:]):
-            total += table[near]
-        hidden = np.tanh(total + self.hidden)
-        logits = hidden @ self.out + self.bias
-        logits -= logits.max(1, keepdims=True)
-        logits -= np.log(np.exp(logits).sum(1, keepdims=True))
-        return around, hidden, logits
-
-    def branches(self, tree: Tree, ids: np.ndarray, hidden: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Places in ``ids``, nodes, sides and logits of the sides taken, from the classes down."""
-        rows, nodes, sides = tree.down(ids)
-        return rows, nodes, sides, sides * (np.einsum("mk,mk->m", self.nodes[nodes], hidden[rows]) + self.odds[nodes])
+            total += table.take(near, 0, mode="clip")
+        return around, np.tanh(total, out=total)
+
+    def classes(self, hidden: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each row, the classes' odds against the likeliest, the logit of that one, and the
+        sum of the odds."""
+        odds = hidden @ self.out
+        odds += self.bias
+        top = odds.max(1, keepdims=True)
+        odds -= top
+        np.exp(odds, out=odds)
+        return odds, top[:, 0], odds @ np.ones(odds.shape[1], np.float32)
+
+    def branches(self, tree: Tree, first: np.ndarray, level: int, hidden: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Nodes of a level on the ways that start at ``first`` in the tree, their weights, the
+        sides taken and the logits of these."""
+        at = first + level
+        nodes, sides = tree.nodes.take(at), tree.sides.take(at)
+        weights = self.nodes.take(nodes, 0, mode="clip")
+        return nodes, weights, sides, sides * (np.einsum("mk,mk->m", weights, hidden) + self.odds.take(nodes))
 
     def flat(self) -> np.ndarray:
         return np.concatenate([a.ravel() for a in self.arrays])
@@ -276,43 +285,68 @@ class _Trainer:
         self.sums = [np.full(a.shape, 1e-3, np.float32) for a in network.arrays[:-2]]
         # Gradients of nodes are sums, not means.
         self.sums += [np.full(a.shape, 1.0, np.float32) for a in network.arrays[-2:]]
-        self.number = np.zeros(max(len(group), len(tree.odds)), np.int64)
+        most = max(len(group), len(tree.odds))
+        self.met, self.number = np.zeros(most, bool), np.zeros(most, np.int64)
 
     def step(self, ids: np.ndarray, at: np.ndarray) -> None:
-        net, n, own = self.network, len(at), ids[at]
-        around, hidden, error = net.forward(ids, at)
-        np.exp(error, out=error)
-        error[np.arange(n), self.group[own]] -= 1
-        back = error @ net.out.T
-        rows, nodes, sides, taken = net.branches(self.tree, own, hidden)
-        if len(rows):
-            wrong = -sides / (1 + np.exp(np.minimum(taken, 60)))
-            down = net.nodes[nodes] * wrong[:, None]
-            back += np.stack([np.bincount(rows, down[:, k], n) for k in range(SIZE)], 1).astype(np.float32)
-            touched, [*grads, bias] = self._met(nodes, np.column_stack([hidden[rows] * wrong[:, None], wrong]))
-            self._move(-2, touched, np.stack(grads, 1))
-            self._move(-1, touched, bias)
-        error /= n
-        back *= (1 - hidden * hidden) / n
+        net, n = self.network, len(at)
+        order, reach = self.tree.deepest_first(ids[at])
+        at = at[order]
+        own = ids[at]
+        around, hidden = net.context(ids, at)
+        back, out, bias = np.empty_like(hidden), np.zeros_like(net.out), np.zeros_like(net.bias)
+        group = self.group[own]
+        for i in range(0, n, ROWS):
+            part = hidden[i : i + ROWS]
+            error, _, total = net.classes(part)
+            error /= total[:, None]
+            error[np.arange(len(part)), group[i : i + ROWS]] -= 1
+            np.matmul(error, net.out.T, out=back[i : i + ROWS])
+            out += part.T @ error
+            bias += error.sum(0)
+        if len(reach):
+            # By columns, as counts with weights want them.
+            first, columns = self.tree.start[own[: reach[0]]], hidden[: reach[0]].T.astype(np.float64)
+            met, grads = [], np.empty((SIZE + 1, reach.sum()))
+            done = 0
+            for level, m in enumerate(reach.tolist()):
+                nodes, weights, sides, taken = net.branches(self.tree, first[:m], level, hidden[:m])
+                wrong = -sides / (1 + np.exp(np.minimum(taken, 60)))
+                weights *= wrong[:, None]
+                back[:m] += weights
+                np.multiply(columns[:, :m], wrong, out=grads[:SIZE, done : done + m])
+                grads[SIZE, done : done + m] = wrong
+                met.append(nodes)
+                done += m
+            touched, sums = self._met(np.concatenate(met), grads)
+            self._move(-2, touched, np.ascontiguousarray(sums[:, :SIZE]))
+            self._move(-1, touched, np.ascontiguousarray(sums[:, SIZE]))
+        back *= (1 - hidden * hidden) / np.float32(n)
+        columns = back.T.astype(np.float64, order="C")
         for k, near in enumerate(around):
-            touched, grads = self._met(near, back)
-            self._move(k, touched, np.stack(grads, 1))
-        for k, g in enumerate([back.sum(0), hidden.T @ error, error.sum(0)], len(around)):
+            self._move(k, *self._met(near, columns))
+        for k, g in enumerate([back.sum(0), out / np.float32(n), bias / np.float32(n)], len(around)):
             self._move(k, slice(None), g)
 
-    def _met(self, rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-        """The distinct rows, and the sums of their values by column."""
-        self.number[rows] = 1
-        touched = np.flatnonzero(self.number)
+    def _met(self, rows: np.ndarray, columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct rows, and the sums of their values (given by columns)."""
+        self.met[rows] = True
+        touched = np.flatnonzero(self.met)
+        self.met[touched] = False
         self.number[touched] = np.arange(len(touched))
         place = self.number[rows]
-        self.number[touched] = 0
-        return touched, [np.bincount(place, v, len(touched)).astype(np.float32) for v in values.T]
+        sums = np.empty((len(touched), len(columns)), np.float32)
+        for k, v in enumerate(columns):
+            sums[:, k] = np.bincount(place, v, len(touched))
+        return touched, sums
 
     def _move(self, k: int, rows, g: np.ndarray) -> None:
         s = self.sums[k][rows] + g * g
         self.sums[k][rows] = s
-        self.network.arrays[k][rows] -= RATE * g / np.sqrt(s)
+        np.sqrt(s, out=s)
+        np.divide(g, s, out=s)
+        s *= RATE
+        self.network.arrays[k][rows] -= s
 
 
 def _trained(corpus: DataFrame, words: Vocabulary, network: Network, warm: bool) -> DataFrame:
@@ -378,12 +412,24 @@ def trained(corpus: DataFrame, words: Vocabulary) -> Network:
 
 def log_probabilities(network: Network, words: Vocabulary, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Of the words at the places (of the buckets of words without ids), given those around them."""
-    out = np.empty(len(at))
+    out, group, tree = np.empty(len(at)), words.group, words.tree
     for i in range(0, len(at), CHUNK):
-        own = at[i : i + CHUNK]
-        _, hidden, logs = network.forward(ids, own)
-        rows, _, _, taken = network.branches(words.tree, ids[own], hidden)
-        out[i : i + CHUNK] = logs[np.arange(len(own)), words.group[ids[own]]] - np.bincount(rows, np.logaddexp(0, -taken), len(own))
+        order, reach = tree.deepest_first(ids[at[i : i + CHUNK]])
+        places = at[i : i + CHUNK][order]
+        own = ids[places]
+        _, hidden = network.context(ids, places)
+        logs = np.empty(len(own))
+        for j in range(0, len(own), ROWS):
+            part, classes = hidden[j : j + ROWS], group[own[j : j + ROWS]]
+            _, top, total = network.classes(part)
+            mine = np.einsum("mk,mk->m", part, network.out.T[classes]) + network.bias[classes]
+            logs[j : j + ROWS] = mine - top - np.log(total)
+        first = tree.start[own]
+        for level, m in enumerate(reach.tolist()):
+            taken = network.branches(tree, first[:m], level, hidden[:m])[3]
+            # log(1 + exp(-taken)), which does not overflow.
+            logs[:m] -= np.maximum(-taken, 0) + np.log1p(np.exp(-np.abs(taken)))
+        out[i + order] = logs
     return out
 
 

@@ -118,8 +118,41 @@ def test_start_is_the_shares_without_context(docs, monkeypatch):
     words = lm.vocabulary(docs)
     network = lm.Network.start(words.prior, len(words.group), words.tree.odds)
     own = np.arange(1, len(words.group))
-    rows, _, _, taken = network.branches(words.tree, own, np.ones((len(own), lm.SIZE), np.float32))
-    assert np.allclose(-np.bincount(rows, np.logaddexp(0, -taken), len(own)), words.within[1:], atol=1e-4)
+    order, reach = words.tree.deepest_first(own)
+    below = np.zeros(len(own))
+    for level, m in enumerate(reach.tolist()):
+        taken = network.branches(words.tree, words.tree.start[own[order[:m]]], level, np.ones((m, lm.SIZE), np.float32))[3]
+        below[order[:m]] -= np.logaddexp(0, -taken)
+    assert len(reach) and np.allclose(below, words.within[1:], atol=1e-4)
+
+
+def test_a_step_equals_the_gradient_of_the_scores(docs, monkeypatch):
+    """Against finite differences of the summed log-probabilities, for every kind of weight."""
+    small_vocabulary(monkeypatch, 200)
+    monkeypatch.setattr(lm, "ROWS", 7)
+    words = lm.vocabulary(docs)
+    rng = np.random.default_rng(3)
+    start = lm.Network.start(words.prior, len(words.group), words.tree.odds)
+    start = lm.Network([a + rng.normal(0, 0.3, a.shape).astype(np.float32) for a in start.arrays])
+    ids, at, _ = lm.laid_out([rng.integers(1, len(words.group), 40).astype(words.kind).tobytes() for _ in range(3)], words.kind)
+    trainer = lm._Trainer(lm.Network([a.copy() for a in start.arrays]), words.group, words.tree)
+    moves = []
+    monkeypatch.setattr(trainer, "_move", lambda k, rows, g: moves.append((k % len(start.arrays), rows, g)))
+    trainer.step(ids, at)
+    for k, rows, g in moves:
+        whole = np.zeros(start.arrays[k].shape)
+        whole[rows] = g
+        # Gradients of trees' nodes are sums, the others means.
+        scale = 1 if k >= len(start.arrays) - 2 else len(at)
+        way = rng.normal(0, 1, whole.shape)
+        if k < len(lm._PLACES):
+            way *= (np.arange(len(way)) != lm.PAD)[:, None]
+        near = []
+        for step in (-1e-2, 1e-2):
+            arrays = [a.astype(np.float64) for a in start.arrays]
+            arrays[k] = arrays[k] + step * way
+            near.append(lm.log_probabilities(lm.Network(arrays), words, ids, at).sum())
+        assert abs((near[0] - near[1]) / 2e-2 - scale * (whole * way).sum()) <= 0.02 * (1 + abs(scale * (whole * way).sum())), k
 
 
 def topical(n, seed, swap=False):
