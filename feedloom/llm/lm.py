@@ -24,9 +24,11 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
@@ -42,8 +44,8 @@ ALONE, SHARED, OTHER_CLASSES = 96, 24, 8
 PLAIN = 4096
 REACH, SIZE = 2, 16
 RATE, CHUNK, WARM = 0.08, 8192, 8
-#: Words whose class odds are held at a time.
-ROWS = 1024
+#: Words whose class odds are held at a time, and bytes of text that are cut at a time.
+ROWS, PORTION = 1024, 1 << 23
 #: Numbers of a block of weights that travels as one row; least words of the corpus for every word
 #: of the vocabulary and trainer, where there are more trainers than cores.
 BLOCK, SHARE = 1 << 14, 256
@@ -58,15 +60,39 @@ def words_of(text: str | None) -> list[bytes]:
     return text.lower().encode("utf-8", "surrogatepass").translate(_LETTERS).split() if text else []
 
 
+def words_on_line(texts: list[str | None]) -> Iterator[tuple[pa.Array, np.ndarray]]:
+    """The words of all texts in order, and where each text's begin (and the last one's end), in
+    portions of texts."""
+    held, size = [], 0
+    for text in texts:
+        held.append(text.lower().encode("utf-8", "surrogatepass") if text else b"")
+        size += len(held[-1])
+        if size >= PORTION:
+            yield _cut(held)
+            held, size = [], 0
+    if held:
+        yield _cut(held)
+
+
+def _cut(texts: list[bytes]) -> tuple[pa.Array, np.ndarray]:
+    line = np.frombuffer(b" ".join([b"", *texts, b""]).translate(_LETTERS), np.uint8)
+    inside = line != 0x20
+    edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    begin, end = edges[::2], edges[1::2]
+    offsets = np.concatenate([[0], np.cumsum(end - begin)]).astype(np.int32)
+    words = pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(offsets), pa.py_buffer(line[inside])])
+    places = np.cumsum([1] + [len(t) + 1 for t in texts])
+    return words, np.searchsorted(begin, places)
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """word, n over all documents, counted per batch before the shuffle."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen: Counter = Counter()
-            for text in batch.column(0).to_pylist():
-                seen.update(words_of(text))
-            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
+            lines = [words for words, _ in words_on_line(batch.column(0).to_pylist())]
+            seen = pa.chunked_array(lines, pa.binary()).value_counts()
+            yield pa.RecordBatch.from_arrays([seen.field("values"), seen.field("counts")], ["word", "n"])
 
     counted = docs.select(F.col("text").cast("string")).mapInArrow(count, "word binary, n bigint")
     return counted.groupBy("word").agg(F.sum("n").alias("n"))
@@ -137,17 +163,23 @@ class Vocabulary:
     def kind(self) -> str:
         return "<u2" if len(self.group) <= 1 << 16 else "<u4"
 
+    @cached_property
+    def listed(self) -> pa.Array:
+        return pa.array(list(self.ids), pa.binary())
+
     def encode(self, words: list[bytes]) -> np.ndarray:
-        get = self.ids.get
-        found = [get(w, -1) for w in words]
-        if -1 in found:
-            others = len(self.bucket)
-            found = [1 + zlib.crc32(w) % others if i < 0 else i for w, i in zip(words, found)]
-        return np.array(found, self.kind)
+        return self.looked_up(pa.array(words, pa.binary()))[0]
 
-    def others(self, words: list[bytes]) -> list[bytes]:
-        """Those that have no id of their own."""
-        return [w for w in words if w not in self.ids]
+    def looked_up(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The words' ids, and which of them have none of their own but their bucket's."""
+        words = words.dictionary_encode()
+        found = pc.index_in(words.dictionary, value_set=self.listed)
+        absent = found.is_null().to_numpy(zero_copy_only=False)
+        buckets = len(self.bucket)
+        ids = pc.fill_null(found, 0).to_numpy() + np.int64(1 + buckets)
+        ids[absent] = [1 + zlib.crc32(w) % buckets for w in words.dictionary.filter(pa.array(absent)).to_pylist()]
+        at = words.indices.to_numpy()
+        return ids.astype(self.kind)[at], absent[at]
 
 
 def vocabulary(docs: DataFrame) -> Vocabulary:
@@ -202,12 +234,18 @@ def encoded(docs: DataFrame, words: Vocabulary) -> DataFrame:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, row = shared.value, TaskContext.get().partitionId() << 33
         for batch in batches:
-            texts = [words_of(t) for t in batch.column(1).to_pylist()]
-            ids = [known.encode(t).tobytes() for t in texts]
-            others = [known.others(t) if known.rest else [] for t in texts]
-            columns = [batch.column(0), pa.array(ids, pa.binary()), pa.array(others, pa.list_(pa.binary())), pa.array(range(row, row + len(ids)), pa.int64())]
-            row += len(ids)
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "others", "row"])
+            done = 0
+            for words, cuts in words_on_line(batch.column(1).to_pylist()):
+                n = len(cuts) - 1
+                ids, absent = known.looked_up(words)
+                if not known.rest:
+                    absent[:] = False
+                before = np.concatenate([[0], np.cumsum(absent)])[cuts].astype(np.int32)
+                others = pa.ListArray.from_arrays(pa.array(before), words.filter(pa.array(absent)))
+                own = pa.array([ids[a:b].tobytes() for a, b in zip(cuts.tolist(), cuts[1:].tolist())], pa.binary())
+                columns = [batch.column(0).slice(done, n), own, others, pa.array(range(row, row + n), pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "others", "row"])
+                done, row = done + n, row + n
 
     return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(
         encode, "doc_id bigint, ids binary, others array<binary>, row bigint"
@@ -241,12 +279,14 @@ class Network:
         return around, np.tanh(total, out=total)
 
     def classes(self, hidden: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of each row, the classes' odds against the likeliest, the logit of that one, and the
-        sum of the odds."""
+        """Of each row, the classes' odds, the logit from which they count, and their sum."""
         odds = hidden @ self.out
         odds += self.bias
-        top = odds.max(1, keepdims=True)
-        odds -= top
+        top = np.zeros((len(odds), 1), odds.dtype)
+        # Hidden values are at most one: mostly no logit can be too large for its power of e.
+        if (np.abs(self.out).sum(0) + np.abs(self.bias)).max(initial=0) > 64:
+            top = odds.max(1, keepdims=True)
+            odds -= top
         np.exp(odds, out=odds)
         return odds, top[:, 0], odds @ np.ones(odds.shape[1], np.float32)
 

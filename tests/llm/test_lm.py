@@ -126,6 +126,25 @@ def test_start_is_the_shares_without_context(docs, monkeypatch):
     assert len(reach) and np.allclose(below, words.within[1:], atol=1e-4)
 
 
+def test_words_on_a_line_are_those_of_each_text(awkward, monkeypatch):
+    texts = [t for _, t in awkward]
+    for portion in (1 << 23, 1):
+        monkeypatch.setattr(lm, "PORTION", portion)
+        got = [words.to_pylist()[a:b] for words, cuts in lm.words_on_line(texts) for a, b in zip(cuts, cuts[1:])]
+        assert got == [lm.words_of(t) for t in texts]
+    assert list(lm.words_on_line([])) == []
+
+
+def test_class_odds_of_large_weights():
+    rng = np.random.default_rng(2)
+    network, hidden = lm.Network.start(np.zeros(9)), np.tanh(rng.normal(0, 2, (50, lm.SIZE))).astype(np.float32)
+    for scale in (1, 40):
+        network.out = rng.normal(0, scale, network.out.shape).astype(np.float32)
+        odds, top, total = network.classes(hidden)
+        logits = hidden @ network.out
+        assert np.isfinite(odds).all() and np.allclose(top + np.log(total), np.logaddexp.reduce(logits.astype(float), 1), atol=1e-3)
+
+
 def test_a_step_equals_the_gradient_of_the_scores(docs, monkeypatch):
     """Against finite differences of the summed log-probabilities, for every kind of weight."""
     small_vocabulary(monkeypatch, 200)
