@@ -5,7 +5,8 @@ first and two bits of the second. Every distinct fingerprint therefore spans the
 one and the ball of radius two, and fingerprints meet where the balls do. The variants are
 dealt by their leading bits: a fingerprint travels once to each prefix its variants can have,
 with the bits already flipped, and the variants of the other bits are spelled out where it
-arrives. Prefixes that many fingerprints share are dealt again by more bits. At every variant
+arrives. Prefixes that many fingerprints share, or that many reach with bits flipped, are dealt
+again by more bits, so that no task's share grows with a group of near copies. At every variant
 the fingerprints are linked to one centre (not pairwise), the distance is verified, and each
 prefix returns a spanning forest of its links, which connected components join.
 
@@ -29,7 +30,8 @@ from pyspark.sql import functions as F
 from feedloom.llm.components import connected_components
 from feedloom.llm.storage import materialised
 
-#: Fingerprints that should share a prefix, and the most before it is dealt again.
+#: Fingerprints that should share a prefix, and the most before it is dealt again. Flipped ones may
+#: be as many times more as there are ways to flip the prefix.
 OWN, MOST_OWN = 1024, 8192
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 
@@ -96,10 +98,15 @@ def links(distinct: DataFrame, radius: int = 3) -> DataFrame:
     settled = None
     while True:
         rows = rows.withColumn("part", prefix)
-        hot = rows.where("flipped = 0").groupBy("part").count().where(F.col("count") > MOST_OWN)
-        if depth > 56 or hot.isEmpty():
+        if depth > 56:  # 2^(64 - depth) tails with up to ``outer`` flips: bounded
             break
+        # A cold prefix beside a hot one receives the hot one's fingerprints with bits flipped.
+        ways = sum(math.comb(depth, k) for k in range(outer + 1))
+        shares = rows.groupBy("part").agg(F.count_if(F.col("flipped") == 0).alias("own"), F.count(F.lit(1)).alias("every"))
+        hot = shares.where((F.col("own") > MOST_OWN) | (F.col("every") > MOST_OWN * ways))
         hot, _ = materialised(hot.select("part"), "hot-prefixes")
+        if hot.isEmpty():
+            break
         cold = rows.join(hot, "part", "left_anti")
         settled = cold if settled is None else settled.unionByName(cold)
         rows = _dealt(rows.join(hot, "part", "left_semi").drop("part"), depth, 4, outer)

@@ -69,6 +69,32 @@ def test_links_of_clustered_fingerprints(spark, monkeypatch, own, most, radius):
     assert len(set(zip(groups, want))) == len(set(groups)) == len(set(want))
 
 
+def test_cold_prefixes_beside_a_hot_one(spark, monkeypatch):
+    """Prefixes that own one fingerprint, or none, but are reached by very many with bits flipped."""
+    monkeypatch.setattr(simhash, "MOST_OWN", 8)
+    above = spark.sparkContext.accumulator(0)
+    rng = random.Random(11)
+    base = rng.getrandbits(64)
+    marks = {base ^ sum(1 << b for b in rng.sample(range(40), k)) for k in (1, 3, 5, 7) for _ in range(150)}
+    marks |= {base ^ (1 << 62), base ^ (1 << 61) ^ (1 << 3), base ^ (3 << 61) ^ (1 << 50)}
+    marks = sorted(marks)
+    signed = [m - (1 << 64) if m >> 63 else m for m in marks]
+    meet = simhash._meet
+
+    def measured(group, *rest):
+        depth = int(group["depth"].iloc[0])
+        above.add(int(depth <= 56 and len(group) > 8 * (1 + depth + depth * (depth - 1) // 2)))
+        return meet(group, *rest)
+
+    monkeypatch.setattr(simhash, "_meet", measured)
+    edges = simhash.links(spark.createDataFrame([(m,) for m in signed], "bits bigint")).collect()
+    found = {r["node"]: r["root"] for r in components.connected_components(spark.createDataFrame(edges, "src bigint, dst bigint")).collect()}
+    groups = [found.get(m, m) for m in signed]
+    want = roots(marks)
+    assert len(set(zip(groups, want))) == len(set(groups)) == len(set(want))
+    assert above.value == 0
+
+
 def test_empty_table(no_docs):
     assert simhash.near_duplicates(no_docs).count() == 0
 
