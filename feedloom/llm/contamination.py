@@ -144,28 +144,21 @@ def unpack(blob: bytes) -> np.ndarray:
     return np.cumsum(np.frombuffer(blob, f"<u{chr(blob[0])}", offset=1), dtype=np.int64)
 
 
-def phrases_of(item_id, text: str | None, length: int) -> list[tuple[str | None, tuple[bytes, ...]]]:
-    """Every ``length`` consecutive words of an item; a shorter one is one phrase."""
-    words = words_of(text)
-    name = None if item_id is None else str(item_id)
-    last = max(1, len(words) - length + 1) if words else 0
-    return [(name, tuple(words[i : i + length])) for i in range(last)]
-
-
-def search(index: DataFrame, phrases: list[tuple[str | None, tuple[bytes, ...]]], near: int | None = None) -> DataFrame:
+def search(index: DataFrame, texts: list[tuple[str | None, str | None]], length: int, near: int | None = None) -> DataFrame:
     """Per indexed document: merged word spans of exact phrase matches and the phrases' names.
 
-    ``near_items``: names of phrases whose terms all occur within ``near`` (at most GAP) words,
-    in any order. ``phrases`` is a block whose size the caller bounds.
+    A phrase is ``length`` consecutive words of a text, or all words of a shorter one; its name is
+    the text's. ``near_items``: names of phrases whose terms all occur within ``near`` (at most
+    GAP) words, in any order. ``texts`` is a block whose size the caller bounds; phrases are cut
+    from it where they are looked up.
     """
     spark = index.sparkSession
-    names: dict[tuple[bytes, ...], set[str]] = {}
-    for name, phrase in phrases:
-        names.setdefault(phrase, set()).update([] if name is None else [name])
     if near is not None and near > GAP:
         raise ValueError(f"near is at most {GAP}")
-    wanted = sorted({t for phrase in names for t in phrase})
-    asked = spark.createDataFrame([(t,) for t in wanted], "term binary")
+    named: dict[str, set[str]] = {}
+    for name, text in texts:
+        named.setdefault(text or "", set()).update([] if name is None else [name])
+    asked = spark.createDataFrame([(t,) for t in sorted({t for text in named for t in words_of(text)})], "term binary")
     frequency = {
         bytes(r["term"]): r["n"]
         for r in index.select(F.explode(F.arrays_zip("terms", "n_docs")).alias("e"))
@@ -174,28 +167,48 @@ def search(index: DataFrame, phrases: list[tuple[str | None, tuple[bytes, ...]]]
         .join(asked, "term", "left_semi")
         .toLocalIterator()
     }
-    plans = []
-    for phrase, items in names.items():
-        if all(t in frequency for t in phrase):
-            order = sorted(range(len(phrase)), key=lambda i: (frequency[phrase[i]], i))
-            plans.append(([(phrase[i], i) for i in order], len(phrase), sorted(items)))
-    shared = spark.sparkContext.broadcast(plans)
+    shared = spark.sparkContext.broadcast((frequency, [(text, sorted(names)) for text, names in named.items()]))
 
     def matches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tests = None
         for batch in batches:
+            tests = tests or _Tests(*shared.value, length)
             for row in range(batch.num_rows):
-                yield _in_segment({k: batch.column(k)[row].as_py() for k in batch.schema.names}, shared.value, near)
+                yield _in_segment({k: batch.column(k)[row].as_py() for k in batch.schema.names}, tests, near)
 
     return index.mapInArrow(matches, FOUND)
 
 
-def _in_segment(row: dict, plans: list, near: int | None) -> pa.RecordBatch:
+class _Tests:
+    """Test texts as numbers of the terms that the corpus holds (-1: held nowhere)."""
+
+    def __init__(self, frequency: dict[bytes, int], texts: list[tuple[str, list[str]]], length: int):
+        self.terms = list(frequency)
+        self.frequency = np.array([*frequency.values(), 0], np.int64)
+        self.length = length
+        number = {t: i for i, t in enumerate(self.terms)}
+        cut = ((np.array([number.get(w, -1) for w in words_of(text)], np.int32), names) for text, names in texts)
+        self.texts = [(own, names) for own, names in cut if len(own)]
+
+    def phrases(self, held: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, list[str]]]:
+        """Terms, offsets and names of each phrase all of whose terms are ``held``, rarest term first."""
+        for own, names in self.texts:
+            n = min(self.length, len(own))
+            have = np.concatenate([[0], np.cumsum(held[own])])
+            for i in np.flatnonzero(have[n:] - have[:-n] == n).tolist():
+                phrase = own[i : i + n]
+                order = np.argsort(self.frequency[phrase], kind="stable")
+                yield phrase[order], order, names
+
+
+def _in_segment(row: dict, tests: _Tests, near: int | None) -> pa.RecordBatch:
     where = {t: i for i, t in enumerate(row["terms"])}
-    read: dict[bytes, np.ndarray] = {}
+    at_row = np.array([*(where.get(t, -1) for t in tests.terms), -1], np.int64)
+    read: dict[int, np.ndarray] = {}
 
-    def places(term: bytes) -> np.ndarray:
+    def places(term: int) -> np.ndarray:
         if term not in read:
-            read[term] = unpack(row["positions"][where[term]])
+            read[term] = unpack(row["positions"][at_row[term]])
         return read[term]
 
     sizes = np.array(row["n_words"], np.int64)
@@ -203,23 +216,23 @@ def _in_segment(row: dict, plans: list, near: int | None) -> pa.RecordBatch:
     cover = np.zeros(int((sizes + GAP).sum()) + 1, np.int32)
     items: list[set[str]] = [set() for _ in bases]
     close: list[set[str]] = [set() for _ in bases]
-    for ordered, length, names in plans:
-        if any(t not in where for t, _ in ordered):
-            continue
-        starts = places(ordered[0][0]) - ordered[0][1]
-        for term, offset in ordered[1:]:
+    for terms, offsets, names in tests.phrases(at_row >= 0):
+        lists = [places(t) for t in terms.tolist()]
+        starts = lists[0] - offsets[0]
+        for other, offset in zip(lists[1:], offsets[1:].tolist()):
             if not len(starts):
                 break
-            other, wanted = places(term), starts + offset
+            wanted = starts + offset
             at = np.searchsorted(other, wanted)
             at[at == len(other)] = 0
             starts = starts[other[at] == wanted]
-        np.add.at(cover, starts, 1)
-        np.add.at(cover, starts + length, -1)
-        for d in set((np.searchsorted(bases, starts, "right") - 1).tolist()):
-            items[d].update(names)
+        if len(starts):
+            np.add.at(cover, starts, 1)
+            np.add.at(cover, starts + len(terms), -1)
+            for d in set((np.searchsorted(bases, starts, "right") - 1).tolist()):
+                items[d].update(names)
         if near is not None:
-            for d in _close_documents([places(t) for t in dict.fromkeys(t for t, _ in ordered)], near, bases):
+            for d in _close_documents([read[t] for t in dict.fromkeys(terms.tolist())], near, bases):
                 close[d].update(names)
     covered = np.concatenate([[0], (np.cumsum(cover) > 0).astype(np.int8)])
     edges = np.diff(covered)
@@ -236,10 +249,18 @@ def _in_segment(row: dict, plans: list, near: int | None) -> pa.RecordBatch:
 def _close_documents(lists: list[np.ndarray], near: int, bases: np.ndarray) -> set[int]:
     """Documents with an interval of ``near`` words that holds a place of every list.
 
-    Such an interval can start at one of the places; for each start the next place of every
-    list must lie within it.
+    ``lists`` come rarest first. The interval holds a place of the rarest list that has one of
+    every other list less than ``near`` words away, and it can start at one of the places.
     """
-    starts = np.unique(np.concatenate([lists[0], *([] if len(lists) == 1 else _around(lists, near))]))
+    anchors = lists[0]
+    for other in lists[1:]:
+        at = np.searchsorted(other, anchors - near, "right")
+        inside = at < len(other)
+        anchors, at = anchors[inside], at[inside]
+        anchors = anchors[other[at] - anchors < near]
+        if not len(anchors):
+            return set()
+    starts = np.unique(np.concatenate([_before(own, anchors, near) for own in lists]))
     for other in lists:
         at = np.searchsorted(other, starts)
         inside = at < len(other)
@@ -248,16 +269,11 @@ def _close_documents(lists: list[np.ndarray], near: int, bases: np.ndarray) -> s
     return set((np.searchsorted(bases, starts, "right") - 1).tolist())
 
 
-def _around(lists: list[np.ndarray], near: int) -> list[np.ndarray]:
-    """Places of the other lists up to ``near`` words before a place of the rarest one."""
-    rare = lists[0]
-    out = []
-    for other in lists[1:]:
-        at = np.searchsorted(rare, other)
-        inside = at < len(rare)
-        kept = other[inside]
-        out.append(kept[rare[at[inside]] - kept < near])
-    return out
+def _before(own: np.ndarray, anchors: np.ndarray, near: int) -> np.ndarray:
+    """Places of a list at an anchor or less than ``near`` words before it."""
+    low = np.searchsorted(own, anchors - near, "right")
+    sizes = np.searchsorted(own, anchors, "right") - low
+    return own[np.repeat(low - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())]
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, length: int = 10, near: int | None = None) -> DataFrame:
@@ -274,16 +290,16 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, length: int = 10, near:
 
     def block(k: int) -> list:
         rows = tests.where(F.col("block") == k).select("item_id", "text").toLocalIterator()
-        return [p for r in rows for p in phrases_of(r["item_id"], r["text"], length)]
+        return [(r["item_id"], r["text"]) for r in rows]
 
-    phrases = block(0)
-    vocabulary = {t for _, p in phrases for t in p} if blocks == 1 else None
+    texts = block(0)
+    vocabulary = {t for _, text in texts for t in words_of(text)} if blocks == 1 else None
     if vocabulary is not None and len(vocabulary) > MOST_TERMS:
         vocabulary = None
     index, _ = materialised(build_index(docs, vocabulary), "postings")
-    found = search(index, phrases, near)
+    found = search(index, texts, length, near)
     for k in range(1, blocks):
-        found = found.unionByName(search(index, block(k), near))
+        found = found.unionByName(search(index, block(k), length, near))
     if blocks > 1:
         found = found.groupBy("segment", "ordinal").agg(
             F.first("doc_id").alias("doc_id"),

@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 from feedloom.llm import contamination, exact, idfiles, lm, neighbours, packing, pii, resampling, runs, simhash, substrings, toxicity, warc
 from feedloom.llm.shipping import ship
 
+#: Words among which the words of a proximity match lie.
+NEAR_WORDS = 20
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
@@ -28,8 +31,12 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with the words and items that 10-word benchmark windows hit."""
-    found = contamination.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    """Documents with the words and items that 10-word benchmark windows hit.
+
+    n_near: items with a window whose words all lie within NEAR_WORDS words, in any order.
+    """
+    docs, benchmark = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
+    found = contamination.decontaminate(docs, benchmark, near=NEAR_WORDS)
     return found.select(
         "doc_id",
         "n_words",
@@ -37,6 +44,8 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("items").cast("bigint").alias("n_items"),
         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
+        F.size("near_items").cast("bigint").alias("n_near"),
+        F.sha2(F.array_join("near_items", ",").cast("binary"), 256).alias("near_sha256"),
     )
 
 

@@ -1,3 +1,4 @@
+import random
 import re
 from collections import Counter
 
@@ -71,6 +72,41 @@ def test_spans_and_proximity(spark):
     assert {i: r["near_items"] for i, r in got.items()} == {1: ["7"], 2: ["7"], 3: [], 4: []}
 
 
+def brute_near(docs, items, length, near):
+    out = []
+    for doc_id, text in docs:
+        own, found = words(text), set()
+        for item, phrases in items:
+            asked = words(phrases)
+            for i in range(max(1, len(asked) - length + 1) if asked else 0):
+                window = set(asked[i : i + length])
+                if any(window <= set(own[j : j + near]) for j in range(len(own))):
+                    found.add(str(item))
+        out.append((doc_id, tuple(sorted(found))))
+    return Counter(out)
+
+
+@pytest.mark.parametrize(
+    "length, near, setting",
+    [(1, 1, {}), (3, 3, {}), (3, 6, {"SEGMENT_WORDS": 90, "BLOCK_CHARS": 150}), (4, 20, {"SEGMENT_WORDS": 90}), (10, 64, {})],
+)
+def test_proximity_equals_brute_force(spark, monkeypatch, setting, length, near):
+    """Shuffled, stretched and repeated words, in documents that share an axis."""
+    for name, value in setting.items():
+        monkeypatch.setattr(contamination, name, value)
+    rng = random.Random(length * 100 + near)
+    letters = [f"w{i}" for i in range(6)]
+    rows = [(i, " ".join(rng.choice([*letters, "x", "y", "z"]) for _ in range(rng.randrange(60)))) for i in range(60)]
+    tests = [(i, " ".join(rng.choices(letters, k=rng.randrange(14)))) for i in range(12)]
+    tests += [(99, "w0 nowhere w1"), (98, None), (97, tests[3][1])]
+    rows += [(70, None), (71, "")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(2)
+    items = spark.createDataFrame(tests, "item_id bigint, text string")
+    got = contamination.decontaminate(docs, items, length, near).collect()
+    assert Counter((r["doc_id"], tuple(r["near_items"])) for r in got) == brute_near(rows, tests, length, near)
+    assert Counter((r["doc_id"], r["n_words"], r["n_hit"], tuple(r["items"])) for r in got) == brute(rows, tests, length)
+
+
 def test_lists_survive_packing():
     import numpy as np
 
