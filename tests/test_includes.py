@@ -71,6 +71,62 @@ def test_long_chain_merges_its_pieces(spark):
     assert sorted(int(r["line"]) for r in got) == list(range(len(lists)))
 
 
+def test_rounds_neither_shuffle_nor_sort_the_include_lines(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        lists, roots = tables(spark, LISTS, ROOTS)
+        frontier = roots.select("root", includes.included(F.col("line")).alias("list_id"))
+        with includes._edges(lists) as edges:
+            joined = frontier.join(edges, F.col("list_id") == F.col("parent"))
+            joined.collect()
+            plan = joined._jdf.queryExecution().executedPlan().toString().split("InMemoryRelation")[0]
+            assert plan.count("Exchange") == 1 and plan.count("Sort ") == 1
+            assert edges.is_cached
+        assert not edges.is_cached
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize("least, most", [(0, 9), (-5, 10**9), (-(2**60), 2**60), (None, None)])
+def test_codes_are_in_the_order_of_paths(spark, least, most):
+    codes, draw = includes._Codes(least, most), random.Random(3)
+    places = [None] + ([] if least is None else [least, most] + [draw.randint(least, most) for _ in range(3)])
+    length = max(n for n in (1, 2, 3) if codes.kind(n))
+    kind = codes.kind(length)
+    paths = [[draw.choice(places) for _ in range(length)] for _ in range(60)]
+    df = spark.createDataFrame([(p,) for p in paths], "path array<bigint>")
+    code = (codes.code(F.col("path"), length - 1, kind, more=1) if length > 1 else F.lit(0).cast(kind)) + codes.digit(F.col("path")[length - 1], kind)
+    rows = df.select("path", code.cast(kind).alias("code")).withColumn("back", codes.path(F.col("code"), length, kind)).collect()
+    assert all(r["back"] == r["path"] for r in rows)
+    order = lambda p: [(x is not None, x or 0) for x in p]
+    assert [r["path"] for r in sorted(rows, key=lambda r: r["code"])] == sorted(paths, key=order)
+
+
+@pytest.mark.parametrize("apart", [1, 10**6, 2**58])
+def test_smallest_paths_by_places_near_and_far(spark, apart):
+    lists, roots = random_lists(7)
+    lists["n0"] = [f"api://n{i}" for i in range(11, 0, -1)]
+    roots["p"].append("api://n0")
+    roots["q"].append("api://n1")
+    far = lambda df: df.withColumn("line_no", F.col("line_no") * apart - 3)
+    want = {(r, c): p for r, ls in roots.items() for c, p in smallest_paths(lists, ls).items()}
+    got = includes.arrival_paths(*map(far, tables(spark, lists, roots))).collect()
+    assert len(got) == len(want)
+    assert {(r["root"], r["list_id"]): [(p + 3) // apart for p in r["path"]] for r in got} == want
+
+
+def smallest_paths(lists, lines):
+    found, todo = {}, [([], lines)]
+    while todo:
+        path, content = todo.pop()
+        for n, line in enumerate(content):
+            name = line[6:].strip()
+            if line.startswith("api://") and (name not in found or [*path, n] < found[name]):
+                found[name] = [*path, n]
+                todo.append((found[name], lists.get(name, [])))
+    return found
+
+
 def test_missing_lists_are_named(spark):
     got = includes.missing_lists(*tables(spark, LISTS, ROOTS)).collect()
     assert sorted(tuple(r) for r in got) == [("r1", "missing"), ("r2", "missing")]
