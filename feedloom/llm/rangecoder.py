@@ -4,9 +4,10 @@ A block's ids are cut into up to LANES equal runs that are coded side by side: s
 t-th id of every lane, then the block's one model learns all of them. The model mixes three
 predictions linearly: order 0 (counts of the block so far), order 1 (the id last seen after the
 previous one) and order 2 (after the previous two), with weights learned for every pair of the
-two contexts' confidences. An id's interval is its share of order 0 plus the weights of the
-contexts that predict it. Each lane has a carry-less range coder with a 64-bit low end that
-emits 16-bit words. Every block starts from an empty model and carries checksums of its bytes
+two contexts' confidences. The whole interval begins with the weight of order 2 for its id and
+that of order 1 for its own (one interval if these are the same); other ids have their share of
+order 0 after them. Each lane has a carry-less range coder with a 64-bit low end that
+emits 32-bit words. Every block starts from an empty model and carries checksums of its bytes
 and of its ids, so blocks can be read on their own.
 """
 
@@ -23,12 +24,16 @@ TOTAL, ORDER0 = 30, 19
 UNITS = 1 << (TOTAL - ORDER0)
 #: Slots for order-2 contexts.
 SLOTS = 1 << 19
+_SHIFT = np.uint32(32 - 19)
 HEAD = struct.Struct("<IIIII")
 
-_TOP, _BOTTOM = np.uint64(1 << 48), np.uint64(1 << 32)
-_LOW = np.uint64((1 << 32) - 1)
-_RAISED = np.minimum(np.arange(8) + 1, 7)
-_16, _48, _30 = np.uint64(16), np.uint64(48), np.uint64(30)
+_BOTTOM, _LOW = np.uint64(1 << 32), np.uint64((1 << 32) - 1)
+_32, _30 = np.uint64(32), np.uint64(30)
+#: Trust after a miss and after a hit; a miss that leaves none lets the new id in.
+_MISSED, _HIT = np.arange(8, dtype=np.int32) >> 1, np.minimum(np.arange(8, dtype=np.int32) + 1, 7)
+_TRUST = np.concatenate([_MISSED, _HIT])
+#: Steps after which order 0 is counted anew.
+_RECOUNTED = {*range(8), *range(8, 32, 8), *range(32, 64, 16), *range(64, STEPS + 1, 32)}
 
 
 class _Model:
@@ -42,7 +47,7 @@ class _Model:
         #: Per context the id last seen, times 8, plus how often it came true (up to 7).
         self.known = [np.zeros(vocabulary, np.int32), np.zeros(SLOTS, np.int32)]
         self.seen = np.zeros((3, 64))
-        self.before = [np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)]
+        self.before = [np.zeros(lanes, np.int32), np.zeros(lanes, np.int32)]
         self.fresh: list[np.ndarray] = []
         self.step = 0
         self.inverse: np.ndarray | None = None
@@ -51,25 +56,29 @@ class _Model:
         """The ids whose part of order 0 holds the values."""
         if self.inverse is None:
             self.inverse = np.repeat(np.arange(self.size, dtype=np.int32), np.diff(self.cumulated))
-        return self.inverse[values].astype(np.int64)
+        return self.inverse.take(values)
 
     def predict(self, lanes: int) -> tuple[np.ndarray, ...]:
         """Candidates of order 1 and 2, and each lane's weights of order 0, 1 and 2."""
-        step = self.step
-        if step < 8 or step % 8 == 0:
+        if self.step in _RECOUNTED or self.step > STEPS:
             self._recount()
         one, two = self.before[0][:lanes], self.before[1][:lanes]
-        self.at = [one, ((two * 0x9E3779B1 ^ one * 0x85EBCA77) >> 7) & (SLOTS - 1)]
-        found = [k[a].astype(np.int64) for k, a in zip(self.known, self.at)]
+        mixed = two.view(np.uint32) * np.uint32(0x9E3779B1) ^ one.view(np.uint32) * np.uint32(0x85EBCA77)
+        self.at = [one.astype(np.intp), (mixed >> _SHIFT).astype(np.intp)]
+        found = [k.take(a) for k, a in zip(self.known, self.at)]
         self.guess = [f >> 3 for f in found]
         self.sure = [f & 7 for f in found]
-        self.state = (self.sure[1] << 3) + self.sure[0]
+        self.state = ((self.sure[1] << 3) + self.sure[0]).astype(np.intp)
         n, first, second = self.seen
         share = (UNITS - 3) / (n + 1.5)
         u1 = 1 + (share * (first + 0.25)).astype(np.int64)
         u2 = 1 + (share * (second + 0.25)).astype(np.int64)
         u0 = UNITS - u1 - u2
-        return *self.guess, u0[self.state], u1[self.state] << ORDER0, u2[self.state] << ORDER0
+        w1, w2 = (u1 << ORDER0).take(self.state), (u2 << ORDER0).take(self.state)
+        same = np.flatnonzero(self.guess[0] == self.guess[1])
+        w2[same] += w1[same]
+        w1[same] = 0
+        return *self.guess, u0.take(self.state), w1, w2
 
     def _recount(self) -> None:
         if self.fresh:
@@ -85,14 +94,15 @@ class _Model:
     def learn(self, ids: np.ndarray) -> None:
         lanes = len(ids)
         hit = [g == ids for g in self.guess]
-        self.seen[0] += np.bincount(self.state, minlength=64)
-        self.seen[2] += np.bincount(self.state[hit[1]], minlength=64)
-        self.seen[1] += np.bincount(self.state[hit[0] & ~hit[1]], minlength=64)
+        # What came true: nothing, order 1 alone, or order 2.
+        true = np.where(hit[1], 128, np.where(hit[0], 64, 0))
+        true += self.state
+        none, first, second = np.bincount(true, minlength=192).reshape(3, 64)
+        self.seen += [none + first + second, first, second]
+        moved = (ids << 3) + 1
         for k in (0, 1):
-            # A hit raises trust, a miss halves it; where little is left the new id moves in.
-            sure = self.sure[k]
-            trust = np.where(hit[k], _RAISED[sure], sure >> 1)
-            self.known[k][self.at[k]] = np.where(trust > 0, (self.guess[k] << 3) + trust, (ids << 3) + 1)
+            trust = _TRUST.take((hit[k].astype(np.int32) << 3) + self.sure[k])
+            self.known[k][self.at[k]] = np.where(trust > 0, (self.guess[k] << 3) + trust, moved)
         self.before[1][:lanes] = self.before[0][:lanes]
         self.before[0][:lanes] = ids
         self.fresh.append(ids)
@@ -100,13 +110,10 @@ class _Model:
 
 
 def _settled(low: np.ndarray, span: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Coders whose top 16 bits are certain, or whose span is cut so that they are."""
-    same = (low ^ (low + span)) < _TOP
-    out = np.flatnonzero(same | (span < _BOTTOM))
-    low, span, same = low[out], span[out], same[out]
-    if not same.all():
-        span = np.where(same, span, (np.uint64(0) - low) & _LOW)
-    return out, low, span
+    """Coders whose span is below 32 bits, cut so that the top 32 bits of their place are certain."""
+    out = np.flatnonzero(span < _BOTTOM)
+    low, span = low[out], span[out]
+    return out, low, np.minimum(span, _BOTTOM - (low & _LOW))
 
 
 def _layout(n: int) -> tuple[int, int]:
@@ -117,7 +124,7 @@ def _layout(n: int) -> tuple[int, int]:
 
 def encode_block(ids: np.ndarray, vocabulary: int) -> bytes:
     """A block of ids below ``vocabulary`` (at most 2^19)."""
-    ids = np.asarray(ids, np.int64)
+    ids = np.asarray(ids, np.int32)
     n = len(ids)
     lanes, steps = _layout(n)
     model = _Model(vocabulary, lanes)
@@ -125,29 +132,32 @@ def encode_block(ids: np.ndarray, vocabulary: int) -> bytes:
     owners, words = [], []
     for t in range(steps if n else 0):
         k = (n - t + steps - 1) // steps
-        own = ids[t::steps][:k]
+        own = np.ascontiguousarray(ids[t::steps][:k])
         c1, c2, u0, w1, w2 = model.predict(k)
         cum = model.cumulated
-        start = u0 * cum[own] + w1 * (c1 < own) + w2 * (c2 < own)
-        width = u0 * (cum[own + 1] - cum[own]) + w1 * (c1 == own) + w2 * (c2 == own)
+        start, width = np.zeros(k, np.int64), w2.copy()
+        at = np.flatnonzero((c1 == own) & (c2 != own))
+        start[at], width[at] = w2[at], w1[at]
+        at = np.flatnonzero((c1 != own) & (c2 != own))
+        share, rare = u0[at], own[at]
+        below = cum.take(rare)
+        start[at] = w1[at] + w2[at] + share * below
+        width[at] = share * (cum.take(rare + 1) - below)
         unit = span[:k] >> _30
         low[:k] += unit * start.astype(np.uint64)
         span[:k] = unit * width.astype(np.uint64)
         at, a, b = _settled(low[:k], span[:k])
-        while len(at):
-            owners.append(at)
-            words.append((a >> _48).astype(np.uint16))
-            low[at], span[at] = a, b = a << _16, b << _16
-            more, a, b = _settled(a, b)
-            at = at[more]
+        owners.append(at.astype(np.uint16))
+        words.append((a >> _32).astype(np.uint32))
+        low[at], span[at] = a << _32, b << _32
         model.learn(own)
-    for shift in (48, 32, 16, 0):
-        owners.append(np.arange(lanes))
-        words.append((low >> np.uint64(shift)).astype(np.uint16))
+    for shift in (32, 0):
+        owners.append(np.arange(lanes, dtype=np.uint16))
+        words.append((low >> np.uint64(shift)).astype(np.uint32))
     owner = np.concatenate(owners)
     order = np.argsort(owner, kind="stable")
     sizes = np.bincount(owner, minlength=lanes).astype("<u4")
-    body = sizes.tobytes() + np.concatenate(words)[order].astype("<u2").tobytes()
+    body = sizes.tobytes() + np.concatenate(words)[order].astype("<u4").tobytes()
     return HEAD.pack(n, vocabulary, len(body), zlib.crc32(body), zlib.crc32(ids.astype("<u4").tobytes())) + body
 
 
@@ -160,45 +170,39 @@ def decode_block(data: bytes, at: int = 0) -> tuple[np.ndarray, int]:
         raise ValueError("damaged block")
     lanes, steps = _layout(n)
     sizes = np.frombuffer(body, "<u4", lanes).astype(np.int64)
-    words = np.concatenate([np.frombuffer(body, "<u2", offset=4 * lanes), np.zeros(4, np.uint16)]).astype(np.uint64)
+    words = np.frombuffer(body, "<u4", offset=4 * lanes).astype(np.uint64)
     place = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     model = _Model(vocabulary, lanes)
     low, span = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 64) - 1, np.uint64)
     code = np.zeros(lanes, np.uint64)
-    for _ in range(4):
-        code = (code << _16) | words[place]
+    for _ in range(2 if n else 0):
+        code = (code << _32) | words[place]
         place += 1
-    ids = np.empty(n, np.int64)
+    ids = np.empty(n, np.int32)
     for t in range(steps if n else 0):
         k = (n - t + steps - 1) // steps
         c1, c2, u0, w1, w2 = model.predict(k)
         cum = model.cumulated
         unit = span[:k] >> _30
         value = np.minimum((code[:k] - low[:k]) // unit, np.uint64((1 << TOTAL) - 1)).astype(np.int64)
-        near = c1 <= c2
-        a, b = np.where(near, c1, c2), np.where(near, c2, c1)
-        wa, wb = np.where(near, w1, w2), np.where(near, w2, w1)
-        wa, wb = np.where(a == b, wa + wb, wa), np.where(a == b, 0, wb)
-        past_a = value >= u0 * cum[a + 1] + wa
-        on_a = ~past_a & (value >= u0 * cum[a])
-        rest = value - np.where(past_a, wa, 0)
-        past_b = past_a & (rest >= u0 * cum[b + 1] + wb)
-        on_b = past_a & ~past_b & (rest >= u0 * cum[b]) & (a != b)
-        rest = rest - np.where(past_b, wb, 0)
-        own = model.ids_at(np.where(on_a | on_b, 0, rest // u0))
-        own = np.where(on_a, a, np.where(on_b, b, own))
-        start = u0 * cum[own] + w1 * (c1 < own) + w2 * (c2 < own)
-        width = u0 * (cum[own + 1] - cum[own]) + w1 * (c1 == own) + w2 * (c2 == own)
+        start, width, own = np.zeros(k, np.int64), w2.copy(), c2.copy()
+        of = np.flatnonzero(value >= w2)
+        start[of], width[of], own[of] = w2[of], w1[of], c1[of]
+        both = w1 + w2
+        of = np.flatnonzero(value >= both)
+        share, first = u0[of], both[of]
+        # Quotients below 2^19 of numbers below 2^30 are exact in doubles.
+        own[of] = rare = model.ids_at(((value[of] - first) / share).astype(np.intp))
+        below = cum.take(rare)
+        start[of] = first + share * below
+        width[of] = share * (cum.take(rare + 1) - below)
         low[:k] += unit * start.astype(np.uint64)
         span[:k] = unit * width.astype(np.uint64)
         ids[t::steps][:k] = own
         lane, x, y = _settled(low[:k], span[:k])
-        while len(lane):
-            low[lane], span[lane] = x, y = x << _16, y << _16
-            code[lane] = (code[lane] << _16) | words[place[lane]]
-            place[lane] += 1
-            more, x, y = _settled(x, y)
-            lane = lane[more]
+        low[lane], span[lane] = x << _32, y << _32
+        code[lane] = (code[lane] << _32) | words[place[lane]]
+        place[lane] += 1
         model.learn(own)
     if zlib.crc32(ids.astype("<u4").tobytes()) != ids_crc:
         raise ValueError("damaged ids")

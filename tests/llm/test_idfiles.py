@@ -26,6 +26,16 @@ def test_contexts_pay():
     assert len(rangecoder.encode_block(text, 49408)) < len(text) * 2 / 4
 
 
+def test_tables_are_made_and_coders_moved_seldom(monkeypatch):
+    counted, moved, steps = [], [], rangecoder.STEPS
+    recount, settled = rangecoder._Model._recount, rangecoder._settled
+    monkeypatch.setattr(rangecoder._Model, "_recount", lambda self: (counted.append(1), recount(self))[1])
+    monkeypatch.setattr(rangecoder, "_settled", lambda *a: (moved.append(1), settled(*a))[1])
+    ids = np.random.default_rng(2).integers(0, 49408, 8 * steps)
+    assert rangecoder.decode_block(rangecoder.encode_block(ids, 49408))[0].tolist() == ids.tolist()
+    assert len(counted) <= 2 * 20 and len(moved) == 2 * steps
+
+
 def test_damage_is_noticed():
     data = bytearray(rangecoder.encode_block(np.arange(1000), 2000))
     data[200] ^= 1
