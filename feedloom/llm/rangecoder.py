@@ -28,10 +28,11 @@ _SHIFT = np.uint32(32 - 19)
 HEAD = struct.Struct("<IIIII")
 
 _BOTTOM, _LOW = np.uint64(1 << 32), np.uint64((1 << 32) - 1)
-_32, _30 = np.uint64(32), np.uint64(30)
-#: Trust after a miss and after a hit; a miss that leaves none lets the new id in.
-_MISSED, _HIT = np.arange(8, dtype=np.int32) >> 1, np.minimum(np.arange(8, dtype=np.int32) + 1, 7)
-_TRUST = np.concatenate([_MISSED, _HIT])
+_32, _30, _ORDER0 = np.uint64(32), np.uint64(30), np.uint64(ORDER0)
+#: Change of trust (0 to 7) after a miss and after a hit; a miss that leaves none lets the new id in.
+_SURE = np.arange(8, dtype=np.int32)
+_CHANGE = np.concatenate([(_SURE >> 1) - _SURE, np.minimum(_SURE + 1, 7) - _SURE])
+_LET_IN = np.where(np.arange(16) < 2, -1, 0).astype(np.int32)
 #: Steps after which order 0 is counted anew.
 _RECOUNTED = {*range(8), *range(8, 32, 8), *range(32, 64, 16), *range(64, STEPS + 1, 32)}
 
@@ -41,9 +42,9 @@ class _Model:
 
     def __init__(self, vocabulary: int, lanes: int):
         self.size = vocabulary
-        self.counts = np.zeros(vocabulary, np.int64)
-        self.spare = (1 << ORDER0) - vocabulary
-        self.flat = np.arange(vocabulary + 1, dtype=np.int64)
+        self.counts = np.zeros(vocabulary, np.uint64)
+        self.spare = np.uint64((1 << ORDER0) - vocabulary)
+        self.flat = np.arange(vocabulary + 1, dtype=np.uint64)
         #: Per context the id last seen, times 8, plus how often it came true (up to 7).
         self.known = [np.zeros(vocabulary, np.int32), np.zeros(SLOTS, np.int32)]
         self.seen = np.zeros((3, 64))
@@ -55,54 +56,57 @@ class _Model:
     def ids_at(self, values: np.ndarray) -> np.ndarray:
         """The ids whose part of order 0 holds the values."""
         if self.inverse is None:
-            self.inverse = np.repeat(np.arange(self.size, dtype=np.int32), np.diff(self.cumulated))
-        return self.inverse.take(values)
-
-    def predict(self, lanes: int) -> tuple[np.ndarray, ...]:
-        """Candidates of order 1 and 2, and each lane's weights of order 0, 1 and 2."""
+            # Every id has a part: the marks where they begin count the ids.
+            marks = np.zeros(int(self.cumulated[-1]), np.int32)
+            marks[self.cumulated[1:-1].astype(np.intp)] = 1
+            self.inverse = np.cumsum(marks, dtype=np.int32)
+        return self.inverse.take(values, mode="clip")
+
+    def predict(self, lanes: int) -> None:
+        """What the contexts say: ``found`` for order 1 and 2, and each lane's ``state`` of their
+        trust. ``starts`` and ``widths`` are those of the whole interval by state, in rows for an
+        id that neither, order 1 alone, order 2 alone or both expect; the width for neither is
+        that of a unit of order 0. ``ends`` is where order 2's interval ends, alone or with both."""
         if self.step in _RECOUNTED or self.step > STEPS:
             self._recount()
         one, two = self.before[0][:lanes], self.before[1][:lanes]
         mixed = two.view(np.uint32) * np.uint32(0x9E3779B1) ^ one.view(np.uint32) * np.uint32(0x85EBCA77)
         self.at = [one.astype(np.intp), (mixed >> _SHIFT).astype(np.intp)]
-        found = [k.take(a) for k, a in zip(self.known, self.at)]
-        self.guess = [f >> 3 for f in found]
-        self.sure = [f & 7 for f in found]
+        self.found = [k.take(a, mode="wrap") for k, a in zip(self.known, self.at)]
+        self.sure = [f & 7 for f in self.found]
         self.state = ((self.sure[1] << 3) + self.sure[0]).astype(np.intp)
         n, first, second = self.seen
         share = (UNITS - 3) / (n + 1.5)
-        u1 = 1 + (share * (first + 0.25)).astype(np.int64)
-        u2 = 1 + (share * (second + 0.25)).astype(np.int64)
-        u0 = UNITS - u1 - u2
-        w1, w2 = (u1 << ORDER0).take(self.state), (u2 << ORDER0).take(self.state)
-        same = np.flatnonzero(self.guess[0] == self.guess[1])
-        w2[same] += w1[same]
-        w1[same] = 0
-        return *self.guess, u0.take(self.state), w1, w2
+        u1 = 1 + (share * (first + 0.25)).astype(np.uint64)
+        u2 = 1 + (share * (second + 0.25)).astype(np.uint64)
+        w1, w2 = u1 << _ORDER0, u2 << _ORDER0
+        self.starts = np.concatenate([w1 + w2, w2, 0 * w2, 0 * w2])
+        self.widths = np.concatenate([UNITS - u1 - u2, w1, w2, w1 + w2])
+        self.ends = self.widths[128:]
 
     def _recount(self) -> None:
         if self.fresh:
-            self.counts += np.bincount(np.concatenate(self.fresh), minlength=self.size)
+            self.counts += np.bincount(np.concatenate(self.fresh), minlength=self.size).astype(np.uint64)
             self.fresh = []
         self.inverse = None
-        total = max(1, int(self.counts.sum()))
+        total = max(np.uint64(1), self.counts.sum())
         self.cumulated = self.flat.copy()
         self.cumulated[1:] += np.cumsum(self.counts) * self.spare // total
         if not self.counts.any():
             self.cumulated[-1] = 1 << ORDER0
 
-    def learn(self, ids: np.ndarray) -> None:
+    def learn(self, ids: np.ndarray, key: np.ndarray) -> None:
+        """Take in each lane's id and the place of its interval in ``starts`` and ``widths``."""
         lanes = len(ids)
-        hit = [g == ids for g in self.guess]
-        # What came true: nothing, order 1 alone, or order 2.
-        true = np.where(hit[1], 128, np.where(hit[0], 64, 0))
-        true += self.state
-        none, first, second = np.bincount(true, minlength=192).reshape(3, 64)
-        self.seen += [none + first + second, first, second]
+        none, first, second, both = np.bincount(key, minlength=256).reshape(4, 64)
+        self.seen += [none + first + second + both, first, second + both]
         moved = (ids << 3) + 1
-        for k in (0, 1):
-            trust = _TRUST.take((hit[k].astype(np.int32) << 3) + self.sure[k])
-            self.known[k][self.at[k]] = np.where(trust > 0, (self.guess[k] << 3) + trust, moved)
+        for k, (found, sure) in enumerate(zip(self.found, self.sure)):
+            # The bit of the key for this order's hit goes above the trust.
+            sure = ((key >> (3 + k)) & 8) | sure
+            found += _CHANGE.take(sure, mode="wrap")
+            found ^= (found ^ moved) & _LET_IN.take(sure, mode="wrap")
+            self.known[k][self.at[k]] = found
         self.before[1][:lanes] = self.before[0][:lanes]
         self.before[0][:lanes] = ids
         self.fresh.append(ids)
@@ -130,27 +134,31 @@ def encode_block(ids: np.ndarray, vocabulary: int) -> bytes:
     model = _Model(vocabulary, lanes)
     low, span = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 64) - 1, np.uint64)
     owners, words = [], []
+    grid = np.zeros(lanes * steps, np.int32)
+    grid[:n] = ids
+    grid = np.ascontiguousarray(grid.reshape(lanes, steps).T)
     for t in range(steps if n else 0):
         k = (n - t + steps - 1) // steps
-        own = np.ascontiguousarray(ids[t::steps][:k])
-        c1, c2, u0, w1, w2 = model.predict(k)
-        cum = model.cumulated
-        start, width = np.zeros(k, np.int64), w2.copy()
-        at = np.flatnonzero((c1 == own) & (c2 != own))
-        start[at], width[at] = w2[at], w1[at]
-        at = np.flatnonzero((c1 != own) & (c2 != own))
-        share, rare = u0[at], own[at]
-        below = cum.take(rare)
-        start[at] = w1[at] + w2[at] + share * below
-        width[at] = share * (cum.take(rare + 1) - below)
+        own = grid[t, :k]
+        model.predict(k)
+        cum, (one, two) = model.cumulated, model.found
+        key = model.state + (one >> 3 == own) * np.intp(64)
+        key += (two >> 3 == own) * np.intp(128)
+        start, width = model.starts.take(key, mode="wrap"), model.widths.take(key, mode="wrap")
+        at = np.flatnonzero(key < 64)
+        share, rare = width.take(at, mode="wrap"), own.take(at, mode="wrap").astype(np.intp)
+        below = cum.take(rare, mode="wrap")
+        start[at] += share * below
+        rare += 1
+        width[at] = share * (cum.take(rare, mode="wrap") - below)
         unit = span[:k] >> _30
-        low[:k] += unit * start.astype(np.uint64)
-        span[:k] = unit * width.astype(np.uint64)
+        low[:k] += unit * start
+        np.multiply(unit, width, out=span[:k])
         at, a, b = _settled(low[:k], span[:k])
         owners.append(at.astype(np.uint16))
         words.append((a >> _32).astype(np.uint32))
         low[at], span[at] = a << _32, b << _32
-        model.learn(own)
+        model.learn(own, key)
     for shift in (32, 0):
         owners.append(np.arange(lanes, dtype=np.uint16))
         words.append((low >> np.uint64(shift)).astype(np.uint32))
@@ -174,36 +182,46 @@ def decode_block(data: bytes, at: int = 0) -> tuple[np.ndarray, int]:
     place = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     model = _Model(vocabulary, lanes)
     low, span = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 64) - 1, np.uint64)
-    code = np.zeros(lanes, np.uint64)
+    #: The code's distance from the low end.
+    rest = np.zeros(lanes, np.uint64)
     for _ in range(2 if n else 0):
-        code = (code << _32) | words[place]
+        rest = (rest << _32) | words[place]
         place += 1
-    ids = np.empty(n, np.int32)
+    grid = np.empty((steps, lanes), np.int32)
     for t in range(steps if n else 0):
         k = (n - t + steps - 1) // steps
-        c1, c2, u0, w1, w2 = model.predict(k)
-        cum = model.cumulated
-        unit = span[:k] >> _30
-        value = np.minimum((code[:k] - low[:k]) // unit, np.uint64((1 << TOTAL) - 1)).astype(np.int64)
-        start, width, own = np.zeros(k, np.int64), w2.copy(), c2.copy()
-        of = np.flatnonzero(value >= w2)
-        start[of], width[of], own[of] = w2[of], w1[of], c1[of]
-        both = w1 + w2
-        of = np.flatnonzero(value >= both)
-        share, first = u0[of], both[of]
-        # Quotients below 2^19 of numbers below 2^30 are exact in doubles.
-        own[of] = rare = model.ids_at(((value[of] - first) / share).astype(np.intp))
-        below = cum.take(rare)
+        model.predict(k)
+        cum, state = model.cumulated, model.state
+        one, two = (f >> 3 for f in model.found)
+        unit, left = span[:k] >> _30, rest[:k]
+        # Order 2's interval comes first (with order 1's if they agree), then order 1's, then the others.
+        kinds = (one == two) * np.intp(64) + state
+        past = left >= model.ends.take(kinds, mode="wrap") * unit
+        own = two + (one - two) * past
+        key = np.where(past, state, kinds + np.intp(64)) + np.intp(64)
+        of = np.flatnonzero(left >= model.starts.take(state, mode="wrap") * unit)
+        key[of] -= 64
+        start, width = model.starts.take(key, mode="wrap"), model.widths.take(key, mode="wrap")
+        share, first, own_unit = width.take(of, mode="wrap"), start.take(of, mode="wrap"), unit.take(of, mode="wrap")
+        slot = (left.take(of, mode="wrap") - first * own_unit) // (share * own_unit)
+        rare = model.ids_at(slot.astype(np.intp)).astype(np.intp)
+        own[of] = rare
+        below = cum.take(rare, mode="wrap")
         start[of] = first + share * below
-        width[of] = share * (cum.take(rare + 1) - below)
-        low[:k] += unit * start.astype(np.uint64)
-        span[:k] = unit * width.astype(np.uint64)
-        ids[t::steps][:k] = own
+        rare += 1
+        width[of] = share * (cum.take(rare, mode="wrap") - below)
+        start *= unit
+        low[:k] += start
+        left -= start
+        np.multiply(unit, width, out=span[:k])
+        grid[t, :k] = own
         lane, x, y = _settled(low[:k], span[:k])
         low[lane], span[lane] = x << _32, y << _32
-        code[lane] = (code[lane] << _32) | words[place[lane]]
-        place[lane] += 1
-        model.learn(own)
+        at_lane = place.take(lane)
+        rest[lane] = (rest.take(lane) << _32) | words.take(at_lane, mode="clip")
+        place[lane] = at_lane + 1
+        model.learn(own, key)
+    ids = grid.T.reshape(-1)[:n]
     if zlib.crc32(ids.astype("<u4").tobytes()) != ids_crc:
         raise ValueError("damaged ids")
     return ids, at + size

@@ -19,15 +19,16 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Pieces (or eight times as many ids) after which a worker forgets all of them.
+#: Words and odd pieces (or eight times as many ids) after which a worker forgets all of them.
 REMEMBERED = 1 << 20
 #: Bytes of text that are cut at a time.
 PORTION = 1 << 24
 
 #: White space beside a space: the byte-level pattern looks across it.
 _AMBIGUOUS = re.compile(r"[\s᠎] (?:[\s᠎]|\Z)")
-#: Latin letters and the signs after them: two words of the pre-tokenizers' patterns at most.
-_WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?#$%&*|()]*)")
+#: Latin letters, and the signs after them: two words of the pre-tokenizers' patterns at most.
+_WORD = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
+_SIGNS = ".,;:!?#$%&*|()"
 
 
 def _visible() -> list[str]:
@@ -58,41 +59,47 @@ class Encoder:
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _shown(self, word: str) -> str:
-        """A word of letters in the characters of the merges."""
-        if self.word_ends:
-            word = word.lower()
-        if not word.isascii():
-            word = "".join([_VISIBLE[b] for b in word.encode()])
+    def _shown(self, word: str) -> str | None:
+        """A word in the characters of the merges, if it is of letters alone."""
+        if word.isascii():
+            if not word.isalpha():
+                return None
+            if self.word_ends:
+                word = word.lower()
+        elif _WORD.fullmatch(word):
+            word = "".join([_VISIBLE[b] for b in (word.lower() if self.word_ends else word).encode()])
+        else:
+            return None
         return word if self.word_ends else "Ġ" + word
 
-    def _signs(self, tail: str) -> array:
-        return array("I", [t.id for t in self.tokenize(tail)])
+    def _signs(self, tail: str) -> bytes:
+        return array("I", [t.id for t in self.tokenize(tail)]).tobytes()
 
-    def _learn(self, piece: str) -> int:
-        """Put the ids of a piece as it stands after a space in the flat table; its row there."""
-        flat, row, start = self.flat, len(self.starts), len(self.flat)
-        if match := _WORD.fullmatch(piece):
+    def _learn(self, word: str) -> bytes | None:
+        """The ids of a word as it stands after a space, or None if it is not of letters alone."""
+        ids = self.known.get(word, b"")
+        if ids == b"":
+            shown = self._shown(word)
             # For words of the pre-tokenizers' patterns the merges alone decide.
-            word, tail = match.groups()
-            same = self.known.get(word) if tail else None
-            if same is None:
-                flat.extend([t.id for t in self.tokenize(self._shown(word))])
-            else:
-                at = self.starts[same]
-                flat.extend(flat[at : at + self.sizes[same]])
-            if tail:
-                flat.extend(self._tail(tail))
-        elif piece or not self.word_ends:
-            flat.frombytes(self.whole(piece if self.word_ends else " " + piece))
-        self.starts.append(start)
-        self.sizes.append(len(flat) - start)
-        self.known[piece] = row
-        return row
+            ids = None if shown is None else array("I", [t.id for t in self.tokenize(shown)]).tobytes()
+            self.held += len(ids or b"") // 4
+            self.known[word] = ids
+        return ids
+
+    def _odd(self, piece: str) -> bytes:
+        """The ids of any other piece as it stands after a space."""
+        ids = self.odd.get(piece)
+        if ids is None:
+            ids = self.whole(piece if self.word_ends else " " + piece) if piece or not self.word_ends else b""
+            self.odd[piece] = ids
+            self.held += len(ids) // 4
+        return ids
 
     def _forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.flat, self.starts, self.sizes = array("I"), array("q"), array("q")
+        self.known: dict[str, bytes | None] = {}
+        self.odd: dict[str, bytes] = {}
+        #: Ids that these hold.
+        self.held = 0
 
     def encode(self, text: str | None) -> bytes:
         return next(self.encode_many(pa.array([text], pa.string())))
@@ -108,7 +115,7 @@ class Encoder:
             start = end
 
     def _portion(self, texts: pa.Array) -> Iterator[bytes]:
-        if len(self.known) > REMEMBERED or len(self.flat) > 8 * REMEMBERED:
+        if len(self.known) + len(self.odd) > REMEMBERED or self.held > 8 * REMEMBERED:
             self._forget()
         texts = pc.fill_null(texts, "")
         apart: dict[int, bytes] = {}
@@ -125,28 +132,45 @@ class Encoder:
         lists = pc.split_pattern(texts, " ")
         cuts = lists.offsets.to_numpy() - lists.offsets[0].as_py()
         pieces = pc.dictionary_encode(lists.flatten())
-        at = self._rows(pieces.dictionary.to_pylist())[pieces.indices.to_numpy()]
-        once: list[bytes] = []
+        own, at = self._pieces(pieces.dictionary), pieces.indices
         if not self.word_ends:
             # Pieces stand after a space, but the first of a text.
-            once = [self.whole(h) if h else b"" for h in pc.list_element(lists, 0).to_pylist()]
-            at[cuts[:-1]] = np.arange(len(once)) + len(self.starts)
-        flat = np.concatenate([np.frombuffer(self.flat, np.uint32), np.frombuffer(b"".join(once), "<u4")])
-        own = np.array([len(x) // 4 for x in once], np.int64)
-        starts = np.concatenate([np.frombuffer(self.starts, np.int64), len(self.flat) + np.cumsum(own) - own])
-        sizes = np.concatenate([np.frombuffer(self.sizes, np.int64), own])
-        lengths = sizes[at]
-        ends = np.concatenate([[0], np.cumsum(lengths)])
-        ids = flat[np.repeat(starts[at] - ends[:-1], lengths) + np.arange(ends[-1])].astype("<u4", copy=False)
-        bounds = ends[cuts].tolist()
+            at = at.to_numpy().copy()
+            at[cuts[:-1]] = np.arange(len(texts)) + len(own)
+            at = pa.array(at)
+            own += [self.whole(h) if h else b"" for h in _strings(pc.list_element(lists, 0))]
+        # Each piece's ids are copied to its places as bytes.
+        line = pa.array(own, pa.large_binary()).take(at)
+        _, ends, ids = line.buffers()
+        bounds = np.frombuffer(ends, np.int64, len(line) + 1)[cuts].tolist()
+        ids = memoryview(ids) if ids else b""
         for i, (a, b) in enumerate(zip(bounds, bounds[1:])):
-            yield apart[i] if i in apart else ids[a:b].tobytes()
+            yield apart[i] if i in apart else bytes(ids[a:b])
 
-    def _rows(self, pieces: list[str]) -> np.ndarray:
-        """Rows of pieces in the flat table."""
-        get, learn = self.known.get, self._learn
-        rows = [get(p, -1) for p in pieces]
-        return np.array([learn(p) if r < 0 else r for p, r in zip(pieces, rows)], np.int64)
+    def _pieces(self, pieces: pa.Array) -> list[bytes]:
+        """The ids of distinct pieces: those of their words, and of the signs after them."""
+        words = pc.ascii_rtrim(pieces, characters=_SIGNS)
+        signs = (pc.binary_length(pieces).to_numpy() - pc.binary_length(words).to_numpy()).astype(np.int64)
+        if self.word_ends:
+            # Other capitals stay, so that a word of letters is one before as after.
+            words = pc.ascii_lower(words)
+        words = _strings(words)
+        own = list(map(self.known.get, words))
+        missing = [i for i, ids in enumerate(own) if ids is None]
+        for i in missing:
+            own[i] = self._learn(words[i])
+        tailed, tail = np.flatnonzero(signs), self._tail
+        for i, n, piece in zip(tailed.tolist(), signs[tailed].tolist(), _strings(pieces.take(pa.array(tailed)))):
+            if own[i] is not None:
+                own[i] += tail(piece[-n:])
+        for i in missing:
+            if own[i] is None:
+                own[i] = self._odd(pieces[i].as_py())
+        return own
+
+
+def _strings(texts: pa.Array) -> list[str]:
+    return texts.to_numpy(zero_copy_only=False).tolist()
 
 
 @lru_cache(maxsize=2)

@@ -61,3 +61,15 @@ def test_round_trip_in_order(docs, awkward, monkeypatch, block):
 
 def test_empty_table(no_docs):
     assert idfiles.round_trip(no_docs, PATH).count() == 0
+
+
+def test_an_id_and_its_interval_are_looked_up_together(monkeypatch):
+    looked_up = []
+    learn = rangecoder._Model.learn
+    monkeypatch.setattr(rangecoder._Model, "learn", lambda self, ids, key: (looked_up.append((self.state, key)), learn(self, ids, key))[1])
+    ids = np.random.default_rng(3).zipf(1.2, 4000) % 500
+    data = rangecoder.encode_block(ids, 500)
+    half = len(looked_up)
+    assert rangecoder.decode_block(data)[0].tolist() == ids.tolist() and len(looked_up) == 2 * half
+    for (state, key), (same_state, same_key) in zip(looked_up[:half], looked_up[half:]):
+        assert (state == same_state).all() and (key == same_key).all() and (key % 64 == state).all() and key.max() < 256
