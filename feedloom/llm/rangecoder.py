@@ -34,7 +34,7 @@ _SURE = np.arange(8, dtype=np.int32)
 _CHANGE = np.concatenate([(_SURE >> 1) - _SURE, np.minimum(_SURE + 1, 7) - _SURE])
 _LET_IN = np.where(np.arange(16) < 2, -1, 0).astype(np.int32)
 #: Steps after which order 0 is counted anew.
-_RECOUNTED = {*range(8), *range(8, 32, 8), *range(32, 64, 16), *range(64, STEPS + 1, 32)}
+_RECOUNTED = {0, 1, 2, 4, 8, 16, 32, *range(64, STEPS + 1, 64)}
 
 
 class _Model:
@@ -120,6 +120,15 @@ def _settled(low: np.ndarray, span: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return out, low, np.minimum(span, _BOTTOM - (low & _LOW))
 
 
+def _quotient(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``a // b`` where that is below 2^19: in doubles, which are one off at most, set right."""
+    found = (a.astype(np.float64) / b.astype(np.float64)).astype(np.int64)
+    left = (a - found.view(np.uint64) * b).view(np.int64)
+    found -= left < 0
+    found += left >= b.view(np.int64)
+    return found
+
+
 def _layout(n: int) -> tuple[int, int]:
     """Lanes and steps of a block of n ids."""
     lanes = min(LANES, -(-n // STEPS)) or 1
@@ -203,8 +212,7 @@ def decode_block(data: bytes, at: int = 0) -> tuple[np.ndarray, int]:
         key[of] -= 64
         start, width = model.starts.take(key, mode="wrap"), model.widths.take(key, mode="wrap")
         share, first, own_unit = width.take(of, mode="wrap"), start.take(of, mode="wrap"), unit.take(of, mode="wrap")
-        slot = (left.take(of, mode="wrap") - first * own_unit) // (share * own_unit)
-        rare = model.ids_at(slot.astype(np.intp)).astype(np.intp)
+        rare = model.ids_at(_quotient(left.take(of, mode="wrap") - first * own_unit, share * own_unit)).astype(np.intp)
         own[of] = rare
         below = cum.take(rare, mode="wrap")
         start[of] = first + share * below
