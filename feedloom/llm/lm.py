@@ -272,7 +272,7 @@ class Network:
 
     def context(self, ids: np.ndarray, at: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
         """Context ids and hidden values at the places."""
-        around = [ids[at + j] for j in _PLACES]
+        around = [ids.take(at + j, mode="clip") for j in _PLACES]
         total = self.hidden + self.sides[0].take(around[0], 0, mode="clip")
         for table, near in zip(self.sides[1:], around[1:]):
             total += table.take(near, 0, mode="clip")
@@ -294,9 +294,9 @@ class Network:
         """Nodes of a level on the ways that start at ``first`` in the tree, their weights, the
         sides taken and the logits of these."""
         at = first + level
-        nodes, sides = tree.nodes.take(at), tree.sides.take(at)
+        nodes, sides = tree.nodes.take(at, mode="clip"), tree.sides.take(at, mode="clip")
         weights = self.nodes.take(nodes, 0, mode="clip")
-        return nodes, weights, sides, sides * (np.einsum("mk,mk->m", weights, hidden) + self.odds.take(nodes))
+        return nodes, weights, sides, sides * (np.einsum("mk,mk->m", weights, hidden) + self.odds.take(nodes, mode="clip"))
 
     def flat(self) -> np.ndarray:
         return np.concatenate([a.ravel() for a in self.arrays])
@@ -354,8 +354,8 @@ class _Trainer:
                 wrong = -sides / (1 + np.exp(np.minimum(taken, 60)))
                 weights *= wrong[:, None]
                 back[:m] += weights
-                np.multiply(columns[:, :m], wrong, out=grads[:SIZE, done : done + m])
                 grads[SIZE, done : done + m] = wrong
+                np.multiply(columns[:, :m], grads[SIZE, done : done + m], out=grads[:SIZE, done : done + m])
                 met.append(nodes)
                 done += m
             touched, sums = self._met(np.concatenate(met), grads)
@@ -374,19 +374,26 @@ class _Trainer:
         touched = np.flatnonzero(self.met)
         self.met[touched] = False
         self.number[touched] = np.arange(len(touched))
-        place = self.number[rows]
-        sums = np.empty((len(touched), len(columns)), np.float32)
+        place = self.number.take(rows, mode="clip")
+        sums = np.empty((len(columns), len(touched)), np.float32)
         for k, v in enumerate(columns):
-            sums[:, k] = np.bincount(place, v, len(touched))
-        return touched, sums
+            sums[k] = np.bincount(place, v, len(touched))
+        return touched, np.ascontiguousarray(sums.T)
 
     def _move(self, k: int, rows, g: np.ndarray) -> None:
-        s = self.sums[k][rows] + g * g
-        self.sums[k][rows] = s
+        sums, weights = self.sums[k], self.network.arrays[k]
+        s = g * g
+        s += self._at(sums, rows)
+        sums[rows] = s
         np.sqrt(s, out=s)
         np.divide(g, s, out=s)
         s *= RATE
-        self.network.arrays[k][rows] -= s
+        np.subtract(self._at(weights, rows), s, out=s)
+        weights[rows] = s
+
+    @staticmethod
+    def _at(values: np.ndarray, rows) -> np.ndarray:
+        return values[rows] if isinstance(rows, slice) else values.take(rows, 0, mode="clip")
 
 
 def _trained(corpus: DataFrame, words: Vocabulary, network: Network, warm: bool) -> DataFrame:
@@ -453,6 +460,7 @@ def trained(corpus: DataFrame, words: Vocabulary) -> Network:
 def log_probabilities(network: Network, words: Vocabulary, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Of the words at the places (of the buckets of words without ids), given those around them."""
     out, group, tree = np.empty(len(at)), words.group, words.tree
+    rows = np.ascontiguousarray(network.out.T)
     for i in range(0, len(at), CHUNK):
         order, reach = tree.deepest_first(ids[at[i : i + CHUNK]])
         places = at[i : i + CHUNK][order]
@@ -462,7 +470,7 @@ def log_probabilities(network: Network, words: Vocabulary, ids: np.ndarray, at:
         for j in range(0, len(own), ROWS):
             part, classes = hidden[j : j + ROWS], group[own[j : j + ROWS]]
             _, top, total = network.classes(part)
-            mine = np.einsum("mk,mk->m", part, network.out.T[classes]) + network.bias[classes]
+            mine = np.einsum("mk,mk->m", part, rows.take(classes, 0, mode="clip")) + network.bias[classes]
             logs[j : j + ROWS] = mine - top - np.log(total)
         first = tree.start[own]
         for level, m in enumerate(reach.tolist()):

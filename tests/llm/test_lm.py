@@ -201,3 +201,24 @@ def test_context_tells_words_of_one_class_apart(spark, monkeypatch):
     swapped, places, _ = lm.laid_out([words.encode(lm.words_of(t)).astype("<u2").tobytes() for _, t in topical(200, 2, True)])
     assert whole > shares + 0.3
     assert lm.log_probabilities(network, words, swapped, places).mean() < whole - 0.3
+
+
+class Rows(np.ndarray):
+    """Weights of which rows are taken by ``take``, which copies whole rows, not by an index array."""
+
+    def __getitem__(self, key):
+        assert not isinstance(key, np.ndarray)
+        return super().__getitem__(key)
+
+
+def test_steps_take_whole_rows(docs, monkeypatch):
+    small_vocabulary(monkeypatch, 200)
+    words = lm.vocabulary(docs)
+    start = lm.Network.start(words.prior, len(words.group), words.tree.odds)
+    ids, at, _ = lm.laid_out([np.random.default_rng(5).integers(1, len(words.group), 60).astype(words.kind).tobytes()], words.kind)
+    plain, watched = (lm._Trainer(lm.Network([a.copy() for a in start.arrays]), words.group, words.tree) for _ in range(2))
+    watched.sums = [s.view(Rows) for s in watched.sums]
+    for _ in range(2):
+        plain.step(ids, at)
+        watched.step(ids, at)
+    assert all((a == b).all() and (a != c).any() for a, b, c in zip(plain.network.arrays, watched.network.arrays, start.arrays))
