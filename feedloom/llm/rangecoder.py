@@ -29,10 +29,13 @@ HEAD = struct.Struct("<IIIII")
 
 _BOTTOM, _LOW = np.uint64(1 << 32), np.uint64((1 << 32) - 1)
 _32, _30, _ORDER0 = np.uint64(32), np.uint64(30), np.uint64(ORDER0)
-#: Change of trust (0 to 7) after a miss and after a hit; a miss that leaves none lets the new id in.
-_SURE = np.arange(8, dtype=np.int32)
-_CHANGE = np.concatenate([(_SURE >> 1) - _SURE, np.minimum(_SURE + 1, 7) - _SURE])
-_LET_IN = np.where(np.arange(16) < 2, -1, 0).astype(np.int32)
+#: Of order 1 and 2, by the place of an interval (see ``predict``): change of trust (0 to 7), and
+#: bits that let the new id in after a miss that leaves no trust.
+_PLACE = np.arange(256)
+_SURE = [_PLACE & 7, _PLACE >> 3 & 7]
+_HIT = [_PLACE >> 6 & 1, _PLACE >> 7]
+_CHANGE = [(np.where(h, np.minimum(s + 1, 7), s >> 1) - s).astype(np.int32) for h, s in zip(_HIT, _SURE)]
+_LET_IN = [np.where((h == 0) & (s < 2), -1, 0).astype(np.int32) for h, s in zip(_HIT, _SURE)]
 #: Steps after which order 0 is counted anew.
 _RECOUNTED = {0, 1, 2, 4, 8, 16, 32, *range(64, STEPS + 1, 64)}
 
@@ -73,8 +76,7 @@ class _Model:
         mixed = two.view(np.uint32) * np.uint32(0x9E3779B1) ^ one.view(np.uint32) * np.uint32(0x85EBCA77)
         self.at = [one.astype(np.intp), (mixed >> _SHIFT).astype(np.intp)]
         self.found = [k.take(a, mode="wrap") for k, a in zip(self.known, self.at)]
-        self.sure = [f & 7 for f in self.found]
-        self.state = ((self.sure[1] << 3) + self.sure[0]).astype(np.intp)
+        self.state = (((self.found[1] & 7) << 3) + (self.found[0] & 7)).astype(np.intp)
         n, first, second = self.seen
         share = (UNITS - 3) / (n + 1.5)
         u1 = 1 + (share * (first + 0.25)).astype(np.uint64)
@@ -101,11 +103,9 @@ class _Model:
         none, first, second, both = np.bincount(key, minlength=256).reshape(4, 64)
         self.seen += [none + first + second + both, first, second + both]
         moved = (ids << 3) + 1
-        for k, (found, sure) in enumerate(zip(self.found, self.sure)):
-            # The bit of the key for this order's hit goes above the trust.
-            sure = ((key >> (3 + k)) & 8) | sure
-            found += _CHANGE.take(sure, mode="wrap")
-            found ^= (found ^ moved) & _LET_IN.take(sure, mode="wrap")
+        for k, found in enumerate(self.found):
+            found += _CHANGE[k].take(key, mode="wrap")
+            found ^= (found ^ moved) & _LET_IN[k].take(key, mode="wrap")
             self.known[k][self.at[k]] = found
         self.before[1][:lanes] = self.before[0][:lanes]
         self.before[0][:lanes] = ids

@@ -163,9 +163,9 @@ class Encoder:
         for i, n, piece in zip(tailed.tolist(), signs[tailed].tolist(), _strings(pieces.take(pa.array(tailed)))):
             if own[i] is not None:
                 own[i] += tail(piece[-n:])
-        for i in missing:
-            if own[i] is None:
-                own[i] = self._odd(pieces[i].as_py())
+        odd = [i for i in missing if own[i] is None]
+        for i, piece in zip(odd, _strings(pieces.take(pa.array(odd, pa.int64())))):
+            own[i] = self._odd(piece)
         return own
 
 
